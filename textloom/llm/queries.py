@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import mixing
+from textloom.llm import media, mixing, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_histogram_sort": sharding.op2,
+    "op4_pii_spans": pii.op4,
     "op5_pareto_mix": mixing.op5,
+    "op9_ogg_media": media.op9,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_pareto_mix": mixing.ORACLE,
