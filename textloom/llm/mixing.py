@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import finish, Scratch, word_count
 
 COARSE, FINE = 1024, 4096
+#: Tables of one row a source are broadcast up to this many rows (some 10 MB), shuffled beyond.
+FEW = 50_000
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 
@@ -59,9 +61,11 @@ def _cut(rows: DataFrame, by: str) -> DataFrame:
     return bins.groupBy("source").agg(first.alias("f")).select("source", F.col(f"f.{by}").alias(f"{by}_cut"), F.col("f.b").alias(f"{by}_before"))
 
 
-def _with(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+def _with(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
+    """Left join with one row a source; rows stay where they are if the sources are few (counted)."""
     right = right.withColumnRenamed("source", "_source")
-    return left.join(right, left["source"].eqNullSafe(right["_source"]), how).drop("_source")
+    right = F.broadcast(right) if few else right
+    return left.join(right, left["source"].eqNullSafe(right["_source"]), "left").drop("_source")
 
 
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT, seed: str = "|mix") -> DataFrame:
@@ -74,8 +78,9 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = M
     spark = docs.sparkSession
     scratch = Scratch(spark)
     base = scratch.keep(docs.select("doc_id", "source", word_count().alias("size"), uniform(F.col("doc_id"), seed).alias("u")))
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    x = _with(base, source_targets(sizes, weights, cap))
+    sizes = scratch.keep(base.groupBy("source").agg(F.sum("size").alias("source_size")))
+    few = sizes.count() <= FEW
+    x = _with(base, source_targets(sizes, weights, cap), few)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     x = x.withColumn("whole", F.floor(expected)).withColumn("p", expected - F.col("whole"))
     x = x.withColumn("rem", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -85,9 +90,9 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = M
     x = x.withColumn("r", r * COARSE).withColumn("coarse", F.least(F.floor("r"), F.lit(COARSE - 1)).cast("int"))
     x = x.withColumn("fine", F.least(F.floor((F.col("r") - F.col("coarse")) * FINE), F.lit(FINE - 1)).cast("int"))
     x = scratch.keep(x.select("doc_id", "source", "size", "source_size", "target", "whole", "rem", "q", "coarse", "fine"))
-    x = _with(x, _cut(x, "coarse"))
+    x = _with(x, _cut(x, "coarse"), few)
     edge = x.where("coarse = coarse_cut").withColumn("rem", F.col("rem") - F.col("coarse_before"))
-    x = _with(x, _cut(edge, "fine"))
+    x = _with(x, _cut(edge, "fine"), few)
     at_cut = (F.col("coarse") == F.col("coarse_cut")) & (F.col("fine") == F.col("fine_cut"))
     below = F.coalesce((F.col("coarse") < F.col("coarse_cut")) | ((F.col("coarse") == F.col("coarse_cut")) & (F.col("fine") < F.col("fine_cut"))), F.lit(True))
     x = scratch.keep(x.withColumn("at_cut", F.coalesce(at_cut, F.lit(False))).withColumn("extra", below.cast("long")))
