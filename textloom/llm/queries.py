@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import media, mixing, packing, pii, sharding
+from textloom.llm import media, mixing, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_sort": sharding.op2,
     "op4_pii_spans": pii.op4,
     "op5_pareto_mix": mixing.op5,
+    "op6_quality_ftrl": quality.op6,
     "op8_best_fit_packing": packing.op8,
     "op9_ogg_media": media.op9,
 }
