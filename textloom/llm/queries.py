@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import media, mixing, packing, pii, quality, sharding
+from textloom.llm import media, mixing, neardup, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_odd_sketch": neardup.op1,
     "op2_histogram_sort": sharding.op2,
     "op4_pii_spans": pii.op4,
     "op5_pareto_mix": mixing.op5,
