@@ -113,3 +113,33 @@ class WordHashes(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def whole_groups(batches, keys: int):
+    """Tables of complete groups from batches that are sorted by their first ``keys`` columns (longs or ints)."""
+    import pyarrow as pa
+
+    held: list = []
+    for b in batches:
+        t = pa.Table.from_batches([*held, b])
+        if not t.num_rows:
+            continue
+        cols = [t.column(i).to_numpy() for i in range(keys)]
+        last = np.ones(t.num_rows, bool)
+        for c in cols:
+            last &= c == c[-1]
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        held = t.slice(cut).combine_chunks().to_batches()
+        if cut:
+            yield t.slice(0, cut)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_cuts(table, keys: int) -> list[int]:
+    """Row numbers at which the groups of a sorted table begin, and its end."""
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for i in range(keys):
+        c = table.column(i).to_numpy()
+        new |= c[1:] != c[:-1]
+    return [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import finish, mix64, prepare, Scratch, utf8, WordHashes
+from textloom.llm.common import finish, group_cuts, mix64, prepare, Scratch, utf8, whole_groups, WordHashes
 from textloom.llm.components import components
 
 SHINGLE = 5
@@ -170,21 +170,9 @@ def _across(rows: DataFrame, most: int) -> DataFrame:
         return [*zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in _and_end(batches):
-            out: list[tuple[int, int]] = []
-            if b is not None:
-                held.append(b)
-            t = pa.Table.from_batches(held) if held else None
-            if t is None or not t.num_rows:
-                continue
-            key, part = t.column(0).to_numpy(), t.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
-            if b is None:
-                cuts.append(t.num_rows)
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                out += pairs(t.slice(s, e - s))
-            held = t.slice(cuts[-1]).combine_chunks().to_batches()
+        for t in whole_groups(batches, 2):
+            cuts = group_cuts(t, 2)
+            out = [x for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in pairs(t.slice(s, e - s))]
             if out:
                 a, z = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["c", "rep"])
@@ -192,11 +180,6 @@ def _across(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(run, "c long, rep long").distinct()
 
 
-def _and_end(batches):
-    yield from batches
-    yield None
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text; other columns ignored) -> doc_id, n_shingles, component_id, kept.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import media, mixing, neardup, packing, pii, quality, sharding
+from textloom.llm import media, mixing, neardup, packing, pii, quality, sharding, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_odd_sketch": neardup.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_ftrl": quality.op6,
     "op8_best_fit_packing": packing.op8,
     "op9_ogg_media": media.op9,
+    "op10_suffix_repeats": suffix.op10,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_pareto_mix": mixing.ORACLE,
