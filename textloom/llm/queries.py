@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import media, mixing, neardup, packing, pii, quality, sharding, suffix
+from textloom.llm import media, mixing, neardup, packing, pii, quality, sharding, suffix, suffix_tree_lm, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_odd_sketch": neardup.op1,
     "op2_histogram_sort": sharding.op2,
+    "op3_rotation_codes": vectors.op3,
     "op4_pii_spans": pii.op4,
     "op5_pareto_mix": mixing.op5,
     "op6_quality_ftrl": quality.op6,
+    "op7_suffix_tree_lm": suffix_tree_lm.op7,
     "op8_best_fit_packing": packing.op8,
     "op9_ogg_media": media.op9,
     "op10_suffix_repeats": suffix.op10,
