@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Roles from least to most, and rights that count as cleared.
 ROLES = ("reader", "contributor", "editor", "admin")
-CLEARED = ("public_domain", "open_license", "permission_granted", "own_work")
+CLEARED = ("public_domain", "open_license", "permission_granted", "original")
 
 
 def rights_cleared(status: Column, expires_on: Column, today: Column, cleared: tuple[str, ...] = CLEARED) -> Column:
