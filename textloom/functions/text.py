@@ -107,12 +107,12 @@ def ground(answer: Column | str, allowed: Column, code: str = "SB", ref: str = r
 
 
 def parse_tags(col: Column | str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(_c(col), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(col), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def word_meanings(col: Column | str) -> Column:
     """``word — meaning; …`` as structs; entries with only a hyphen keep an empty meaning, others without a dash go."""
-    entries = F.filter(F.transform(F.split(_c(col), ";"), F.trim), lambda e: e.contains("—") | e.contains("-"))
+    entries = F.filter(F.transform(F.split(_c(col), ";"), lambda e: F.trim(e)), lambda e: e.contains("—") | e.contains("-"))
     cut = lambda e: F.split(e, "—", 2)
     return F.transform(entries, lambda e: F.struct(F.trim(F.when(e.contains("—"), cut(e)[0]).otherwise(e)).alias("word"), F.trim(F.when(e.contains("—"), F.get(cut(e), F.lit(1))).otherwise(F.lit(""))).alias("meaning")))
 

@@ -172,9 +172,9 @@ def progress_percent(t):
     return order.progress(t("orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "percent")
 
 
-@query("SELECT o_orderkey, lag(o_orderkey) OVER w AS prev_o_orderkey, lead(o_orderkey) OVER w AS next_o_orderkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@query("SELECT o_orderkey, coalesce(lag(o_orderkey) OVER w, -1) AS prev_o_orderkey, coalesce(lead(o_orderkey) OVER w, -1) AS next_o_orderkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def prev_next(t):
-    return order.neighbours(t("orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderkey").select("o_orderkey", "prev_o_orderkey", "next_o_orderkey")
+    return order.neighbours(t("orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderkey").na.fill(-1).select("o_orderkey", "prev_o_orderkey", "next_o_orderkey")
 
 
 @query("SELECT n_nationkey, concat_ws(',', lag(n_nationkey) OVER w, lead(n_nationkey) OVER w) AS adjacent FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)")
@@ -200,10 +200,10 @@ def occurrence_suffix(t):
     return x.select("l_orderkey", "l_partkey", F.concat("l_linenumber", "suffix").alias("ref"))
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS asked FROM conversations""")
 def carry_forward(t):
     x = t("conversations").withColumn("q", F.when(F.col("role") == "user", F.col("turn")))
-    return order.carry_forward(x, ["conv_id"], [F.col("turn")], "q", "asked").select("conv_id", "turn", "asked")
+    return order.carry_forward(x, ["conv_id"], [F.col("turn")], "q", "asked").na.fill(-1, ["asked"]).select("conv_id", "turn", "asked")
 
 
 @query("SELECT c_nationkey, c_custkey, CAST(sum(1 + c_custkey % 7) OVER w AS BIGINT) AS last, CAST(sum(1 + c_custkey % 7) OVER w - (1 + c_custkey % 7) AS BIGINT) AS first FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)")
@@ -485,12 +485,12 @@ def daily_index(t):
 
 
 @query("""WITH s AS (SELECT user_id, event_id AS segment, event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events WHERE event_type = 'view'), p AS (SELECT event_id AS point, user_id FROM events WHERE event_type = 'click')
-SELECT point, segment FROM p LEFT JOIN s ON s.user_id = p.user_id AND point >= a AND point < b""")
+SELECT point, coalesce(segment, -1) AS segment FROM p LEFT JOIN s ON s.user_id = p.user_id AND point >= a AND point < b""")
 def segment_lookup(t):
     e = t("events")
     s = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("segment"), F.col("event_id").alias("a"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("b")).where("b IS NOT NULL")
     p = e.where("event_type = 'click'").select(F.col("event_id").alias("point"), "user_id")
-    return progress.interval_lookup(p, s, "user_id", "point", "a", "b", 256).select("point", "segment")
+    return progress.interval_lookup(p, s, "user_id", "point", "a", "b", 256).na.fill(-1, ["segment"]).select("point", "segment")
 
 
 # ---- grouping and sets
