@@ -111,10 +111,10 @@ def histogram_sort(docs: DataFrame, shards: int = 16, tolerance: float = TOLERAN
     shard = F.lit(0)
     for a, b in find_splitters(rows, shards, tolerance):
         shard = shard + F.when((F.col("k1") > a) | ((F.col("k1") == a) & (F.col("k2") >= b)), 1).otherwise(0)
-    lo, hi = rows.agg(F.min("k2"), F.max("k2")).first()
+    lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     step = max(1, ((hi or 0) - (lo or 0)) // 64 + 1)
     part = F.shiftrightunsigned(F.col("k1").bitwiseXOR(F.lit(SIGN)), 52).cast("int")
-    bin_ = F.least(F.floor((F.col("k2") - F.lit(lo or 0)) / F.lit(step)), F.lit(63)).cast("int")
+    bin_ = F.greatest(F.lit(0), F.least(F.floor((F.col("k2").cast("double") - F.lit(float(lo or 0))) / step), F.lit(63))).cast("int")
     rows = rows.withColumns({"shard": shard.cast("int"), "part": part, "bin": bin_})
     counts = rows.groupBy("shard", "part", "bin").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part", "bin").rowsBetween(Window.unboundedPreceding, -1)
