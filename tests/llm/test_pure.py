@@ -241,3 +241,14 @@ def test_tree_is_a_distribution_and_learns():
 def test_held_out_split_is_by_crc():
     assert hashlib.sha256(bytes(lm.held_out(i) for i in range(1000))).digest()
     assert 100 < sum(lm.held_out(i) for i in range(1000)) < 190 and lm.held_out(None) is False
+
+
+def test_packed_windows_and_lookup():
+    b = np.frombuffer(random.Random(1).randbytes(50), np.uint8)
+    for k in range(1, 9):
+        assert lm.pack_windows(b, k).tolist() == [int.from_bytes(b[i : i + k].tobytes(), "big") for i in range(51 - k)]
+    keys = np.random.default_rng(0).choice(2**20, 5000, replace=False).astype(np.uint64)
+    table = lm.Lookup(keys)
+    assert table.find(keys).tolist() == list(range(5000))
+    others = np.setdiff1d(np.arange(2**20, dtype=np.uint64), keys)[:5000]
+    assert (table.find(others) == -1).all() and len(lm.Lookup(keys[:0]).find(others)) == 5000

@@ -11,8 +11,10 @@ length and rank decide sequence and offset.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,36 +35,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Signs that end a chunk as a token run of their own if they follow an ASCII letter.
+TAIL = b".,!?;:%&$#*|"
+
+
+#: Words of small Latin-1 letters in UTF-8 need no normalising or splitting: the model alone decides.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _visible_bytes() -> dict[int, int]:
+    """The byte-level alphabet of such tokenizers: printable Latin-1 stands for itself, the other bytes
+    for the code points from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_VISIBLE = _visible_bytes()
+
+
 class ChunkIds(dict):
     """Packed ids of white-space-free chunks. White space is dropped and no token spans it, so a text's
-    ids are those of its chunks in order. A cache of bounded size; results never depend on it."""
+    ids are those of its chunks in order; nor does a token span a letter and signs of TAIL after it, so
+    those parts are looked up apart. A cache in two generations of bounded size, of which the older
+    goes when the younger is full; results never depend on it."""
 
-    MOST = 80_000_000  # bytes, about
+    MOST = 100_000_000  # bytes a generation, about
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.held = 0
+        self.model = self.tokenizer.model
+        self.held, self.older = 0, {}
 
-    def learn(self, chunks: set[bytes]) -> None:
+    def __missing__(self, chunk: bytes) -> bytes:
         if self.held > self.MOST:
+            self.older, self.held = dict(self), 0
             self.clear()
-            self.held = 0
-        new = [c for c in chunks if c not in self]
-        if not new:
-            return
-        texts = [c.decode() for c in new]
-        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
-        at = np.searchsorted(starts, np.array([o[0] for o in e.offsets], np.int64), "right") - 1 if len(ids) else np.zeros(0, np.int64)
-        cuts = np.searchsorted(at, np.arange(len(new) + 1)) * 4
-        raw = ids.tobytes()
-        for i, c in enumerate(new):
-            self[c] = raw[cuts[i] : cuts[i + 1]]
-        self.held += len(raw) + sum(map(len, new)) + 150 * len(new)
+        ids = self.older.get(chunk)
+        if ids is None:
+            stem = chunk.rstrip(TAIL)
+            if len(stem) < len(chunk) and stem[-1:].isalpha():
+                ids = self[stem] + self[chunk[len(stem) :]]
+            else:
+                ids = self._encode(chunk)
+        self[chunk] = ids
+        self.held += len(chunk) + len(ids) + 150
+        return ids
+
+    def _encode(self, chunk: bytes) -> bytes:
+        if chunk.isalpha() and chunk.islower() and len(chunk) < 64:
+            ids = [t.id for t in self.model.tokenize(chunk.decode())]
+        elif len(chunk) < 64 and _WORD.fullmatch(chunk):
+            ids = [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(_VISIBLE))]
+        else:
+            ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def of(self, chunks: list[bytes]) -> bytes:
+        return b"".join(map(self.__getitem__, chunks))
 
 
 _loaded: dict[str, ChunkIds] = {}
@@ -87,11 +120,9 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None
             _loaded[path] = ChunkIds(path)
         known, end = _loaded[path], struct.pack("<I", END_ID)
         for b in batches:
-            texts = [chunks_of(x) for x in b.column(1).to_pylist()]
-            known.learn({c for t in texts for c in t})
             rows = []
-            for doc, t in zip(b.column(0).to_pylist(), texts, strict=True):
-                ids = b"".join([*map(known.__getitem__, t), end])
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = known.of(chunks_of(raw)) + end
                 for i, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), part))
