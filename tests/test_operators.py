@@ -181,3 +181,39 @@ def test_streams(spark, tmp_path):
     q = events.append(events.read_events(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_upsert_progress(spark):
+    verses = spark.createDataFrame([("a", "w", "1.1"), ("b", "w", "1.2"), ("c", "w", "1.10"), ("d", "x", "1")], "id string, work_id string, ref string")
+    none = spark.createDataFrame([], "user_id string, work_id string, verse_id string, percent double, last_read_at int")
+    reads = spark.createDataFrame([("u", "a", 1)], "user_id string, verse_id string, read_at int")
+    updates = spark.createDataFrame([("u", "w", "a", 5), ("u", "w", "b", 6), ("u", "w", "d", 7), (None, "w", "c", 8)], "user_id string, work_id string, verse_id string, at int")
+    done, seen, refused = progress.upsert_progress(none, reads, verses, updates)
+    assert rows(done) == [("u", "w", "b", 66.67, 6)]
+    assert rows(seen) == [("u", "a", 1), ("u", "b", 6)]
+    assert refused.count() == 2
+
+
+def test_sync_and_targets(spark):
+    local = spark.createDataFrame([(1, 5, "l", True, False), (2, 5, "l", False, True)], "k int, at int, v string, dirty boolean, deleted boolean")
+    server = spark.createDataFrame([(1, 6, "s")], "k int, at int, v string")
+    push, after = progress.sync(local, server, ["k"], "at", ["v"])
+    assert rows(push.select("k")) == [(1,)]
+    assert rows(after.select("k", "v", "dirty")) == [(1, "s", False)]
+    chapters = spark.createDataFrame([("w", 1, "s1", 5), ("w", 2, "s2", 10)], "work_id string, ordinal int, section_id string, size int")
+    got = progress.daily_pick(chapters, ["work_id"], F.lit("2026-01-10").cast("date")).first()
+    assert (got.section_id, got.offset) == ("s2", 4)
+    works = spark.createDataFrame([("w",), ("x",), ("y",)], "work_id string")
+    at = spark.createDataFrame([("x", "s9")], "work_id string, section_id string")
+    ch = chapters.select("work_id", "ordinal", F.col("section_id").alias("id"))
+    assert rows(progress.resume_target(works, at, ch)) == [("w", "s1"), ("x", "s9"), ("y", None)]
+
+
+def test_offline_search(spark):
+    verses = spark.createDataFrame([("1.1", "Kṛṣṇa", 1), ("1.2", "rain", 2), ("1.3", "none", 3)], "ref string, body string, position int")
+    mentions = spark.createDataFrame([("1.2", "person", "k")], "ref string, kind string, id string")
+    entities = spark.createDataFrame([("person", "k", "Krishna")], "kind string, id string, name string")
+    got = search.offline_search(verses, mentions, entities, "krishna").collect()
+    assert [(r.ref, r["rank"]) for r in got] == [("1.1", 0.9), ("1.2", 0.5)]
+    assert search.offline_search(verses, mentions, entities, "1.3").first().ref == "1.3"
+    assert search.offline_search(verses, mentions, entities, " ").count() == 0

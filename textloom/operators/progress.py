@@ -29,3 +29,57 @@ def loop_target(segments: DataFrame, verse: str, track: str, at_ms: int) -> Data
     """Where to seek when a verse is looped: the start of its first segment that has been passed."""
     x = segments.where((F.col("verse_id") == verse) & (F.col("track_id") == track) & (F.lit(at_ms) >= F.col("end_ms")))
     return x.orderBy("start_ms").limit(1).select(F.col("start_ms").alias("seek_ms"))
+
+
+def upsert_progress(progress: DataFrame, reads: DataFrame, verses: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """updates (user_id, work_id, verse_id, at) -> progress, verse reads, and refused updates.
+
+    Updates without a user, or whose verse is not in the work, are refused. verses (id, work_id, ref) are
+    those that readers see, so that percents don't depend on who asks. The latest update of a work wins;
+    the first read of a verse stays.
+    """
+    from textloom.functions.text import ref_parts
+    from textloom.operators import merge, order
+
+    placed = order.progress(verses.withColumn("parts", ref_parts("ref")), ["work_id"], [F.col("parts")])
+    placed = placed.select(F.col("id").alias("verse_id"), "work_id", "percent")
+    known = updates.join(placed, ["verse_id", "work_id"], "left")
+    ok = F.col("user_id").isNotNull() & F.col("percent").isNotNull()
+    good = known.where(ok)
+    new = good.select("user_id", "work_id", "verse_id", "percent", F.col("at").alias("last_read_at"))
+    done = merge.upsert_latest(progress, new, ["user_id", "work_id"], [F.col("last_read_at").desc(), F.col("verse_id")])
+    seen = merge.upsert_first(reads, good.select("user_id", "verse_id", F.col("at").alias("read_at")), ["user_id", "verse_id"], [F.col("read_at")])
+    return done, seen, known.where(~ok).select(*updates.columns)
+
+
+def sync(local: DataFrame, server: DataFrame, key: list[str], at: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows to push (dirty here), and the local table after the pull: clean tombstones purged, a strictly
+    newer server row wins, and what was pushed is clean."""
+    from textloom.operators import merge
+
+    push = local.where("dirty")
+    pulled = merge.last_writer_wins(merge.purge_tombstones(local), server, key, at, fields)
+    return push, pulled.withColumn("dirty", F.lit(False))
+
+
+def daily_pick(chapters: DataFrame, part: list[str], day: Column) -> DataFrame:
+    """chapters (part..., ordinal, section_id, size): the section and offset of the day's verse, counted
+    through all chapters in order."""
+    from pyspark.sql import Window as W
+
+    from textloom.functions.scalars import day_index
+    from textloom.operators.order import running_offsets
+
+    x = running_offsets(chapters, part, [F.col("ordinal")], "size")
+    pick = day_index(day, F.sum("size").over(W.partitionBy(*part)))
+    x = x.withColumn("pick", pick).where("pick >= first AND pick < last")
+    return x.select(*part, "section_id", (F.col("pick") - F.col("first")).alias("offset"))
+
+
+def resume_target(works: DataFrame, progress: DataFrame, chapters: DataFrame) -> DataFrame:
+    """work_id, section_id: where the reader stopped, else the first chapter, else null."""
+    from textloom.operators.order import first_rows
+
+    first = first_rows(chapters, ["work_id"], [F.col("ordinal")]).select("work_id", F.col("id").alias("_first"))
+    at = progress.select("work_id", F.col("section_id").alias("_at"))
+    return works.select("work_id").join(at, "work_id", "left").join(first, "work_id", "left").select("work_id", F.coalesce("_at", "_first").alias("section_id"))

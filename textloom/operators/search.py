@@ -95,3 +95,18 @@ def ask(question: str, hits: DataFrame, complete, code: str = "SB", most: int =
     got = raw.select(T.ground("a", allowed, code).alias("g")).select("g.*").first()
     bodies = {p.ref: p.body for p in passages}
     return {"answer": got.text, "grounded": bool(got.refs), "citations": [{"ref": r, "quote": bodies[r][:200]} for r in got.refs]}
+
+
+def offline_search(verses: DataFrame, mentions: DataFrame, entities: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """verses (ref, body, position): 1.0 for the reference, 0.9 for a substring of raw or folded text, 0.5
+    for a mention of an entity whose name matches; best rank first, then position."""
+    q = query.strip()
+    if not q:
+        return verses.withColumns({"rank": F.lit(0.0), "snippet": F.lit("")}).where(F.lit(False))
+    folded = T.fold(F.lit(q))
+    linked = mentions.join(entities.where(T.fold("name").contains(folded)).select("kind", "id"), ["kind", "id"], "left_semi").select("ref").distinct().withColumn("_m", F.lit(True))
+    x = verses.withColumn("folded", T.fold("body")).join(linked, "ref", "left")
+    rank = F.when(F.col("ref") == q, 1.0).when(F.col("body").contains(q) | F.col("folded").contains(folded), 0.9).when(F.col("_m"), 0.5)
+    needle = " ".join(T.terms(q)) or q
+    x = x.withColumns({"rank": rank, "snippet": T.snippet("body", "folded", needle)}).where("rank IS NOT NULL").drop("_m", "folded")
+    return x.orderBy(F.col("rank").desc(), "position").limit(max(1, min(limit, 100)))
