@@ -15,7 +15,7 @@ occurrences (about two in LENGTH - GRAM + 1 bytes) are exchanged.
   bytes). A window that begins d bytes before the anchor is repeated if the next LENGTH - d bytes lie
   in one run of the sorted order and the d bytes before it have equal hashes.
 * Anchor strings with more than GROUP distinct regions are never brought into one task: their windows
-  are counted by hash with partial sums instead, which gives the same answer.
+  are dealt out by hash to groups of bounded size and counted there, which gives the same answer.
 
 Texts travel compressed, once for the regions and once for the removal.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import finish, mix64, prepare, Scratch, utf8, whole_groups
+from textloom.llm.common import finish, group_cuts, mix64, prepare, Scratch, utf8, whole_groups
 
 LENGTH, GRAM, GROUP = 400, 100, 512
 
@@ -261,29 +261,52 @@ def _sorted_spans(regions: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _SPANS)
 
 
-def _counted_spans(regions: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for anchor strings with very many regions: windows as hashes, summed, joined back."""
-    schema = "w1 long, w2 long, doc_id long, th long, s int, n int"
+def _counted_windows(regions: DataFrame) -> DataFrame:
+    """The same for anchor strings with more than GROUP regions: doc_id, th, windows (packed starts).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each region deals its windows, as two hashes, out to m / GROUP groups by the first hash, one row a
+    group; equal windows meet in one group, and a group holds as much as GROUP whole regions would.
+    """
+    schema = "key long, part int, doc_id long, th long, n int, starts binary, w1 binary, w2 binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for _, doc, th, _, lo, hi, n, _, region in zip(*[b.column(i).to_pylist() for i in range(9)], strict=True):
+            for key, doc, th, _, lo, hi, n, m, region in zip(*[b.column(i).to_pylist() for i in range(9)], strict=True):
                 x = np.frombuffer(region, np.uint8)
                 s = np.arange(hi - lo + 1)
                 w = []
                 for k in range(2):
                     h, down = prefix_hashes(x, k)
-                    w.append(mix64((h[s + LENGTH] - h[s]) * down[s]).view(np.int64))
-                out.append((w[0], w[1], [doc] * len(s), [th] * len(s), s + lo, np.full(len(s), min(n, 2))))
+                    w.append(mix64((h[s + LENGTH] - h[s]) * down[s]))
+                part = (w[0] % _U(-(-m // GROUP))).astype(np.int64)
+                for p in np.unique(part).tolist():
+                    i = part == p
+                    out.append((key, p, doc, th, min(n, 2), (s[i] + lo).astype("<i4").tobytes(), w[0][i].tobytes(), w[1][i].tobytes()))
             if out:
-                cols = list(zip(*out, strict=True))
-                arrays = [pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1])), pa.array(sum(cols[2], []), pa.int64()), pa.array(sum(cols[3], []), pa.int64()), pa.array(np.concatenate(cols[4]), pa.int32()), pa.array(np.concatenate(cols[5]), pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, _names(schema))
-
-    windows = scratch.keep(regions.mapInArrow(run, schema))
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select("w1", "w2")
-    return windows.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "th", F.col("s").alias("lo"), F.col("s").alias("hi"))
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _names(schema))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 2):
+            cuts, n = group_cuts(t, 2), t.column(4).to_numpy()
+            starts, w1, w2 = (t.column(i).to_pylist() for i in (5, 6, 7))
+            keep, windows = [], []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                size = np.array([len(x) // 4 for x in starts[s:e]])
+                w = mix64(np.frombuffer(b"".join(w1[s:e]), _U) + mix64(np.frombuffer(b"".join(w2[s:e]), _U)))
+                _, inverse = np.unique(w, return_inverse=True)
+                twice = np.bincount(inverse, np.repeat(n[s:e], size))[inverse] >= 2
+                for i, at in zip(range(s, e), np.cumsum(size) - size, strict=True):
+                    mine = np.frombuffer(starts[i], "<i4")[twice[at : at + len(starts[i]) // 4]]
+                    if n[i] == 1 and len(mine):
+                        keep.append(i)
+                        windows.append(mine.tobytes())
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([t.column(2).combine_chunks().take(rows), t.column(3).combine_chunks().take(rows), pa.array(windows, pa.binary())], ["doc_id", "th", "windows"])
+
+    dealt = regions.mapInArrow(deal, schema).repartition("key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(count, "doc_id long, th long, windows binary")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -308,21 +331,23 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spans = found.join(regions.where("n > 1").select("key", "r1", "r2"), ["key", "r1", "r2"], "left_semi").select("doc_id", "th", "lo", "hi")
     fetched = scratch.keep(_fetch_regions(docs, wanted))
     spans = spans.unionByName(_sorted_spans(fetched.where(F.col("m") <= GROUP)))
-    spans = spans.unionByName(_counted_spans(fetched.where(F.col("m") > GROUP), scratch))
-    lists = spans.groupBy("doc_id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    rows = _with_text(docs, lists, "left").select("doc_id", "z", "lo", "hi")
+    single = _counted_windows(fetched.where(F.col("m") > GROUP))
+    spans = spans.withColumn("windows", F.lit(None).cast("binary")).unionByName(single, allowMissingColumns=True)
+    lists = spans.groupBy("doc_id", "th").agg(*[F.collect_list(c).alias(c) for c in ("lo", "hi", "windows")])
+    rows = _with_text(docs, lists, "left").select("doc_id", "z", "lo", "hi", "windows")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for z, lo, hi in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+            for z, lo, hi, windows in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True):
                 raw = _plain(z)
                 kept, n, runs = raw, 0, 0
-                if lo:
+                if lo or windows:
+                    one = np.frombuffer(b"".join(windows), "<i4").astype(np.int64)
                     edges = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(edges, np.array(lo), 1)
-                    np.subtract.at(edges, np.array(hi) + LENGTH, 1)
+                    np.add.at(edges, np.concatenate([np.array(lo, np.int64), one]), 1)
+                    np.subtract.at(edges, np.concatenate([np.array(hi, np.int64), one]) + LENGTH, 1)
                     gone = np.cumsum(edges[:-1]) > 0
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     n = int(gone.sum())
