@@ -184,7 +184,7 @@ def repeated_windows(regions: list[bytes], group: np.ndarray, before: np.ndarray
     return out
 
 
-_ANCHORS = "doc_id long, th long, a int, key long, lo int, hi int, r1 long, r2 long"
+_ANCHORS = "doc_id long, th long, a int, key long, lo int, hi int, r1 long, r2 long, n int, more binary"
 _REGIONS = "key long, doc_id long, th long, a int, lo int, hi int, n int, m long, region binary"
 _SPANS = "doc_id long, th long, lo int, hi int"
 
@@ -210,15 +210,29 @@ def _plain(z: bytes) -> bytes:
     return ZstdDecompressor().decompress(z) if z else b""
 
 
+def _once(x: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """Anchors of a text with each region once: its first place, how often it occurs, and the packed
+    windows (first and last starts) of its other places. Periodic texts repeat one region very often."""
+    _, first, of, n = np.unique(x[4], return_index=True, return_inverse=True, return_counts=True)
+    more: list[bytes | None] = [None] * len(first)
+    for k in np.flatnonzero(n > 1).tolist():
+        i = np.flatnonzero(of == k)
+        i = i[i != first[k]]
+        more[k] = np.stack([x[2][i], x[3][i]], 1).astype("<i4").tobytes()
+    return [*(c[first] for c in x), n], more
+
+
 def _find_anchors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, x) for i, raw in enumerate(b.column(2).to_pylist()) if (x := anchors(raw))]
+            found = [(i, *_once(x)) for i, raw in enumerate(b.column(2).to_pylist()) if (x := anchors(raw))]
             if found:
-                rows = pa.array(np.concatenate([np.full(len(x[0]), i) for i, x in found]))
-                cols = [np.concatenate([x[k] for _, x in found]) for k in range(6)]
-                types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], _names(_ANCHORS))
+                rows = pa.array(np.concatenate([np.full(len(x[0]), i) for i, x, _ in found]))
+                cols = [np.concatenate([x[k] for _, x, _ in found]) for k in range(7)]
+                types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+                arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+                more = pa.array([m for *_, x in found for m in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *arrays, more], _names(_ANCHORS))
 
     return docs.mapInArrow(run, _ANCHORS)
 
@@ -322,32 +336,33 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), utf8().alias("raw"))
     found = scratch.keep(_find_anchors(docs))
-    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    twice = found.groupBy("key").agg(F.sum("n").alias("t")).where("t > 1").select("key")
     found = scratch.keep(found.join(twice, "key"))
     first = F.min(F.struct("doc_id", "th", "a", "lo", "hi")).alias("x")
-    regions = scratch.keep(found.groupBy("key", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), first))
+    regions = scratch.keep(found.groupBy("key", "r1", "r2").agg(F.sum("n").alias("n"), first))
     open_ = regions.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("least = 1 AND m > 1").select("key", "m")
     wanted = regions.join(open_, "key").select("x.*", "key", F.least("n", F.lit(2)).cast("int").alias("n"), "m")
-    spans = found.join(regions.where("n > 1").select("key", "r1", "r2"), ["key", "r1", "r2"], "left_semi").select("doc_id", "th", "lo", "hi")
+    spans = found.join(regions.where("n > 1").select("key", "r1", "r2"), ["key", "r1", "r2"], "left_semi").select("doc_id", "th", "lo", "hi", "more")
     fetched = scratch.keep(_fetch_regions(docs, wanted))
-    spans = spans.unionByName(_sorted_spans(fetched.where(F.col("m") <= GROUP)))
+    spans = spans.unionByName(_sorted_spans(fetched.where(F.col("m") <= GROUP)), allowMissingColumns=True)
     single = _counted_windows(fetched.where(F.col("m") > GROUP))
     spans = spans.withColumn("windows", F.lit(None).cast("binary")).unionByName(single, allowMissingColumns=True)
-    lists = spans.groupBy("doc_id", "th").agg(*[F.collect_list(c).alias(c) for c in ("lo", "hi", "windows")])
-    rows = _with_text(docs, lists, "left").select("doc_id", "z", "lo", "hi", "windows")
+    lists = spans.groupBy("doc_id", "th").agg(*[F.collect_list(c).alias(c) for c in ("lo", "hi", "more", "windows")])
+    rows = _with_text(docs, lists, "left").select("doc_id", "z", "lo", "hi", "more", "windows")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for z, lo, hi, windows in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True):
+            for z, lo, hi, more, windows in zip(*[b.column(i).to_pylist() for i in range(1, 6)], strict=True):
                 raw = _plain(z)
                 kept, n, runs = raw, 0, 0
                 if lo or windows:
                     one = np.frombuffer(b"".join(windows), "<i4").astype(np.int64)
+                    also = np.frombuffer(b"".join(more), "<i4").astype(np.int64).reshape(-1, 2)
                     edges = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(edges, np.concatenate([np.array(lo, np.int64), one]), 1)
-                    np.subtract.at(edges, np.concatenate([np.array(hi, np.int64), one]) + LENGTH, 1)
+                    np.add.at(edges, np.concatenate([np.array(lo, np.int64), also[:, 0], one]), 1)
+                    np.subtract.at(edges, np.concatenate([np.array(hi, np.int64), also[:, 1], one]) + LENGTH, 1)
                     gone = np.cumsum(edges[:-1]) > 0
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     n = int(gone.sum())
