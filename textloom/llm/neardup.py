@@ -9,7 +9,7 @@ texts. Every link is confirmed on the full sets.
 A bucket of documents that share a band key is never expanded into pairs. First each member is
 compared with the least of its bucket; members found linked are one component. Only buckets that
 still hold several components are searched again, in blocks of bounded size, for pairs of different
-components whose sketches allow a link. So a large group of near copies costs rows in proportion to
+components whose sketches allow a link; there only links that join components leave a task. So a large group of near copies costs rows in proportion to
 its size, and no link between components is lost but by the samples themselves: a pair at the
 threshold of 0.85 shares no band with probability (1 - 0.85**5)**24, below 1e-6.
 """
@@ -19,8 +19,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import finish, group_cuts, mix64, prepare, Scratch, utf8, whole_groups, WordHashes
@@ -133,51 +134,103 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> D
                 s = shingles(raw)
                 if not second:
                     centre, full = c, s
-                elif c == centre:
-                    both = len(np.intersect1d(full, s, assume_unique=True))
-                    if both and 100 * both >= threshold * (len(full) + len(s) - both):
-                        links.append((c, rep))
+                elif c == centre and _linked(full, s, threshold):
+                    links.append((c, rep))
             a, z = zip(*links, strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+GROUPED = ("key", "part", "band", "side", "rep", "component", "n", "sketch", "bands")
+
+
 def _popcount(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
 
 
-def _across(rows: DataFrame, most: int) -> DataFrame:
-    """rows (key, part, side, rep, component, n, sketch) by group (key, part): pairs of different
-    components that the sizes and sketches allow; between the sides of a group, or within its only side."""
-    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "side")
-
-    def pairs(t: pa.Table) -> list[tuple[int, int]]:
-        rep, comp, n = (t.column(i).to_numpy() for i in (3, 4, 5))
-        sketch = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(len(rep), -1)
-        side = t.column(2).to_numpy()
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        same = not len(right) or not len(left)
-        if same:
-            left = right = np.arange(len(rep))
-        ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum.outer(n[left], n[right]) >= THRESHOLD * np.maximum.outer(n[left], n[right]))
-        if same:
-            ok &= rep[left][:, None] < rep[right][None, :]
-        if ok.any():
-            ok &= _popcount(sketch[left], sketch[right]) <= most
-        i, j = np.nonzero(ok)
-        a, b = rep[left[i]], rep[right[j]]
-        return [*zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)]
+def _candidates(t: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a group (between its sides, or within its only side) that differ in component, share no
+    earlier band and that sizes and sketches allow; and how many sketch bits differ."""
+    rep, comp, n = (t.column(i).to_numpy() for i in (4, 5, 6))
+    sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(rep), -1)
+    keys = np.frombuffer(b"".join(t.column(8).to_pylist()), np.int64).reshape(len(rep), -1)
+    side, band = t.column(3).to_numpy(), t.column(2)[0].as_py()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = not len(right) or not len(left)
+    if within:
+        left = right = np.arange(len(rep))
+    ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum.outer(n[left], n[right]) >= THRESHOLD * np.maximum.outer(n[left], n[right]))
+    if within:
+        ok &= rep[left][:, None] < rep[right][None, :]
+    bits = _popcount(sketch[left], sketch[right]) if ok.any() else np.zeros(ok.shape, np.int64)
+    i, j = np.nonzero(ok & (bits <= most))
+    bits, i, j = bits[i, j], left[i], right[j]
+    if band and len(i):
+        new = ~(keys[i, :band] == keys[j, :band]).any(axis=1)
+        i, j, bits = i[new], j[new], bits[new]
+    return i, j, bits
+
+
+def _by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "side")
+
+
+def _promising(rows: DataFrame, most: int) -> DataFrame:
+    """The members of the groups (key, part) that are in some candidate pair; pairs are not emitted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 2):
-            cuts = group_cuts(t, 2)
-            out = [x for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in pairs(t.slice(s, e - s))]
-            if out:
-                a, z = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["c", "rep"])
+            cuts, keep = group_cuts(t, 2), np.zeros(t.num_rows, bool)
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                i, j, _ = _candidates(t.slice(s, e - s), most)
+                keep[s + i] = keep[s + j] = True
+            yield from t.filter(pa.array(keep)).to_batches()
+
+    rows = _by_group(rows.select(*GROUPED))
+    return rows.mapInArrow(run, rows.schema)
+
 
-    return rows.mapInArrow(run, "c long, rep long").distinct()
+def _links_across(rows: DataFrame, most: int) -> DataFrame:
+    """rows of groups with their texts (raw): links between components, confirmed on the full sets. A
+    group is at most two blocks; the likeliest pairs come first, pairs that the group has joined
+    already are passed over, and only the links that join components leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 2):
+            cuts, out = group_cuts(t, 2), []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                g = t.slice(s, e - s)
+                i, j, bits = _candidates(g, most)
+                rep, comp = g.column(4).to_numpy(), g.column(5).to_pylist()
+                up: dict[int, int] = {}
+                sets: dict[int, np.ndarray] = {}
+
+                def root(x: int, up: dict[int, int] = up) -> int:
+                    while (y := up.get(x, x)) != x:
+                        x = y
+                    return x
+
+                for k in np.argsort(bits, kind="stable").tolist():
+                    a, b = int(i[k]), int(j[k])
+                    x, y = root(comp[a]), root(comp[b])
+                    if x == y:
+                        continue
+                    for m in (a, b):
+                        if m not in sets:
+                            sets[m] = shingles(g.column(9)[m].as_py())
+                    if _linked(sets[a], sets[b]):
+                        up[max(x, y)] = min(x, y)
+                        out.append((int(rep[a]), int(rep[b])))
+            a, z = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+
+    return _by_group(rows.select(*GROUPED, "raw")).mapInArrow(run, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int = THRESHOLD) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -195,9 +248,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("x")
     classes = scratch.keep(usable.groupBy("h1", "h2").agg(first).select("h1", "h2", F.col("x.doc_id").alias("rep"), "x.n", "x.bands", "x.sketch"))
-    keyed = classes.select("rep", "n", "sketch", F.explode("bands").alias("key"))
+    keyed = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = scratch.keep(keyed.select("key", "rep").join(shared, "key"))
+    buckets = scratch.keep(keyed.join(shared, "key"))
     stars = buckets.where("rep != c").select("c", "rep").distinct()
     info = classes.select("rep", "n", "sketch")
     near = F.col("n") * 100 >= F.col("cn") * THRESHOLD
@@ -208,17 +261,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = scratch.keep(docs.select(F.col("doc_id").cast("long"), utf8().alias("raw")).join(wanted, "doc_id").dropDuplicates(["doc_id"]))
     links = scratch.keep(confirm(stars, texts))
     found = scratch.keep(components(links, scratch))
-    labelled = buckets.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
+    labelled = buckets.join(found, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("component"))
     labelled = scratch.keep(labelled)
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").join(info, "rep")
+    packed = classes.select("rep", "n", "sketch", _packed("bands").alias("bands"))
+    rest = labelled.join(mixed, "key", "left_semi").join(packed, "rep")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
-    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
-    more = scratch.keep(_across(rest.select("key", part.alias("part"), side.alias("side"), "rep", "component", "n", "sketch"), most))
-    links = confirm(more, texts).unionByName(links)
+    rest = rest.withColumns({"part": part, "side": F.when(F.col("block") > F.col("other"), 1).otherwise(0)})
+    rest = scratch.keep(_promising(rest, most))
+    more = _links_across(rest.join(texts, F.col("rep") == F.col("doc_id")), most)
+    links = more.unionByName(links)
     found = components(links, scratch)
     by_class = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("id"), "left")
     by_class = by_class.select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
@@ -230,6 +285,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return finish(out, scratch)
 
 
+def _packed(col: str) -> Column:
+    """An array of longs as little-endian bytes."""
+
+    @F.pandas_udf("binary")
+    def pack(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: np.asarray(x, "<i8").tobytes())
+
+    return pack(col)
+
+
 def _sketched(pairs: DataFrame, most: int) -> DataFrame:
     """Keep the pairs whose sketches differ in at most ``most`` bits (columns sketch, cs)."""
     schema = pairs.schema
