@@ -71,11 +71,27 @@ def normal(raw: bytes) -> bytes:
 def grams(texts: list[bytes]) -> np.ndarray:
     """(DEPTH + 1)-grams of the texts and their ends, one for each symbol, packed with the newest byte lowest."""
     b = np.frombuffer(b"".join(b"\0" * DEPTH + t for t in texts) + b"\0" * DEPTH, np.uint8)
-    new, last = b[DEPTH:], b[DEPTH - 1 : -1]
-    at = np.flatnonzero((new != 0) | (last != 0) | _alone(texts))
-    out = np.zeros(len(at), _U)
-    for i in range(DEPTH + 1):
-        out = out << _U(8) | b[at + i].astype(_U)
+    counted = (b[DEPTH:] != 0) | (b[DEPTH - 1 : -1] != 0) | _alone(texts)
+    return pack_windows(b, DEPTH + 1)[counted]
+
+
+def pack_windows(b: np.ndarray, k: int) -> np.ndarray:
+    """Every k consecutive bytes as one number, k at most 8; widths are doubled, so narrow types do most of the work."""
+    out, width = b, 1
+    kinds = {2: np.uint16, 4: np.uint32, 8: _U}
+    done = {1: b}
+    while 2 * width <= k:
+        x = out.astype(kinds[2 * width])
+        n = len(out) - width
+        x = x[:n] << x.dtype.type(8 * width) | out[width : width + n]
+        out, width = x, 2 * width
+        done[width] = out
+    out = out.astype(_U)
+    while width < k:
+        step = max(w for w in done if w <= k - width)
+        n = len(b) - (width + step) + 1
+        out = out[:n] << _U(8 * step) | done[step][width : width + n].astype(_U)
+        width += step
     return out
 
 
@@ -218,6 +234,47 @@ def grow(g: np.ndarray, n: np.ndarray, first: np.ndarray, total: int) -> list[tu
     return out
 
 
+class Lookup:
+    """Row numbers of 64-bit keys by open addressing, all queries at once."""
+
+    EMPTY = _U(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(len(keys) * 2.5).bit_length())
+        self.keys = np.full(1 << self.bits, self.EMPTY)
+        self.rows = np.zeros(1 << self.bits, np.int32)
+        slot, rest, self.probes = self._slot(keys), np.arange(len(keys)), 0
+        while len(rest):
+            at = slot[rest] + self.probes & len(self.keys) - 1
+            free = self.keys[at] == self.EMPTY
+            _, first = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[at[won]] = keys[rest[won]]
+            self.rows[at[won]] = rest[won]
+            rest = np.delete(rest, won)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _U(0x9E3779B97F4A7C15) >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """Row of each query, -1 where there is none."""
+        at = self._slot(q)
+        found = self.keys[at]
+        hit = found == q
+        out = np.where(hit, self.rows[at], -1)
+        rest = np.flatnonzero(~hit & (found != self.EMPTY))
+        for p in range(1, self.probes):
+            if not len(rest):
+                break
+            at_p = at[rest] + p & len(self.keys) - 1
+            found = self.keys[at_p]
+            hit = found == q[rest]
+            out[rest[hit]] = self.rows[at_p[hit]]
+            rest = rest[~hit & (found != self.EMPTY)]
+        return out
+
+
 class Tree:
     """The pruned tree as sorted arrays by depth: grams with smoothed log10 probabilities, and contexts
     with the log10 of the mass that they leave to their suffix."""
@@ -242,18 +299,27 @@ class Tree:
             lower = (u, prob)
             self.levels.append((k, u, np.log10(prob), ctx, np.log10(d / (t + d))))
 
+    def __getstate__(self) -> dict:
+        return {"root": self.root, "levels": self.levels}
+
+    def _lookups(self) -> list[tuple[Lookup, Lookup]]:
+        """Built once in each process that scores."""
+        if not hasattr(self, "_built"):
+            self._built = [(Lookup(u), Lookup(ctx)) for _, u, _, ctx, _ in self.levels]
+        return self._built
+
     def score(self, g: np.ndarray) -> np.ndarray:
         """log10 probability of the newest byte of each gram, from the longest suffix state."""
         out = np.zeros(len(g))
         rest = np.arange(len(g))
-        for k, u, lp, ctx, left in reversed(self.levels):
+        for (k, _, lp, _, left), (grams_, contexts) in reversed([*zip(self.levels, self._lookups(), strict=True)]):
             q = g[rest] & _U((1 << 8 * (k + 1)) - 1)
-            i = np.minimum(np.searchsorted(u, q), len(u) - 1)
-            hit = u[i] == q
+            i = grams_.find(q)
+            hit = i >= 0
             out[rest[hit]] += lp[i[hit]]
             rest, q = rest[~hit], q[~hit] >> _U(8)
-            i = np.minimum(np.searchsorted(ctx, q), len(ctx) - 1)
-            known = ctx[i] == q
+            i = contexts.find(q)
+            known = i >= 0
             out[rest[known]] += left[i[known]]
         out[rest] += self.root[(g[rest] & _U(0xFF)).astype(np.int64)]
         return out
@@ -317,7 +383,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     scale = float(np.log10(tokens + kinds + 1))
     texts = rows.where(F.col("kind") == TEXTS).select("gid", F.lit(1).alias("second"), "part", "doc_id", "held_out", "data", F.lit(None).cast("binary").alias("counts"))
     tables = words.select("gid", F.lit(0).alias("second"), "part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "data", "counts")
-    both = texts.unionByName(tables).repartition("gid").sortWithinPartitions("gid", "second", "part")
+    groups = max(rows.where(F.col("kind") == TOTALS).count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = texts.unionByName(tables).repartition(groups, "gid").sortWithinPartitions("gid", "second", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zstandard import ZstdDecompressor
