@@ -238,6 +238,16 @@ def test_tree_is_a_distribution_and_learns():
     assert per_symbol(b"the cat sat") > per_symbol(b"tqe czt sxt")
 
 
+def test_a_context_stays_whatever_else_the_corpus_holds():
+    rare = np.unique(lm.grams([b"xabcdefp", b"yabcdefq"] * 20), return_counts=True)
+    rest, n = np.unique(lm.grams([b"the cat sat on the mat"]), return_counts=True)
+    u, n = np.concatenate([rare[0], rest]), np.concatenate([rare[1], n * 10**8])
+    u, n = u[np.argsort(u)], n[np.argsort(u)]
+    pair = np.bincount((u & np.uint64(0xFFFF)).astype(int), n, 65536).astype(np.int64).reshape(256, 256)
+    kept = {int(g) >> 8 for k, grams, _ in lm.grow(u, n, pair, int(n.sum())) if k == 7 for g in grams}
+    assert {int.from_bytes(c, "big") for c in (b"xabcdef", b"yabcdef")} <= kept
+
+
 def test_held_out_split_is_by_crc():
     assert hashlib.sha256(bytes(lm.held_out(i) for i in range(1000))).digest()
     assert 100 < sum(lm.held_out(i) for i in range(1000)) < 190 and lm.held_out(None) is False

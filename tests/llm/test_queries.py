@@ -192,6 +192,19 @@ def test_language_model(docs, empty, rows):
     assert lm.score_texts(empty).count() == 0
 
 
+def test_language_model_in_parts_is_that_of_the_whole(docs, rows):
+    normal = [lm.normal((r[1] or "").encode()) for r in rows]
+    u, n = np.unique(lm.grams([t for t, r in zip(normal, rows, strict=True) if not lm.held_out(r[0])]), return_counts=True)
+    pair = np.bincount((u & np.uint64(0xFFFF)).astype(int), n, 65536).astype(np.int64).reshape(256, 256)
+    kept = lm.grow(u, n, pair, int(n.sum()))
+    assert max(k for k, g, _ in kept if len(g)) > 5
+    tree = lm.Tree(pair, {k: (g, c.astype(np.int64)) for k, g, c in kept})
+    want = sorted((str(r[0]), tree.score(lm.grams([t])).sum()) for t, r in zip(normal, rows, strict=True))
+    got = sorted((str(r.doc_id), r.score) for r in lm.score_texts(docs).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-5)
+
+
 def test_packing(docs, empty, rows):
     pieces = packing.tokenize_pieces(docs)
     placed = packing.pack(pieces).collect()

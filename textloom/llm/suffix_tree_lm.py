@@ -1,15 +1,18 @@
 """Language-model scoring by a probabilistic suffix tree over bytes, beside a word-unigram base.
 
 Symbols are the bytes of the lower-cased words of a text, joined by single spaces, and one end sign.
-Contexts of up to DEPTH symbols are counted over all training texts. A context stays if it holds a
-share of LEAST of all symbols and its next-symbol distribution diverges from that of its suffix (one
-symbol shorter) by at least GAIN nats for each symbol of the corpus; with it stay its suffixes. Next
-symbols are smoothed by Witten-Bell towards the suffix, down to a uniform root. A text is scored with
-the longest suffix state at each place. LEAST bounds the tree: at most 1 / LEAST contexts a depth.
+Contexts of up to DEPTH symbols are counted over all training texts; DEPTH + 1 symbols fill a machine
+word, and no context is longer. All contexts of one and two symbols stay. A longer one stays if it
+occurs LEAST times and its counts diverge from the distribution of its suffix (one symbol shorter) by
+COST nats for each of its next symbols; with it stay its suffixes. Neither test looks at the size of
+the corpus, so the tree grows with it. Next symbols are smoothed by Witten-Bell towards the suffix,
+down to a uniform root. A text is scored with the longest suffix state at each place.
 
 One pass over the texts writes, for chunks of texts, the counts of words and of (DEPTH + 1)-grams as
-sorted, packed arrays split by key range, and the texts themselves compressed. Counts meet by key
-range; each chunk gets back the corpus counts of its own words only, so no vocabulary is broadcast.
+sorted, packed arrays split by key, and the texts themselves compressed. Counts meet by key: words by
+range, grams by the three newest symbols of their context, where the part of the tree below those is
+grown. Each chunk gets back the corpus counts of its own words and the probabilities of its own grams
+only, so neither a vocabulary nor a tree is broadcast; counts of three symbols are (at most 2**24).
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import finish, prepare, Scratch, utf8, whole_groups, WordHashes
+from textloom.llm.common import finish, group_cuts, mix64, prepare, Scratch, utf8, whole_groups, WordHashes
 
-DEPTH = 5
-LEAST, GAIN = 1e-6, 1e-7
+DEPTH = 7
+LEAST = 2
 #: Nats that each next symbol of a context must earn, so that small corpora do not grow chance contexts.
 COST = 2.0
-CHUNK = 32_000_000  # bytes of text
+CHUNK, BLOCK = 32_000_000, 4_000_000  # bytes of text
 DOCS_A_PART = 4096
 HELD_OUT = (7, 2)  # crc32(doc_id) mod 7 = 2
 
@@ -110,9 +113,30 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return u, np.bincount(i, counts, len(u)).astype(np.int64)
 
 
+def _merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """_sum_by of runs (keys, counts) with sorted keys, which a stable sort only has to merge."""
+    keys = np.concatenate([np.zeros(0, _U), *[k for k, _ in runs]])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], np.concatenate([np.zeros(0, np.int64), *[c for _, c in runs]])[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def _gram_part(g: np.ndarray, parts: int) -> np.ndarray:
-    """By the two newest context bytes, so that a context and its suffixes down to two bytes meet."""
-    return (g >> _U(8) & _U(0xFFFF)) * _U(40503) % _U(65521) % _U(parts)
+    """By the three newest context bytes, so that a context and its suffixes down to three bytes meet."""
+    return mix64(g >> _U(8) & _U(0xFFFFFF)) % _U(parts)
+
+
+def _triples(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of the three newest bytes, in slices so that the table of sums stays small."""
+    low, out = g & _U(0xFFFFFF), []
+    for at in range(0, 1 << 24, 1 << 21):
+        i = low >> _U(21) == at >> 21
+        if i.any():
+            c = np.bincount((low[i] - _U(at)).astype(np.int64), n[i]).astype(np.int64)
+            k = np.flatnonzero(c)
+            out.append((k.astype(_U) + _U(at), c[k]))
+    return _merge(out)
 
 
 def _count_chunks(docs: DataFrame, parts: int) -> DataFrame:
@@ -130,7 +154,18 @@ def _count_chunks(docs: DataFrame, parts: int) -> DataFrame:
         keys: list[np.ndarray] = []
         flags: list[np.ndarray] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        size = n_docs = 0
+        train: list[bytes] = []
+        held: list[bytes] = []
+        size = waiting = n_docs = 0
+
+        def count() -> None:
+            if train:
+                found.append(np.unique(grams(train), return_counts=True))
+            if held:  # scored, not learnt from
+                u = np.unique(grams(held))
+                found.append((u, np.zeros(len(u), np.int64)))
+            train.clear()
+            held.clear()
 
         def end() -> pa.RecordBatch:
             u, c = _sum_by(np.concatenate([np.zeros(0, _U), *keys]), np.concatenate([np.zeros(0), *flags]))
@@ -139,37 +174,35 @@ def _count_chunks(docs: DataFrame, parts: int) -> DataFrame:
             for p in range(parts):
                 if (s := int(cut[p])) < (e := int(cut[p + 1])):
                     rows.append((WORDS, p, task + chunk, None, None, pack_keys(u[s:e]), _zip(c[s:e]), None, None))
-            g, n = _sum_by(np.concatenate([np.zeros(0, _U), *[x for x, _ in found]]), np.concatenate([np.zeros(0, np.int64), *[x for _, x in found]]))
+            count()
+            g, n = _merge(found)
             of = _gram_part(g, parts)
             for p in np.unique(of).tolist():
                 i = of == p
                 rows.append((GRAMS, p, task + chunk, None, None, pack_keys(g[i]), _zip(n[i]), None, None))
-            pair = np.bincount((g & _U(0xFFFF)).astype(np.int64), n, 65536).astype(np.int64)
-            rows.append((TOTALS, 0, task + chunk, None, None, _zip(pair), None, int(c.sum()), n_docs))
+            triples, sums = _triples(g, n)
+            rows.append((TOTALS, 0, task + chunk, None, None, pack_keys(triples), _zip(sums), int(c.sum()), n_docs))
             return batch(rows)
 
         for b in batches:
-            rows, train = [], []
+            rows = []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out, t = held_out(doc), normal(raw)
                 words = t.split()
                 keys.append(_words.of(words))
                 flags.append(np.full(len(words), float(not out)))
                 rows.append((TEXTS, 0, task + chunk, doc, out, z.compress(t), None, None, None))
-                size += len(t)
-                if not out:
-                    train.append(t)
+                size, waiting, n_docs = size + len(t), waiting + len(t) + 1, n_docs + (not out)
+                (held if out else train).append(t)
+                if waiting >= BLOCK:
+                    count()
+                    waiting = 0
             if rows:
                 yield batch(rows)
-            if train:
-                n_docs += len(train)
-                found.append(np.unique(grams(train), return_counts=True))
-                if len(found) > 8:
-                    found = [_sum_by(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))]
             if size >= CHUNK:
                 yield end()
-                keys, flags, found, size, n_docs, chunk = [], [], [], 0, 0, chunk + 1
-        if size or n_docs:
+                keys, flags, found, size, waiting, n_docs, chunk = [], [], [], 0, 0, 0, chunk + 1
+        if keys:
             yield end()
 
     return docs.mapInArrow(run, ROW)
@@ -207,27 +240,22 @@ def contexts_of(g: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, .
     return u, c, ctx, of, np.bincount(of, c, len(ctx)), np.bincount(of, minlength=len(ctx))
 
 
-def grow(g: np.ndarray, n: np.ndarray, first: np.ndarray, total: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(depth, grams, counts) of the contexts of two bytes and more that the tests retain."""
-    tables = {1: (None, first.ravel().astype(float), None, None, first.sum(axis=1).astype(float))}
-    keep: dict[int, np.ndarray] = {}
-    for k in range(2, DEPTH + 1):
-        u, c, ctx, of, total_k, kinds = contexts_of(g, n, k)
-        below = _U((1 << 8 * k) - 1)
-        if k == 2:
-            up = (u & _U(0xFFFF)).astype(np.int64)
-            parent_c, parent_t = tables[1][1][up], tables[1][4][up >> 8]
-        else:
-            pu, pc, _, pof, pt, *_ = tables[k - 1]
-            at = np.searchsorted(pu, u & below)
-            parent_c, parent_t = pc[at], pt[pof[at]]
-        gain = np.bincount(of, c * (np.log(c / total_k[of]) - np.log(parent_c / parent_t)), len(ctx))
-        keep[k] = (total_k >= LEAST * total) & (gain >= np.maximum(GAIN * total, COST * kinds))
-        tables[k] = (u, c, ctx, of, total_k, None)
+def grow(g: np.ndarray, n: np.ndarray, first: np.ndarray, total: int, triples: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, grams, counts) of the retained contexts of two bytes and more, from grams with counts of at
+    least 1. ``triples`` gives the three-byte counts where g is but a part that a context and its suffixes
+    down to three bytes share. Neither ``first`` nor ``total`` changes what is retained."""
+    tables = {2: contexts_of(*(triples or (g, n)), 2)}
+    keep = {2: np.ones(len(tables[2][2]), bool)}
+    for k in range(3, DEPTH + 1):
+        u, c, ctx, of, total_k, kinds = tables[k] = contexts_of(g, n, k)
+        pu, pc, _, pof, pt, _ = tables[k - 1]
+        at = np.searchsorted(pu, u & _U((1 << 8 * k) - 1))
+        gain = np.bincount(of, c * (np.log(c / total_k[of]) - np.log(pc[at] / pt[pof[at]])), len(ctx))
+        keep[k] = (total_k >= LEAST) & (gain >= COST * kinds)
     out = []
     for k in range(DEPTH, 1, -1):
         u, c, ctx, of, *_ = tables[k]
-        if k > 2:  # the suffix of a retained context is retained
+        if k > 3:  # the suffix of a retained context is retained
             keep[k - 1] |= np.isin(tables[k - 1][2], ctx[keep[k]] & _U((1 << 8 * (k - 1)) - 1))
         i = keep[k][of]
         out.append((k, u[i], c[i]))
@@ -235,7 +263,7 @@ def grow(g: np.ndarray, n: np.ndarray, first: np.ndarray, total: int) -> list[tu
 
 
 class Lookup:
-    """Row numbers of 64-bit keys by open addressing, all queries at once."""
+    """Row numbers of 64-bit keys by open addressing, all queries at once; no key is EMPTY, as UTF-8 has no byte 255."""
 
     EMPTY = _U(2**64 - 1)
 
@@ -299,11 +327,8 @@ class Tree:
             lower = (u, prob)
             self.levels.append((k, u, np.log10(prob), ctx, np.log10(d / (t + d))))
 
-    def __getstate__(self) -> dict:
-        return {"root": self.root, "levels": self.levels}
-
     def _lookups(self) -> list[tuple[Lookup, Lookup]]:
-        """Built once in each process that scores."""
+        """Built at the first score."""
         if not hasattr(self, "_built"):
             self._built = [(Lookup(u), Lookup(ctx)) for _, u, _, ctx, _ in self.levels]
         return self._built
@@ -325,39 +350,48 @@ class Tree:
         return out
 
 
-def _grow_tree(rows: DataFrame, first: np.ndarray) -> Tree:
-    total = int(first.sum())
-    shared = rows.sparkSession.sparkContext.broadcast(first)  # 256 x 256 counts
-    rows = rows.select("part", "data", "counts").repartition("part").sortWithinPartitions("part")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, 1):
-            part, data, counts = (t.column(i).to_pylist() for i in range(3))
-            for p in sorted(set(part)):
-                i = [k for k, x in enumerate(part) if x == p]
-                g, n = _sum_by(np.concatenate([unpack_keys(data[k]) for k in i]), np.concatenate([_unzip(counts[k]) for k in i]))
-                kept = grow(g, n, shared.value, total)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in kept], pa.int32()), pa.array([pack_keys(u) for _, u, _ in kept], pa.binary()), pa.array([_zip(c.astype(np.int64)) for _, _, c in kept], pa.binary())], ["depth", "data", "counts"])
+GRAM_ROW = "gid long, part int, data binary, counts binary"
 
-    levels: dict[int, list] = {}
-    for r in rows.mapInArrow(run, "depth int, data binary, counts binary").collect():  # bounded by LEAST
-        levels.setdefault(r.depth, []).append((unpack_keys(bytes(r.data)), _unzip(bytes(r.counts))))
-    return Tree(first, {k: _sum_by(np.concatenate([u for u, _ in x]), np.concatenate([c for _, c in x])) for k, x in levels.items()})
 
+def _score_grams(rows: DataFrame, triples: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Per part of the tree: each chunk's grams with the log10 probability (counts: as float32) of their newest byte."""
+    shared = rows.sparkSession.sparkContext.broadcast(triples)
+    rows = rows.select("part", "gid", "data", "counts").repartition("part").sortWithinPartitions("part", "gid")
 
-def _totals(rows: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Pair counts (previous byte, byte), training words and training texts, summed in the tasks first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u3, c3 = shared.value
+        first = np.bincount((u3 & _U(0xFFFF)).astype(np.int64), c3, 65536).astype(np.int64).reshape(256, 256)
+        total = int(first.sum())
+        for t in whole_groups(batches, 1):
+            cuts = group_cuts(t, 1)
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                part, gid, data, counts = (t.column(i).slice(s, e - s).to_pylist() for i in range(4))
+                keys = [unpack_keys(x) for x in data]
+                g, n = _merge([*zip(keys, map(_unzip, counts), strict=True)])
+                own = np.isin(u3 >> _U(8), np.unique(g >> _U(8) & _U(0xFFFF)))
+                low = (u3[own], c3[own])
+                kept = grow(g[n > 0], n[n > 0], first, total, low)
+                lp = Tree(first, {k: (u, c.astype(np.int64)) for k, u, c in kept}).score(g).astype(np.float32)
+                for i, k in enumerate(keys):
+                    back = _zip(lp[np.searchsorted(g, k)])
+                    cols = [pa.array(gid[i : i + 1]), pa.array(part[i : i + 1], pa.int32()), pa.array(data[i : i + 1], pa.binary()), pa.array([back], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in GRAM_ROW.split(", ")])
+
+    return rows.mapInArrow(run, GRAM_ROW)
+
+
+def _totals(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int, int]:
+    """Counts of three bytes, training words and training texts, summed in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, n, docs = np.zeros(65536, np.int64), 0, 0
+        triples, n, docs = _merge([]), 0, 0
         for b in batches:
-            for x in b.column(0).to_pylist():
-                pair = pair + _unzip(x)
-            n, docs = n + sum(b.column(1).to_pylist()), docs + sum(b.column(2).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([_zip(pair)], pa.binary()), pa.array([n]), pa.array([docs])], ["data", "n", "docs"])
+            triples = _merge([triples, *[(unpack_keys(k), _unzip(c)) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]])
+            n, docs = n + sum(b.column(2).to_pylist()), docs + sum(b.column(3).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pack_keys(triples[0])], pa.binary()), pa.array([_zip(triples[1])], pa.binary()), pa.array([n]), pa.array([docs])], ["data", "counts", "n", "docs"])
 
-    got = rows.select("data", "n", "docs").repartition(8).mapInArrow(run, "data binary, n long, docs long").collect()
-    return sum((_unzip(bytes(r.data)) for r in got), np.zeros(65536, np.int64)).reshape(256, 256), sum(r.n for r in got), sum(r.docs for r in got)
+    got = rows.select("data", "counts", "n", "docs").repartition(8).mapInArrow(run, "data binary, counts binary, n long, docs long").collect()
+    return _merge([(unpack_keys(bytes(r.data)), _unzip(bytes(r.counts))) for r in got]), sum(r.n for r in got), sum(r.docs for r in got)
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -375,46 +409,54 @@ def score_texts(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     parts = 1 << max(6, min(16, (docs.count() // DOCS_A_PART).bit_length()))
     rows = scratch.keep(_count_chunks(docs.select(F.col("doc_id").cast("long"), utf8().alias("raw")), parts))
-    first, n_words, n_docs = _totals(rows.where(F.col("kind") == TOTALS))
+    triples, n_words, n_docs = _totals(rows.where(F.col("kind") == TOTALS))
     words = scratch.keep(_meet_words(rows.where(F.col("kind") == WORDS)))
     distinct = words.groupBy("part").agg(F.max("v").alias("v")).agg(F.sum("v")).first()[0] or 0
-    tree = spark.sparkContext.broadcast(_grow_tree(rows.where(F.col("kind") == GRAMS), first))
+    scored = _score_grams(rows.where(F.col("kind") == GRAMS), triples)
     tokens, kinds = n_words + n_docs, distinct + (n_docs > 0)
     scale = float(np.log10(tokens + kinds + 1))
-    texts = rows.where(F.col("kind") == TEXTS).select("gid", F.lit(1).alias("second"), "part", "doc_id", "held_out", "data", F.lit(None).cast("binary").alias("counts"))
+    texts = rows.where(F.col("kind") == TEXTS).select("gid", F.lit(2).alias("second"), "part", "doc_id", "held_out", "data", F.lit(None).cast("binary").alias("counts"))
     tables = words.select("gid", F.lit(0).alias("second"), "part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "data", "counts")
+    states = scored.select("gid", F.lit(1).alias("second"), "part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "data", "counts")
     groups = max(rows.where(F.col("kind") == TOTALS).count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = texts.unionByName(tables).repartition(groups, "gid").sortWithinPartitions("gid", "second", "part")
+    both = texts.unionByName(tables).unionByName(states).repartition(groups, "gid").sortWithinPartitions("gid", "second", "part")
+
+    def result(out: list[tuple], here: list[bytes], model: tuple[Lookup, np.ndarray]) -> pa.RecordBatch:
+        lp = model[1][model[0].find(grams(here))]
+        ends = np.cumsum([len(t) + 1 for t in here])
+        sums = np.diff(np.concatenate([[0.0], np.cumsum(lp, dtype=float)])[np.concatenate([[0], ends])])
+        cols = [*zip(*out, strict=True), sums]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split(" ")[0] for x in SCORED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zstandard import ZstdDecompressor
 
-        z, model = ZstdDecompressor(), tree.value
-        at, pending, keys, counts = None, [], np.zeros(0, _U), np.zeros(0)
+        z, none = ZstdDecompressor(), (np.zeros(0, _U), np.zeros(0))
+        at, pending, model, keys, counts = None, ([], []), None, *none
         for b in batches:
             out, here = [], []
             for gid, second, _, doc, held, data, c in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
                 if gid != at:
-                    at, pending, keys, counts = gid, [], np.zeros(0, _U), np.zeros(0)
-                if not second:
-                    pending.append((unpack_keys(data), _unzip(c)))
+                    if here:
+                        yield result(out, here, model)
+                        out, here = [], []
+                    at, pending, model, keys, counts = gid, ([], []), None, *none
+                if second < 2:
+                    pending[second].append((unpack_keys(data), _unzip(c, np.float32 if second else np.int64)))
                     continue
-                if pending:
-                    keys, counts = np.concatenate([k for k, _ in pending]), np.concatenate([c for _, c in pending])
-                    pending = []
+                if model is None:
+                    keys, counts = (np.concatenate(x) for x in zip(none, *pending[0], strict=True))
+                    states, lp = (np.concatenate(x) for x in zip(*pending[1], strict=True))
+                    model, pending = (Lookup(states), lp), ([], [])
                 t = z.decompress(data) if data else b""
                 words = t.split()
                 c = counts[np.searchsorted(keys, _words.of(words))] if words else np.zeros(0)
                 base = float(np.log10(c + 1).sum() + np.log10(n_docs + 1)) - (len(words) + 1) * scale
                 out.append((doc, held, len(words) + 1, int((c > 0).sum()) + (n_docs > 0), tokens, base))
                 here.append(t)
-            if out:
-                lp = model.score(grams(here))
-                ends = np.cumsum([len(t) + 1 for t in here])
-                sums = np.diff(np.concatenate([[0.0], np.cumsum(lp)])[np.concatenate([[0], ends])])
-                cols = [*zip(*out, strict=True), sums]
-                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split(" ")[0] for x in SCORED.split(", ")])
+            if here:
+                yield result(out, here, model)
 
     return finish(both.mapInArrow(run, SCORED), scratch)
 
