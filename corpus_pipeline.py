@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from textloom.llm import common, mixing, neardup, packing, pii, quality
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Hundredths of similarity from which documents are near-duplicates here; op1 has its own.
+NEAR = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +24,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id. Documents without an
+    """One document of each group of near-duplicates (similarity 0.80 or more), the one with the least id. Documents without an
     id are in no group. Rows that repeat an id and its text are one document."""
     docs = docs.select(*DOCUMENTS)
-    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, NEAR).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL")).select(*DOCUMENTS)
 
 

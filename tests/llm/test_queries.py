@@ -257,6 +257,21 @@ def test_names_are_registered():
     assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 11)] == [1] * 10
 
 
+def test_pipeline_links_from_a_similarity_of_080(spark, tmp_path):
+    import corpus_pipeline
+
+    word = [f"w{i}" for i in range(94)]  # 90 shingles each; the last k words differ, so k of them do
+    similar = lambda k: " ".join(word[: 94 - k] + [f"x{k}x{i}" for i in range(k)])
+    texts = [" ".join(word), similar(10), similar(11)]  # 80 of 100 and 79 of 101 shared
+    base, at, under = sets([(i, t) for i, t in enumerate(texts)])
+    assert 100 * len(base & at) == 80 * len(base | at) and 100 * len(base & under) < 80 * len(base | under)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for copy, left in ((texts[1], [1]), (texts[2], [1, 2])):
+        docs = spark.createDataFrame([(1, texts[0], "en", "s", 1), (2, copy, "en", "s", 1)], schema)
+        assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == left
+    assert (1 - 0.80**neardup.ROWS) ** neardup.bands_for(80) < 1e-6 and neardup.bands_for(85) == neardup.BANDS
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 

@@ -1,8 +1,8 @@
 """MinHash near-duplicates with Odd sketches: banded candidates, sketch filter, exact confirmation.
 
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Documents with equal sets form
-a class, and one document stands for it from there on. BANDS x ROWS MinHash samples give the band
-keys; the same samples, folded into a bitmap by parity (Odd sketch), let the population count of the
+a class, and one document stands for it from there on. Bands of ROWS MinHash samples, as many as the
+threshold needs, give the band keys; the same samples, folded into a bitmap by parity (Odd sketch), let the population count of the
 XOR of two bitmaps estimate high similarities precisely, so that few wrong candidates reach the
 texts. Every link is confirmed on the full sets.
 
@@ -11,7 +11,8 @@ compared with the least of its bucket; members found linked are one component. O
 still hold several components are searched again, in blocks of bounded size, for pairs of different
 components whose sketches allow a link; there only links that join components leave a task. So a large group of near copies costs rows in proportion to
 its size, and no link between components is lost but by the samples themselves: a pair at the
-threshold of 0.85 shares no band with probability (1 - 0.85**5)**24, below 1e-6.
+threshold shares no band with probability below MISS: (1 - 0.85**5)**24 at 0.85, (1 - 0.80**5)**35 at
+0.80.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from textloom.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 SKETCH_BITS = 512
-#: Links need 100 * intersection >= THRESHOLD * union.
+#: Links need 100 * intersection >= threshold * union; this is the one of op1.
 THRESHOLD = 85
-#: Sketch estimates below this are out: over four standard errors under the threshold.
-LEAST_ESTIMATE = 0.70
+MISS, MOST_BANDS = 1e-6, 64
+#: Sketch estimates this many hundredths under the threshold are out: over four standard errors.
+MARGIN = 15
 SALTS, BLOCK = 16, 256
 
 _U = np.uint64
@@ -41,9 +43,19 @@ _words = WordHashes()
 _rng = np.random.default_rng(20240601)
 _A = (_rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+_A = np.append(_A, (_rng.integers(0, 2**31, (MOST_BANDS - BANDS) * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32))
+_B = np.append(_B, _rng.integers(0, 2**32, (MOST_BANDS - BANDS) * ROWS, dtype=np.uint64).astype(np.uint32))
 _P = _U(0x9E3779B97F4A7C15)
 
 
+def bands_for(threshold: int) -> int:
+    """The least number of bands that a pair at the threshold misses with a probability below MISS."""
+    bands = int(np.ceil(np.log(MISS) / np.log1p(-((threshold / 100) ** ROWS))))
+    if bands > MOST_BANDS:
+        raise ValueError(f"a threshold of {threshold} needs {bands} bands, more than {MOST_BANDS}")
+    return bands
+
+
 def shingles(raw: bytes, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ASCII-lower-cased words."""
     words = raw.lower().split()
@@ -57,19 +69,21 @@ def shingles(raw: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(mix64(h))
 
 
-def samples(s: np.ndarray) -> np.ndarray:
+def samples(s: np.ndarray, bands: int = BANDS) -> np.ndarray:
     x = (s >> _U(32)).astype(np.uint32)
-    out = np.full(len(_A), 0xFFFFFFFF, np.uint32)
+    n = bands * ROWS
+    out = np.full(n, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
-        h = _A[:, None] * x[None, at : at + 2048]
-        h += _B[:, None]
+        h = _A[:n, None] * x[None, at : at + 2048]
+        h += _B[:n, None]
         np.minimum(out, h.min(axis=1), out=out)
     return out
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    h = np.arange(1, BANDS + 1, dtype=_U)
-    for r in m.reshape(BANDS, ROWS).T.astype(_U):
+    rows = m.reshape(-1, ROWS)
+    h = np.arange(1, len(rows) + 1, dtype=_U)
+    for r in rows.T.astype(_U):
         h = mix64(h * _P + r)
     return h.view(np.int64)
 
@@ -80,17 +94,17 @@ def odd_sketch(m: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool))
 
 
-def most_differing() -> int:
-    """The largest XOR population count whose estimate reaches LEAST_ESTIMATE."""
+def most_differing(threshold: int = THRESHOLD) -> int:
+    """The largest XOR population count whose estimate is at most MARGIN under the threshold."""
     z = np.arange(SKETCH_BITS // 2)
     differing = -SKETCH_BITS / 2 * np.log1p(-2 * z / SKETCH_BITS)
-    return int(z[1 - differing / (2 * BANDS * ROWS) >= LEAST_ESTIMATE].max())
+    return int(z[1 - differing / (2 * bands_for(threshold) * ROWS) >= (threshold - MARGIN) / 100].max())
 
 
 SIGNED = "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +117,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 h1.append(int(m.sum(dtype=_U).astype(np.int64)))
                 h2.append(int(np.bitwise_xor.reduce(mix64(m)).astype(np.int64)) if len(s) else 0)
                 if len(s):
-                    x = samples(s)
+                    x = samples(s, n_bands)
                     bands.append(band_keys(x))
                     sketch.append(odd_sketch(x).tobytes())
                 else:
@@ -149,7 +163,7 @@ def _popcount(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
 
 
-def _candidates(t: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(t: pa.Table, most: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a group (between its sides, or within its only side) that differ in component, share no
     earlier band and that sizes and sketches allow; and how many sketch bits differ."""
     rep, comp, n = (t.column(i).to_numpy() for i in (4, 5, 6))
@@ -160,7 +174,7 @@ def _candidates(t: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     within = not len(right) or not len(left)
     if within:
         left = right = np.arange(len(rep))
-    ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum.outer(n[left], n[right]) >= THRESHOLD * np.maximum.outer(n[left], n[right]))
+    ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum.outer(n[left], n[right]) >= threshold * np.maximum.outer(n[left], n[right]))
     if within:
         ok &= rep[left][:, None] < rep[right][None, :]
     bits = _popcount(sketch[left], sketch[right]) if ok.any() else np.zeros(ok.shape, np.int64)
@@ -176,14 +190,14 @@ def _by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "part").sortWithinPartitions("key", "part", "side")
 
 
-def _promising(rows: DataFrame, most: int) -> DataFrame:
+def _promising(rows: DataFrame, most: int, threshold: int) -> DataFrame:
     """The members of the groups (key, part) that are in some candidate pair; pairs are not emitted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 2):
             cuts, keep = group_cuts(t, 2), np.zeros(t.num_rows, bool)
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                i, j, _ = _candidates(t.slice(s, e - s), most)
+                i, j, _ = _candidates(t.slice(s, e - s), most, threshold)
                 keep[s + i] = keep[s + j] = True
             yield from t.filter(pa.array(keep)).to_batches()
 
@@ -191,7 +205,7 @@ def _promising(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _links_across(rows: DataFrame, most: int) -> DataFrame:
+def _links_across(rows: DataFrame, most: int, threshold: int) -> DataFrame:
     """rows of groups with their texts (raw): links between components, confirmed on the full sets. A
     group is at most two blocks; the likeliest pairs come first, pairs that the group has joined
     already are passed over, and only the links that join components leave the task."""
@@ -201,7 +215,7 @@ def _links_across(rows: DataFrame, most: int) -> DataFrame:
             cuts, out = group_cuts(t, 2), []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 g = t.slice(s, e - s)
-                i, j, bits = _candidates(g, most)
+                i, j, bits = _candidates(g, most, threshold)
                 rep, comp = g.column(4).to_numpy(), g.column(5).to_pylist()
                 up: dict[int, int] = {}
                 sets: dict[int, np.ndarray] = {}
@@ -219,7 +233,7 @@ def _links_across(rows: DataFrame, most: int) -> DataFrame:
                     for m in (a, b):
                         if m not in sets:
                             sets[m] = shingles(g.column(9)[m].as_py())
-                    if _linked(sets[a], sets[b]):
+                    if _linked(sets[a], sets[b], threshold):
                         up[max(x, y)] = min(x, y)
                         out.append((int(rep[a]), int(rep[b])))
             a, z = zip(*out, strict=True) if out else ((), ())
@@ -233,8 +247,9 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text; other columns ignored) -> doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """docs (doc_id, text; other columns ignored) -> doc_id, n_shingles, component_id, kept. Links need a
+    similarity of ``threshold`` hundredths.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing; texts of
     fewer than five words are one shingle. A null doc_id links with nothing: component_id is null and
@@ -243,8 +258,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    most = most_differing()
-    signed = scratch.keep(signatures(docs))
+    most = most_differing(threshold)
+    signed = scratch.keep(signatures(docs, bands_for(threshold)))
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("x")
     classes = scratch.keep(usable.groupBy("h1", "h2").agg(first).select("h1", "h2", F.col("x.doc_id").alias("rep"), "x.n", "x.bands", "x.sketch"))
@@ -253,13 +268,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = scratch.keep(keyed.join(shared, "key"))
     stars = buckets.where("rep != c").select("c", "rep").distinct()
     info = classes.select("rep", "n", "sketch")
-    near = F.col("n") * 100 >= F.col("cn") * THRESHOLD
-    near = near & (F.col("cn") * 100 >= F.col("n") * THRESHOLD)
+    near = F.col("n") * 100 >= F.col("cn") * threshold
+    near = near & (F.col("cn") * 100 >= F.col("n") * threshold)
     stars = stars.join(info, "rep").join(info.select(F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("sketch").alias("cs")), "c").where(near)
     stars = scratch.keep(_sketched(stars, most).select("c", "rep"))
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = scratch.keep(docs.select(F.col("doc_id").cast("long"), utf8().alias("raw")).join(wanted, "doc_id").dropDuplicates(["doc_id"]))
-    links = scratch.keep(confirm(stars, texts))
+    links = scratch.keep(confirm(stars, texts, threshold))
     found = scratch.keep(components(links, scratch))
     labelled = buckets.join(found, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("component"))
     labelled = scratch.keep(labelled)
@@ -271,8 +286,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
     rest = rest.withColumns({"part": part, "side": F.when(F.col("block") > F.col("other"), 1).otherwise(0)})
-    rest = scratch.keep(_promising(rest, most))
-    more = _links_across(rest.join(texts, F.col("rep") == F.col("doc_id")), most)
+    rest = scratch.keep(_promising(rest, most, threshold))
+    more = _links_across(rest.join(texts, F.col("rep") == F.col("doc_id")), most, threshold)
     links = more.unionByName(links)
     found = components(links, scratch)
     by_class = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("id"), "left")
