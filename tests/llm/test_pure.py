@@ -93,6 +93,20 @@ def test_pii_kinds():
     assert pii.score("email a@b.cd", "email", 6, 12) > pii.score("a@b.cd", "email", 0, 6)
 
 
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"])
+@pytest.mark.parametrize("after", ["", ",", " Please pay", " BIC X", " 2024", " A", " A 1 B 2", " COBADEFFXXX 12 2024 AND MORE", "é", " NO9386011117947"])
+def test_iban_before_capitals_and_digits(iban, after):
+    got = pii.extra_spans(f"to {iban}{after}")
+    assert ("iban", 3, 3 + len(iban)) in got and len(got) == 1 + after.count("NO93")
+    assert pii.extra_spans(f"to {iban[:-1]}{'0' if iban[-1] != '0' else '1'}") == []
+    assert pii.extra_spans(f"{iban}0") == pii.extra_spans(f"x{iban}") == []
+
+
+@pytest.mark.parametrize("t", ["AA11" * 75_000, "AA11 " * 60_000, "AA11A A A A A A A A A A A A A " * 10_000])
+def test_iban_is_linear(t):
+    pii.extra_spans(t)
+
+
 @pytest.mark.parametrize("t", ["a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 150_000, "a@" * 150_000, "+" + "1 " * 150_000])
 def test_pii_is_linear(t):
     pii.base_spans(t)

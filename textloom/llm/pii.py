@@ -2,7 +2,7 @@
 
 Base kinds, each found leftmost and without overlap of its own kind, failing matches dropped without a
 second try: email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (``+``, 9 to 15
-digits). The method adds: iban (mod-97 = 1), and ssn-like numbers (ddd-dd-dddd), which have no
+digits). The method adds: iban (mod-97 = 1, at the length of its country, else the longest that ends at a word boundary and passes), and ssn-like numbers (ddd-dd-dddd), which have no
 checksum and count only where a context word is near. Offsets are code points, ends exclusive.
 
 Every search runs in time linear in the text: runs are entered only at their first character or from
@@ -30,7 +30,17 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}))")
+#: Lengths of IBANs by country (ISO 13616).
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SEPARATORS = str.maketrans("", "", " ().+-")
 
@@ -93,8 +103,26 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _iban_end(t: str, start: int, most: int) -> int:
+    """The end, at a word boundary up to ``most``, at which the IBAN from ``start`` passes mod-97: at the length
+    of its country, else the last one; 0 if there is none."""
+    best, usual = 0, IBAN_LENGTHS.get(t[start : start + 2])
+    for end in range(most, start + 14, -1):
+        if t[end - 1] != " " and not (end < len(t) and t[end].isascii() and t[end].isalnum()):
+            x = t[start:end].replace(" ", "")
+            if len(x) < 15:
+                break
+            if (not best or len(x) == usual) and mod97(x):
+                best = end
+    return best
+
+
 def extra_spans(t: str) -> list[tuple[str, int, int]]:
-    out = [("iban", m.start(), m.end()) for m in _IBAN.finditer(t) if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x)]
+    out, last = [], 0
+    for m in _IBAN.finditer(t):
+        if m.start() >= last and (end := _iban_end(t, m.start(), m.end(1))):
+            out.append(("iban", m.start(), end))
+            last = end
     return out + [("ssn", m.start(), m.end()) for m in _SSN.finditer(t) if score(t, "ssn", m.start(), m.end()) >= LEAST]
 
 
