@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 
 NUKTA, VIRAMA = "़", "्"
 
-# Latin letters in the order of the Devanagari signs.
-_CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळऱऩ", "k kh g gh ṅ c ch j jh ñ ṭ ṭh ḍ ḍh ṇ t th d dh n p ph b bh m y r l v ś ṣ s h ḻ ṟ ṉ".split(), strict=True))
-_NUKTAS = {c + NUKTA: v for c, v in zip("कखगजडढफय", "q x ġ z ṛ ṛh f ẏ".split(), strict=True)}
-_VOWELS = dict(zip("अआइईउऊऋॠऌॡएऐओऔऎऒ", "a ā i ī u ū ṛ ṝ ḷ ḹ e ai o au e o".split(), strict=True))
-_MATRAS = dict(zip("ािीुूृॄॢॣेैोौॆॊ", "ā i ī u ū ṛ ṝ ḷ ḹ e ai o au e o".split(), strict=True))
-_OTHERS = dict(zip("ंँःॐऽ।॥", ["ṁ", "m̐", "ḥ", "oṁ", "'", "|", "||"], strict=True)) | {d: str(i) for i, d in enumerate("०१२३४५६७८९")} | {VIRAMA: ""}
+# Devanagari signs and their Latin letters.
+_CONSONANTS = {
+    "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "ṅ", "च": "c", "छ": "ch", "ज": "j", "झ": "jh", "ञ": "ñ", "ट": "ṭ", "ठ": "ṭh", "ड": "ḍ", "ढ": "ḍh", "ण": "ṇ",
+    "त": "t", "थ": "th", "द": "d", "ध": "dh", "न": "n", "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ल": "l", "व": "v",
+    "श": "ś", "ष": "ṣ", "स": "s", "ह": "h", "ळ": "ḻ", "ऱ": "ṟ", "ऩ": "ṉ",
+}
+_NUKTAS = {"क" + NUKTA: "q", "ख" + NUKTA: "x", "ग" + NUKTA: "ġ", "ज" + NUKTA: "z", "ड" + NUKTA: "ṛ", "ढ" + NUKTA: "ṛh", "फ" + NUKTA: "f", "य" + NUKTA: "ẏ"}
+_VOWELS = {
+    "अ": "a", "आ": "ā", "इ": "i", "ई": "ī", "उ": "u", "ऊ": "ū", "ऋ": "ṛ", "ॠ": "ṝ", "ऌ": "ḷ", "ॡ": "ḹ", "ए": "e", "ऐ": "ai", "ओ": "o", "औ": "au", "ऎ": "e", "ऒ": "o",
+}
+_MATRAS = {"ा": "ā", "ि": "i", "ी": "ī", "ु": "u", "ू": "ū", "ृ": "ṛ", "ॄ": "ṝ", "ॢ": "ḷ", "ॣ": "ḹ", "े": "e", "ै": "ai", "ो": "o", "ौ": "au", "ॆ": "e", "ॊ": "o"}
+_OTHERS = {
+    "ं": "ṁ", "ँ": "m̐", "ः": "ḥ", "ॐ": "oṁ", "ऽ": "'", "।": "|", "॥": "||", VIRAMA: "",
+    "०": "0", "१": "1", "२": "2", "३": "3", "४": "4", "५": "5", "६": "6", "७": "7", "८": "8", "९": "9",
+}
 
 _SYLLABLE = re.compile(f"([{''.join(c[0] for c in _NUKTAS)}]{NUKTA}|[{''.join(_CONSONANTS)}]{NUKTA}?)([{VIRAMA}{''.join(_MATRAS)}])?|(.)", re.S)
 
@@ -48,34 +57,26 @@ BLOCKS = {"Mlym": 0x0D00, "Knda": 0x0C80, "Telu": 0x0C00, "Beng": 0x0980, "Gujr"
 _RANGES = ((0x0901, 0x0939), (0x093C, 0x094D), (0x0950, 0x0950), (0x0958, 0x0963), (0x0966, 0x096F))
 LOSSY = frozenset({"Taml", "Guru"})
 
-# Signs with replacements of their own, in the order of _SIGNS; the last eight are letters with nukta.
-_SIGNS = ["ॐ", "ऽ", "ऱ", "ळ", "ॠ", "ॡ", "ॅ", "ॉ", "ऍ", "ऑ", "ऩ", *_NUKTAS]
+# Signs that a script does not have at the offset. Letters with nukta lose it where none is listed, and ऩ is न.
 _OWN = {
-    "Mlym": "ഓം ഽ റ ള ൠ ൡ െ ൊ എ ഒ ന ക ഖ ഗ ജ ഡ ഢ ഫ യ",
-    "Knda": "ಓಂ ಽ ಱ ಳ ೠ ೡ ೆ ೊ ಎ ಒ ನ ಕ ಖ ಗ ಜ ಡ ಢ ಫ ಯ",
-    "Telu": "ఓం ఽ ఱ ళ ౠ ౡ ె ొ ఎ ఒ న క ఖ గ జ డ ఢ ఫ య",
-    "Beng": "ওঁ ঽ র ল ৠ ৡ ে ো এ ও ন ক খ গ জ ড় ঢ় ফ য়",
-    "Gujr": "ૐ ઽ ર ળ ૠ ૡ - - - - ન ક ખ ગ જ ડ ઢ ફ ય",
-    "Guru": "ੴ _ ਰ ਲ਼ ਰੀ ਲੀ ੇ ੋ - - ਨ ਕ਼ ਖ਼ ਗ਼ ਜ਼ ੜ ਢ ਫ਼ ਯ",
-    "Orya": "ଓଁ ଽ ର ଳ ୠ ୡ େ ୋ - - ନ କ ଖ ଗ ଜ ଡ଼ ଢ଼ ଫ ୟ",
-}
-# Further signs of single scripts.
-_MORE = {
-    "Beng": "व ব ऎ এ ऒ ও ॆ ে ॊ ো",
-    "Gujr": "ऎ એ ऒ ઓ ॆ ે ॊ ો",
-    "Guru": "ऋ ਰਿ ऌ ਲਿ ृ ੍ਰਿ ॄ ੍ਰੀ ॢ ੍ਲਿ ॣ ੍ਲੀ ऎ ਏ ऒ ਓ ॆ ੇ ॊ ੋ ष ਸ਼",
-    "Orya": "व ବ ऎ ଏ ऒ ଓ ॆ େ ॊ ୋ",
-}
+    "Mlym": {"ऍ": "എ", "ऑ": "ഒ", "ॅ": "െ", "ॉ": "ൊ", "ॐ": "ഓം"},
+    "Knda": {"ऍ": "ಎ", "ऑ": "ಒ", "ॅ": "ೆ", "ॉ": "ೊ", "ॐ": "ಓಂ"},
+    "Telu": {"ऍ": "ఎ", "ऑ": "ఒ", "ॅ": "ె", "ॉ": "ొ", "ॐ": "ఓం"},
+    "Beng": {"ऍ": "এ", "ऎ": "এ", "ऑ": "ও", "ऒ": "ও", "ऱ": "র", "ळ": "ল", "व": "ব", "ॅ": "ে", "ॆ": "ে", "ॉ": "ো", "ॊ": "ো", "ॐ": "ওঁ", "ड़": "ড়", "ढ़": "ঢ়", "य़": "য়"},
+    "Gujr": {"ऎ": "એ", "ऒ": "ઓ", "ऱ": "ર", "ॆ": "ે", "ॊ": "ો"},
+    "Guru": {"ऋ": "ਰਿ", "ऌ": "ਲਿ", "ऎ": "ਏ", "ऒ": "ਓ", "ऱ": "ਰ", "ळ": "ਲ਼", "ष": "ਸ਼", "ऽ": "", "ृ": "੍ਰਿ", "ॄ": "੍ਰੀ", "ॅ": "ੇ", "ॆ": "ੇ", "ॉ": "ੋ", "ॊ": "ੋ", "ॐ": "ੴ", "ॠ": "ਰੀ", "ॡ": "ਲੀ", "ॢ": "੍ਲਿ", "ॣ": "੍ਲੀ", "क़": "ਕ਼", "ख़": "ਖ਼", "ग़": "ਗ਼", "ज़": "ਜ਼", "ड़": "ੜ", "फ़": "ਫ਼", "ं": "ੰ"},
+    "Orya": {"ऎ": "ଏ", "ऒ": "ଓ", "ऱ": "ର", "व": "ବ", "ॅ": "େ", "ॆ": "େ", "ॉ": "ୋ", "ॊ": "ୋ", "ॐ": "ଓଁ", "ड़": "ଡ଼", "ढ़": "ଢ଼", "य़": "ୟ"},
+}
 # Tamil has fewer stops; nearest letters, Grantha where there is one.
-_TAMIL = dict(zip(
-    "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळऱअआइईउऊएऐओऔऎऒ",
-    "க க க க ங ச ச ஜ ஜ ஞ ட ட ட ட ண த த த த ந ப ப ப ப ம ய ர ல வ ஶ ஷ ஸ ஹ ள ற அ ஆ இ ஈ உ ஊ ஏ ஐ ஓ ஔ எ ஒ".split(),
-    strict=True,
-)) | dict(zip(
-    ["ऋ", "ॠ", "ऌ", "ॡ", "ा", "ि", "ी", "ु", "ू", "ृ", "ॄ", "े", "ै", "ो", "ौ", "ॆ", "ॊ", VIRAMA, "ं", "ँ", "ः", "ॐ"],
-    "ரு ரூ லு லூ ா ி ீ ு ூ ்ரு ்ரூ ே ை ோ ௌ ெ ொ ் ம் ம் ஃ ௐ".split(),
-    strict=True,
-)) | {"ऽ": ""} | {chr(0x0966 + i): chr(0x0BE6 + i) for i in range(10)}
+_TAMIL = {
+    "क": "க", "ख": "க", "ग": "க", "घ": "க", "ङ": "ங", "च": "ச", "छ": "ச", "ज": "ஜ", "झ": "ஜ", "ञ": "ஞ", "ट": "ட", "ठ": "ட", "ड": "ட", "ढ": "ட", "ण": "ண",
+    "त": "த", "थ": "த", "द": "த", "ध": "த", "न": "ந", "प": "ப", "फ": "ப", "ब": "ப", "भ": "ப", "म": "ம", "य": "ய", "र": "ர", "ल": "ல", "व": "வ",
+    "श": "ஶ", "ष": "ஷ", "स": "ஸ", "ह": "ஹ", "ळ": "ள", "ऱ": "ற",
+    "अ": "அ", "आ": "ஆ", "इ": "இ", "ई": "ஈ", "उ": "உ", "ऊ": "ஊ", "ऋ": "ரு", "ॠ": "ரூ", "ऌ": "லு", "ॡ": "லூ", "ए": "ஏ", "ऐ": "ஐ", "ओ": "ஓ", "औ": "ஔ", "ऎ": "எ", "ऒ": "ஒ",
+    "ा": "ா", "ि": "ி", "ी": "ீ", "ु": "ு", "ू": "ூ", "ृ": "்ரு", "ॄ": "்ரூ", "े": "ே", "ै": "ை", "ो": "ோ", "ौ": "ௌ", "ॆ": "ெ", "ॊ": "ொ", VIRAMA: "்",
+    "ं": "ம்", "ँ": "ம்", "ः": "ஃ", "ॐ": "ௐ", "ऽ": "",
+    "०": "௦", "१": "௧", "२": "௨", "३": "௩", "४": "௪", "५": "௫", "६": "௬", "७": "௭", "८": "௮", "९": "௯",
+}
 
 
 def _table(script: str) -> dict[str, str]:
@@ -83,9 +84,7 @@ def _table(script: str) -> dict[str, str]:
         return _TAMIL
     shift = BLOCKS[script] - 0x0900
     out = {chr(c): chr(c + shift) for lo, hi in _RANGES for c in range(lo, hi + 1)}
-    out |= {a: "" if b == "_" else b for a, b in zip(_SIGNS, _OWN[script].split(), strict=True) if b != "-"}
-    more = _MORE.get(script, "").split()
-    return out | dict(zip(more[::2], more[1::2], strict=True))
+    return out | {c: out[c[0]] for c in _NUKTAS} | {"ऩ": out["न"]} | _OWN[script]
 
 
 _TABLES = {s: _table(s) for s in (*BLOCKS, "Taml")}
