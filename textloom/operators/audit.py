@@ -21,9 +21,10 @@ def planned(chapters: DataFrame, only: int | None = None, batch: int = 10) -> Da
     from pyspark.sql import Window
 
     rows = chapters.where(F.col("book") == only) if only is not None else chapters
-    rows = rows.select("book", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("chapter"))
-    n = F.row_number().over(Window.orderBy("book", "chapter"))  # an inventory has some hundred rows
-    return rows.withColumn("batch", F.floor((n - 1) / batch).cast("int"))
+    before = F.sum("n").over(Window.orderBy("book").rowsBetween(Window.unboundedPreceding, -1))  # one row a book
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where("n > 0")
+    rows = rows.select("book", "before", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("chapter"))
+    return rows.select("book", "chapter", F.floor((F.col("before") + F.col("chapter") - 1) / batch).cast("int").alias("batch"))
 
 
 def audit(verses: DataFrame, expected: DataFrame) -> dict[str, DataFrame]:

@@ -16,13 +16,22 @@ def streaks(days: DataFrame, user: str, day: str, today: Column) -> DataFrame:
 
 
 def interval_lookup(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
-    """Points with the half-open [start, end) of their key that holds them; null where none does. The axis
-    is cut into bins of ``width``, so this is an equi-join, not a nested loop."""
-    cells = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    cells = cells.withColumnRenamed(key, "_key")
-    p = points.withColumn("_bin", F.floor(F.col(at) / width))
-    hit = (p[key] == cells["_key"]) & (p["_bin"] == cells["_bin"]) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    return p.join(cells, hit, "left").drop("_bin", "_key")
+    """Points with the half-open [start, end) of their key that holds them; null where none does.
+
+    The axis is cut into bins of ``width``, and of its doubles for longer intervals, so that an interval lies in two
+    bins at most, however long it is. A point looks into one bin of each width in use (64 at most): an equi-join, not a
+    nested loop. Empty intervals hold nothing."""
+    length = F.col(end) - F.col(start)
+    cells = intervals.where(length > 0).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(width)))).cast("int"))
+    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())  # 64 at most
+    size = lambda level: F.lit(width) * F.pow(F.lit(2.0), level)
+    cells = cells.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / size("_level")), F.floor((F.col(end) - 1) / size("_level"))))).withColumnRenamed(key, "_key")
+    looks = points.withColumn("_l", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_b", F.floor(F.col(at) / size("_l")))
+    hit = (looks[key] == cells["_key"]) & (looks["_l"] == cells["_level"]) & (looks["_b"] == cells["_bin"]) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
+    found = looks.join(cells, hit).drop("_bin", "_key", "_level", "_l", "_b")
+    seen = found.select(F.col(key).alias("_k"), F.col(at).alias("_a")).distinct()
+    missing = points.join(seen, (F.col(key) == F.col("_k")) & (F.col(at) == F.col("_a")), "left_anti")  # key and place decide
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def loop_target(segments: DataFrame, verse: str, track: str, at_ms: int) -> DataFrame:

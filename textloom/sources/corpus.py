@@ -45,7 +45,7 @@ def read_graphs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_wikitext(spark: SparkSession, path: str, name: str = r"(\d+)_(\d+)[^/]*\.wiki$") -> DataFrame:
     """book, chapter, wikitext of whole files whose names hold both numbers."""
-    rows = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    rows = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     part = lambda i: F.nullif(F.regexp_extract("file", name, i), F.lit("")).cast("int")
     return rows.select(part(1).alias("book"), part(2).alias("chapter"), F.col("value").alias("wikitext"))
 
@@ -99,13 +99,13 @@ def load_work(works: DataFrame, graphs: DataFrame, chapters: DataFrame, slug_of:
     from textloom.operators.merge import pending_targets
 
     w = works.select(_id("work", F.col("slug")).alias("id"), "slug", "short_code", "title_iast", "title_sa", "structure", "metadata", "sources", "rights", "editions")
-    of = F.broadcast(w.select(F.col("id").alias("work_id"), "slug"))
+    of = w.select(F.col("id").alias("work_id"), "slug")
     sources = w.select(F.explode("sources").alias("s")).select(_id("source", F.col("s.slug")).alias("id"), "s.*").dropDuplicates(["id"])
     rights = w.select("slug", F.explode("rights").alias("r")).select(_id("rights", F.col("slug"), F.col("r.key")).alias("id"), _id("source", F.col("r.source")).alias("source_id"), "r.*")
     e = w.select(F.col("id").alias("work_id"), F.col("slug").alias("work"), F.explode("editions").alias("e"))
     e = e.select(_id("edition", F.col("e.slug")).alias("id"), "work_id", _id("rights", F.col("work"), F.col("e.rights")).alias("rights_id"), "e.*").withColumn("status", F.lit("published"))
     cleared = rights.select(F.col("id").alias("rights_id"), F.col("status").isin(*CLEARED).alias("_cleared"))
-    editions = force_draft(e.join(F.broadcast(cleared), "rights_id", "left"), F.col("_cleared")).drop("_cleared")
+    editions = force_draft(e.join(cleared, "rights_id", "left"), F.col("_cleared")).drop("_cleared")
     c = chapters.withColumn("slug", slug_of).join(of, "slug")
     canto = c.where("section.canto IS NOT NULL").select("work_id", F.col("section.canto.ref").alias("ref"), F.col("section.canto.ordinal").alias("ordinal"), F.lit(None).cast("string").alias("parent_ref"), F.col("section.canto.title_iast").alias("title_iast"), F.lit(1).alias("level")).dropDuplicates(["work_id", "ref"])
     leaf = c.select("work_id", F.col("section.chapter.ref").alias("ref"), F.col("section.chapter.ordinal").alias("ordinal"), F.col("section.canto.ref").alias("parent_ref"), F.col("section.chapter.title_iast").alias("title_iast"), F.when(F.col("section.canto").isNull(), 1).otherwise(2).alias("level"))

@@ -1,58 +1,39 @@
-"""A data source over saved answers of a wiki's page API (no network): one JSON file a request.
-
-    spark.dataSource.register(SavedPages)
-    spark.read.format("saved_pages").option("path", folder).load()
-"""
+"""Saved answers of a wiki's page API (no network): one JSON file a request, on any file system Spark reads."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from pathlib import Path
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+_MOVE = "array<struct<`from`: string, `to`: string>>"
+_PAGE = "struct<title: string, missing: string, pageid: bigint, revid: bigint, revisions: array<struct<revid: bigint, slots: map<string, map<string, string>>, content: string, `*`: string>>>"
 
 
-class SavedPages(DataSource):
+def read_saved_pages(spark: SparkSession, path: str) -> DataFrame:
     """Rows (kind, source, target, title, pageid, revid, wikitext): pages, and the normalisations and
-    redirects that lead to them."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "saved_pages"
-
-    def schema(self) -> str:
-        return "kind string, source string, target string, title string, pageid long, revid long, wikitext string"
-
-    def reader(self, schema):  # noqa: ANN001, ANN201
-        return _Reader(self.options["path"])
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.json"))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        query = json.loads(Path(partition.value).read_text(encoding="utf-8")).get("query", {})
-        for kind, key in (("normalized", "normalized"), ("redirect", "redirects")):
-            for x in query.get(key, []):
-                yield kind, x["from"], x["to"], None, None, None, None
-        pages = query.get("pages", [])
-        for p in pages.values() if isinstance(pages, dict) else pages:
-            if "missing" in p:
-                continue
-            r = (p.get("revisions") or [{}])[0]
-            text = r.get("slots", {}).get("main", r)
-            yield "page", None, None, p["title"], p.get("pageid"), r.get("revid"), text.get("content", text.get("*"))
-
-
-def batches(titles, size: int = 10):  # noqa: ANN001, ANN201
-    """Titles of a DataFrame (title) in numbered requests of ``size``."""
+    redirects that lead to them. Pages come as a list or as an object by id; missing ones are left out."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    none = lambda *names: [F.lit(None).cast("long" if n.endswith("id") else "string").alias(n) for n in names]
+
+    def moves(kind: str, key: str) -> DataFrame:
+        x = files.select(F.explode(F.from_json(F.get_json_object("value", f"$.query.{key}"), _MOVE)).alias("m"))
+        return x.select(F.lit(kind).alias("kind"), F.col("m.from").alias("source"), F.col("m.to").alias("target"), *none("title", "pageid", "revid", "wikitext"))
+
+    pages = F.get_json_object("value", "$.query.pages")
+    listed = F.when(F.startswith(pages, F.lit("[")), F.from_json(pages, f"array<{_PAGE}>")).otherwise(F.map_values(F.from_json(pages, f"map<string, {_PAGE}>")))
+    p = files.select(F.explode(listed).alias("p")).where("p.missing IS NULL AND p.title IS NOT NULL").select("p.*", F.get("p.revisions", F.lit(0)).alias("r"))
+    main = F.try_element_at("r.slots", F.lit("main"))
+    text = F.coalesce(F.try_element_at(main, F.lit("content")), F.try_element_at(main, F.lit("*")), F.col("r.content"), F.col("r.`*`"))
+    found = p.select(F.lit("page").alias("kind"), *none("source", "target"), "title", "pageid", F.col("r.revid").alias("revid"), text.alias("wikitext"))
+    return moves("normalized", "normalized").unionByName(moves("redirect", "redirects")).unionByName(found)
+
+
+def batches(titles: DataFrame, size: int = 10, a_part: int = 10_000) -> DataFrame:
+    """Titles (title) in numbered requests of at most ``size``. Inventories of more than ``a_part`` titles are numbered
+    in parts, so that no task holds them all."""
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
-    n = F.row_number().over(Window.orderBy("title"))  # an inventory has some hundred rows
-    return titles.withColumn("batch", F.floor((n - 1) / size).cast("int"))
+    parts = max(1, -(-titles.count() // a_part))
+    part = F.pmod(F.xxhash64("title"), F.lit(parts))
+    n = F.row_number().over(Window.partitionBy(part).orderBy("title"))
+    return titles.withColumn("batch", (F.floor((n - 1) / size) * parts + part).cast("int"))

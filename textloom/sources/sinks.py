@@ -1,4 +1,4 @@
-"""Writers: gated exports, key-value import of bundles, chapters, embeddings."""
+"""Writers: gated exports, key-value stores of bundles, chapters, embeddings."""
 
 from __future__ import annotations
 
@@ -18,17 +18,6 @@ def export_bundles(bundles: DataFrame, uncleared: DataFrame, path: str) -> None:
     bundles.write.mode("overwrite").partitionBy("slug").json(path)
 
 
-def bundle_to_kv(bundles: DataFrame) -> DataFrame:
-    """bundles (slug, contents, editions, chapters) -> key, value: contents, editions, each chapter and
-    each verse under a key of its own."""
-    j = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
-    whole = bundles.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{k}:"), F.col("slug")).alias("key"), j(F.col(k)).alias("value")) for k in ("contents", "editions")])).alias("x")).select("x.*")
-    chapters = bundles.select("slug", F.explode("chapters").alias("c"))
-    c = chapters.select(F.concat(F.lit("chapter:"), F.col("c.section_id")).alias("key"), j(F.col("c")).alias("value"))
-    v = chapters.select("slug", F.explode("c.verses").alias("v")).select(F.concat_ws(":", F.lit("verse"), "slug", "v.ref").alias("key"), j(F.col("v")).alias("value"))
-    return whole.unionByName(c).unionByName(v)
-
-
 def kv_put(store: DataFrame, rows: DataFrame) -> DataFrame:
     return upsert_latest(store, rows, ["key"], [F.col("value")])
 
@@ -39,7 +28,7 @@ def kv_get(store: DataFrame, key: str | None = None, prefix: str | None = None)
 
 def remove_download(store: DataFrame, slug: str, chapter_keys: DataFrame) -> DataFrame:
     """Without the chapters of a work (keys by its contents) and without its own keys."""
-    own = F.col("key").isin(f"contents:{slug}", f"editions:{slug}") | F.col("key").startswith(f"verse:{slug}:")
+    own = F.col("key").isin(*[f"{kind}:{slug}" for kind in ("toc", "editions", "graph", "meta")]) | F.col("key").startswith(f"section:{slug}:") | F.col("key").startswith(f"verse:{slug}:")
     return store.join(chapter_keys.select("key"), "key", "left_anti").where(~own)
 
 

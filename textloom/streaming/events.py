@@ -39,15 +39,3 @@ def segments_at(positions: DataFrame, segments: DataFrame) -> DataFrame:
     s = segments.withColumnRenamed("track_id", "_track")
     on = (F.col("track_id") == F.col("_track")) & (F.col("at_ms") >= F.col("start_ms")) & (F.col("at_ms") < F.col("end_ms"))
     return positions.join(s, on, "left").drop("_track")
-
-
-def upsert_stream(changes: DataFrame, path: str, key: list[str], at: str, checkpoint: str) -> StreamingQuery:
-    """Latest row a key, kept as versions of a Parquet table: each micro-batch writes the next one."""
-    from textloom.operators.merge import upsert_latest
-
-    def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.parquet(f"{path}/v{n - 1}") if n else batch.limit(0)
-        upsert_latest(current, batch, key, [F.col(at).desc()]).write.mode("overwrite").parquet(f"{path}/v{n}")
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
