@@ -111,7 +111,11 @@ def test_documents(spark):
     counts = documents.subtree_counts(sections, verses.groupBy("section_id").agg(F.count(F.lit(1)).alias("n")))
     assert {r.section_id: r.total for r in counts.collect()} == {"a": 3, "b": 3, "c": 1, "d": 2}
     toc = documents.toc(sections, verses).first()
-    assert toc.contents[0].total == 3
+    import json
+
+    leaf = lambda id_, n, total: {"id": id_, "ref": f"1.1.{n}", "ordinal": n, "total": total, "children": []}
+    middle = {"id": "b", "ref": "1.1", "ordinal": 1, "total": 3, "children": [leaf("d", 1, 2), leaf("c", 2, 1)]}
+    assert json.loads(toc.contents) == [{"id": "a", "ref": "1", "ordinal": 1, "total": 3, "children": [middle]}]
     editions = spark.createDataFrame([("e", 1, "original", "sa")], "id string, sort_order int, kind string, language_code string")
     contents = spark.createDataFrame([("v2", "e", "text")], "verse_id string, edition_id string, body string")
     segments = spark.createDataFrame([("v2", "t", 0, 5)], "verse_id string, track_id string, start_ms int, end_ms int")
@@ -161,12 +165,11 @@ def test_load_and_sinks(spark, tmp_path):
 
 
 def test_saved_pages(spark, tmp_path):
-    from textloom.sources.pages import SavedPages
+    from textloom.sources.pages import batches, read_saved_pages
 
     answer = {"query": {"normalized": [{"from": "a_b", "to": "a b"}], "redirects": [{"from": "a b", "to": "c"}], "pages": [{"title": "c", "pageid": 1, "revisions": [{"revid": 2, "slots": {"main": {"content": "text"}}}]}, {"title": "d", "missing": True}]}}
     (tmp_path / "1.json").write_text(json.dumps(answer))
-    spark.dataSource.register(SavedPages)
-    x = spark.read.format("saved_pages").option("path", str(tmp_path)).load()
+    x = read_saved_pages(spark, str(tmp_path))
     wanted = spark.createDataFrame([("a_b",), ("d",)], "title string")
     got = corpus.resolve_titles(wanted, x.where("kind = 'normalized'"), x.where("kind = 'redirect'"), x.where("kind = 'page'").select("title", "wikitext"))
     assert {r.title: (r.wikitext, r.missing) for r in got.collect()} == {"a_b": ("text", False), "d": (None, True)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,23 +59,31 @@ def terms(query: str) -> list[str]:
     return [t for t in q.split() if len(t) >= 2]
 
 
-def matches(words: Column, prefixes: list[str]) -> Column:
-    """How many words begin with one of the prefixes."""
-    hit = lambda w: F.array_max(F.array(*[F.startswith(w, F.lit(p)).cast("int") for p in prefixes])) == 1
-    return F.size(F.filter(words, hit)) if prefixes else F.lit(0)
+def _in_words(text: str) -> bool:
+    return all(unicodedata.category(c)[0] in "LMN" for c in text)
+
 
+def matches(folded: Column, prefixes: list[str]) -> Column:
+    """How many words of folded text (as of ``tokens``) begin with one of the prefixes. One pass over the text inside
+    code generation; a prefix with other signs than words have begins none."""
+    usable = [p for p in prefixes if p and _in_words(p)]
+    if not usable:
+        return F.lit(0)
+    return F.regexp_count(folded, F.lit(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(usable)})"))
 
-def term_rank(words: Column, prefixes: list[str]) -> Column:
+
+def term_rank(folded: Column, prefixes: list[str]) -> Column:
     """Cover density of OR-ed single terms, a tenth a matching position, normalised to r / (r + 1)."""
-    r = matches(words, prefixes) * F.lit(0.1)
+    r = matches(folded, prefixes) * F.lit(0.1)
     return r / (r + 1)
 
 
-def headline(body: Column | str, prefixes: list[str], most: int = 30, lead: int = 6) -> Column:
-    """A window of at most ``most`` words from ``lead`` words before the first match, matches in « »."""
+def headline(body: Column | str, prefixes: list[str], most: int = 30, lead: int = 6, least: int = 12) -> Column:
+    """A window of at most ``most`` words from ``lead`` words before the first match, or earlier if the text would end
+    before ``least`` words; matches in « »."""
     words = F.filter(F.split(_c(body), r"\s+"), lambda w: w != "")
-    hits = F.transform(words, lambda w: matches(tokens(fold(w)), prefixes) > 0)
-    first = F.greatest(F.array_position(hits, True) - lead, F.lit(1)).cast("int")
+    hits = F.transform(words, lambda w: matches(fold(w), prefixes) > 0)
+    first = F.greatest(F.least(F.array_position(hits, True) - lead, F.size(words) - least + 1), F.lit(1)).cast("int")
     marked = F.transform(F.arrays_zip(words.alias("w"), hits.alias("h")), lambda x: F.when(x["h"], F.concat(F.lit("«"), x["w"], F.lit("»"))).otherwise(x["w"]))
     return F.when(F.array_contains(hits, True), F.array_join(F.slice(marked, first, most), " ")).otherwise(F.left(_c(body), F.lit(160)))
 
@@ -91,6 +101,21 @@ def clamp_question(col: Column | str, most: int = 1000) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"\s+", " ")), 1, most)
 
 
+def session_title(col: Column | str, most: int = 80) -> Column:
+    """The first characters of a question, blanks collapsed; null and blank texts have an empty title."""
+    return clamp_question(col, most)
+
+
+def json_contains(col: Column | str, part: dict[str, object]) -> Column:
+    """Whether a JSON object holds all of the given members (numbers, texts, booleans); false for what is not JSON."""
+    value = F.try_parse_json(_c(col))
+    out = F.lit(True)
+    for name, want in part.items():
+        kind = "boolean" if isinstance(want, bool) else "double" if isinstance(want, int | float) else "string"
+        out = out & F.coalesce(F.try_variant_get(value, f"$.{name}", kind) == F.lit(want), F.lit(False))
+    return out
+
+
 def citations(answer: Column | str, code: str = "SB", ref: str = r"\d+(?:\.\d+)*[a-z]?") -> Column:
     """Distinct cited references in order of first mention."""
     return F.array_distinct(F.regexp_extract_all(_c(answer), F.lit(rf"\[{code}\s+({ref})\]"), F.lit(1)))

@@ -26,11 +26,23 @@ def as_json(*cols: str) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
-def subtree_counts(sections: DataFrame, leaves: DataFrame, max_depth: int = 16) -> DataFrame:
+def ancestors(sections: DataFrame) -> DataFrame:
+    """id, above: each section with itself and all sections above it, any depth. The reach doubles a round, so rounds grow
+    with the logarithm of the depth; it ends when no pair is new."""
+    pairs = sections.select("id", F.col("id").alias("above")).unionByName(sections.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("above")))
+    n = pairs.count()
+    while True:
+        step = pairs.select(F.col("id").alias("above"), F.col("above").alias("top"))
+        more = pairs.join(step, "above").select("id", F.col("top").alias("above")).distinct()
+        m = more.count()
+        if m == n:
+            return pairs
+        pairs, n = more, m
+
+
+def subtree_counts(sections: DataFrame, leaves: DataFrame) -> DataFrame:
     """section_id, total: rows of ``leaves`` (section_id, n) in each section's whole subtree, any depth."""
-    spark = sections.sparkSession
-    sections.select("id", "parent_id").createOrReplaceTempView("_tree")
-    closure = spark.sql(f"WITH RECURSIVE up(id, above, depth) MAX RECURSION LEVEL {max_depth + 1} AS (SELECT id, id, 0 FROM _tree UNION ALL SELECT up.id, t.parent_id, up.depth + 1 FROM up JOIN _tree t ON t.id = up.above WHERE t.parent_id IS NOT NULL AND up.depth < {max_depth}) SELECT id AS section_id, above FROM up")
+    closure = ancestors(sections).withColumnRenamed("id", "section_id")
     return closure.join(leaves, "section_id").groupBy(F.col("above").alias("section_id")).agg(F.sum("n").alias("total"))
 
 
@@ -39,17 +51,24 @@ def leaf_sections(sections: DataFrame) -> DataFrame:
 
 
 def toc(sections: DataFrame, verses: DataFrame) -> DataFrame:
-    """work_id, contents: top sections in order, each with its count and its leaf sections in order."""
+    """work_id, contents: JSON of the top sections in order, each with its count and its own sections, any depth."""
     counts = subtree_counts(sections, verses.groupBy("section_id").agg(F.count(F.lit(1)).alias("n"))).withColumnRenamed("section_id", "id")
-    s = sections.join(counts, "id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    kids = nested(leaf_sections(s).where("parent_id IS NOT NULL"), ["parent_id"], ["ordinal", "ref"], ["id", "ref", "ordinal", "total"], "children").withColumnRenamed("parent_id", "id")
-    tops = with_children(s.where("parent_id IS NULL"), kids, ["id"], "children")
-    return nested(tops, ["work_id"], ["ordinal", "ref"], ["id", "ref", "ordinal", "total", "children"], "contents")
+    depth = ancestors(sections).groupBy("id").agg(F.count(F.lit(1)).alias("depth"))
+    s = sections.join(counts, "id", "left").withColumn("total", F.coalesce("total", F.lit(0))).join(depth, "id")
+    kids, node = None, F.to_json(F.struct("id", "ref", "ordinal", "total"))
+    for level in range(s.agg(F.max("depth")).first()[0] or 1, 0, -1):  # from the deepest up
+        rows = s.where(F.col("depth") == level)
+        rows = rows.withColumn("_in", F.lit("")) if kids is None else rows.join(kids, F.col("id") == F.col("_above"), "left")
+        body = F.concat(F.regexp_replace(node, r"\}$", ""), F.lit(',"children":['), F.coalesce("_in", F.lit("")), F.lit("]}"))
+        key = "work_id" if level == 1 else "parent_id"
+        items = F.array_sort(F.collect_list(F.struct("ordinal", "ref", body.alias("v"))))
+        kids = rows.groupBy(F.col(key).alias("_above")).agg(F.array_join(F.transform(items, lambda x: x["v"]), ",").alias("_in"))
+    return kids.select(F.col("_above").alias("work_id"), F.concat(F.lit("["), "_in", F.lit("]")).alias("contents"))
 
 
 def section_verses(verses: DataFrame, contents: DataFrame, editions: DataFrame, segments: DataFrame) -> DataFrame:
     """section_id, verses: each verse with renderings in edition order and its audio."""
-    r = contents.join(F.broadcast(editions.select(F.col("id").alias("edition_id"), "sort_order", "kind", "language_code")), "edition_id")
+    r = contents.join(editions.select(F.col("id").alias("edition_id"), "sort_order", "kind", "language_code"), "edition_id")
     r = nested(r, ["verse_id"], ["sort_order", "edition_id"], ["edition_id", "kind", "language_code", "body"], "renderings")
     a = nested(segments, ["verse_id"], ["track_id", "start_ms"], ["track_id", "start_ms", "end_ms"], "audio")
     v = with_children(with_children(verses.withColumnRenamed("id", "verse_id"), r, ["verse_id"], "renderings"), a, ["verse_id"], "audio")
@@ -107,15 +126,6 @@ def verse_detail(verses: DataFrame, contents: DataFrame, mentions: DataFrame, en
     return v
 
 
-def bundle(works: DataFrame, contents: DataFrame, chapters: DataFrame, editions: DataFrame) -> DataFrame:
-    """One offline document a work: its table of contents, editions and section payloads, as JSON."""
-    e = nested(editions, ["work_id"], ["sort_order", "id"], ["id", "kind", "language_code", "sort_order"], "editions")
-    c = nested(chapters, ["work_id"], ["section_id"], ["section_id", "verses"], "chapters")
-    w = works.withColumnRenamed("id", "work_id").join(contents, "work_id", "left")
-    w = with_children(with_children(w, e, ["work_id"], "editions"), c, ["work_id"], "chapters")
-    return w.select("slug", as_json("slug", "contents", "editions", "chapters").alias("document"))
-
-
 def catalogue(works: DataFrame, sections: DataFrame, verses: DataFrame) -> DataFrame:
     """Published works with live counts of leaf sections and verses, in order."""
     s = leaf_sections(sections).groupBy("work_id").agg(F.count(F.lit(1)).alias("sections"))

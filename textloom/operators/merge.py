@@ -99,3 +99,8 @@ def guarded_updates(rows: DataFrame, changes: DataFrame, key: str, allowed: Colu
     to = {f.removeprefix("new_"): f for f in fields}
     out = rows.join(good, key, "left").select(key, *[F.coalesce(to[c], c).alias(c) if c in to else F.col(c) for c in keep])
     return out, bad
+
+
+def is_distinct(a: Column, b: Column) -> Column:
+    """``a is distinct from b``: nulls are equal to each other and to nothing else."""
+    return ~a.eqNullSafe(b)

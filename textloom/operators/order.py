@@ -68,3 +68,24 @@ def first_rows(df: DataFrame, part: list[str], order: list[Column]) -> DataFrame
 def most_recent(df: DataFrame, key: str, at: str, most: int) -> DataFrame:
     """Distinct keys by latest use, newest first."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(at).alias(at)).orderBy(F.col(at).desc(), key).limit(most)
+
+
+def renumbered(rows: DataFrame, group: list[str], order: list[Column], name: str = "ordinal") -> DataFrame:
+    """Rows numbered from 1 without gaps within their group."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def ids_or_null(rows: DataFrame, group: list[str], id_col: str, name: str = "ids") -> DataFrame:
+    """Sorted ids of a group that are not null; null, not an empty list, where there is none."""
+    ids = F.array_sort(F.collect_set(id_col))
+    return rows.groupBy(*group).agg(F.when(F.size(ids) > 0, ids).alias(name))
+
+
+def ordered_union(a: Column, b: Column) -> Column:
+    """Members of a, then those of b that are not in a; nulls count as empty lists."""
+    return F.array_distinct(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))))
+
+
+def without(listed: Column, one: Column) -> Column:
+    """The list without any member equal to ``one``, order kept."""
+    return F.filter(listed, lambda x: ~x.eqNullSafe(one))

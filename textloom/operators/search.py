@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -11,14 +13,45 @@ from textloom.operators.order import first_rows
 
 
 def indexed(rows: DataFrame, body: str) -> DataFrame:
-    """The derived columns that searches need, made once at load: folded text and its tokens."""
-    return rows.withColumn("folded", T.fold(body)).withColumn("tokens", T.tokens("folded"))
-
-
-def score(query: str, ref_hit: Column | None = None, entity_hit: Column | None = None) -> Column:
+    """The derived column that searches need, the folded text; ``write_index`` keeps it."""
+    return rows.withColumn("folded", T.fold(body))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of an input that comes in fewer splits than there are cores, dealt over all of them; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def write_index(rows: DataFrame, id_col: str, body: str, path: str) -> None:
+    """Make at load what searches read: ``folded`` (id, folded text) for substrings, and ``postings``
+    (token, id, n) in the order of tokens, of which a prefix is a range that file statistics prune."""
+    folded = indexed(rows, body).select(id_col, "folded")
+    folded.write.mode("overwrite").parquet(f"{path}/folded")
+    posts = rows.sparkSession.read.parquet(f"{path}/folded").select(id_col, F.explode(T.tokens("folded")).alias("token"))
+    posts = posts.groupBy("token", id_col).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    posts.repartitionByRange("token", id_col).sortWithinPartitions("token", id_col).write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def search_index(spark: SparkSession, path: str, id_col: str, query: str) -> DataFrame:
+    """id, rank of all rows that a query hits by its terms or as a substring, from an index of ``write_index``."""
+    folded = spark.read.parquet(f"{path}/folded")
+    words, raw = T.terms(query), query.strip()
+    if not raw:
+        return folded.select(id_col, F.lit(0.0).alias("rank")).where(F.lit(False))
+    hits = folded.where(F.col("folded").contains(T.fold(F.lit(raw)))).select(id_col, F.lit(0.9).alias("rank"))
+    if words:
+        mine = [(F.col("token") >= w) & (F.col("token") < w + chr(0x10FFFF)) for w in words]
+        found = functools.reduce(lambda a, b: a | b, mine)
+        r = F.sum("n") * F.lit(0.1)
+        hits = hits.unionByName(spark.read.parquet(f"{path}/postings").where(found).groupBy(id_col).agg((r / (r + 1)).alias("rank")))
+    return hits.groupBy(id_col).agg(F.max("rank").cast("float").alias("rank"))
+
+
+def score(query: str, ref_hit: Column | None = None, entity_hit: Column | None = None, by_terms: bool = True) -> Column:
     """The best of: term rank, 0.9 for a substring, 1.0 for a reference, 0.6 for a linked entity."""
     folded = T.fold(F.lit(query.strip()))
-    parts = [T.term_rank(F.col("tokens"), T.terms(query)), F.when(F.col("folded").contains(folded), 0.9).otherwise(0.0)]
+    parts = [T.term_rank(F.col("folded"), T.terms(query) if by_terms else []), F.when(F.col("folded").contains(folded), 0.9).otherwise(0.0)]
     if ref_hit is not None:
         parts.append(F.when(ref_hit, 1.0).otherwise(0.0))
     if entity_hit is not None:
@@ -26,11 +59,11 @@ def score(query: str, ref_hit: Column | None = None, entity_hit: Column | None =
     return F.greatest(*parts)
 
 
-def search(rows: DataFrame, query: str, order: list[Column], limit: int = 20, offset: int = 0, ref_hit: Column | None = None, entity_hit: Column | None = None) -> DataFrame:
+def search(rows: DataFrame, query: str, order: list[Column], limit: int = 20, offset: int = 0, ref_hit: Column | None = None, entity_hit: Column | None = None, by_terms: bool = True) -> DataFrame:
     """rows as from ``indexed``. An empty query finds nothing. Limits are clamped to 1..100."""
     if not query.strip():
         return rows.withColumn("rank", F.lit(0.0)).where(F.lit(False))
-    hits = rows.withColumn("rank", score(query, ref_hit, entity_hit).cast("float")).where("rank > 0")
+    hits = rows.withColumn("rank", score(query, ref_hit, entity_hit, by_terms).cast("float")).where("rank > 0")
     return hits.orderBy(F.col("rank").desc(), *order).offset(max(0, offset)).limit(max(1, min(limit, 100)))
 
 

@@ -49,8 +49,8 @@ def fold_text(t):
 
 @query(f"SELECT doc_id, source, 0.9::DOUBLE AS rank FROM documents WHERE contains({sql_fold('text')}, 'tion then') ORDER BY doc_id LIMIT 20 OFFSET 2")
 def search_substring(t):
-    rows = t("documents").withColumn("folded", T.fold("text")).withColumn("tokens", F.array().cast("array<string>"))
-    return search.search(rows, "tion then", [F.col("doc_id")], 20, 2).select("doc_id", "source", F.round(F.col("rank").cast("double"), 6).alias("rank"))
+    rows = search.indexed(search.spread(t("documents")), "text")
+    return search.search(rows, "tion then", [F.col("doc_id")], 20, 2, by_terms=False).select("doc_id", "source", F.round(F.col("rank").cast("double"), 6).alias("rank"))
 
 
 _TOKENS = r"list_filter(string_split_regex({0}, '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')"
@@ -59,7 +59,7 @@ _TOKENS = r"list_filter(string_split_regex({0}, '[^\p{{L}}\p{{M}}\p{{N}}]+'), la
 @query(f"""WITH x AS (SELECT doc_id, len(list_filter({_TOKENS.format(sql_fold('text'))}, lambda x: starts_with(x, 'ther') OR starts_with(x, 'ent'))) * 0.1::DOUBLE AS r FROM documents)
 SELECT doc_id, round(CAST(CAST(r / (r + 1) AS REAL) AS DOUBLE), 6) AS rank FROM x WHERE r > 0 ORDER BY CAST(r / (r + 1) AS REAL) DESC, doc_id LIMIT 50""")
 def search_prefix_terms(t):
-    rows = search.indexed(t("documents"), "text").withColumn("rank", T.term_rank(F.col("tokens"), ["ther", "ent"]).cast("float")).where("rank > 0")
+    rows = search.indexed(search.spread(t("documents")), "text").withColumn("rank", T.term_rank(F.col("folded"), ["ther", "ent"]).cast("float")).where("rank > 0")
     return rows.orderBy(F.col("rank").desc(), "doc_id").limit(50).select("doc_id", F.round(F.col("rank").cast("double"), 6).alias("rank"))
 
 
@@ -69,7 +69,7 @@ s AS (SELECT doc_id, CAST(greatest(r / (r + 1), CASE WHEN contains(f, 'ther') TH
 SELECT doc_id, round(CAST(rank AS DOUBLE), 6) AS rank FROM s WHERE rank > 0 ORDER BY rank DESC, doc_id LIMIT 100""")
 def search_ranked(t):
     linked = t("labels").where("toxic = 1").select("doc_id", F.lit(True).alias("hit"))
-    rows = search.indexed(t("documents").join(linked, "doc_id", "left"), "text")
+    rows = search.indexed(search.spread(t("documents")).join(linked, "doc_id", "left"), "text")
     found = search.search(rows, "ther", [F.col("doc_id")], 100, 0, F.col("doc_id") == 7, F.coalesce("hit", F.lit(False)))
     return found.select("doc_id", F.round(F.col("rank").cast("double"), 6).alias("rank"))
 
@@ -86,9 +86,12 @@ def search_snippet(t):
     return t("documents").select("doc_id", T.snippet("text", T.fold("text"), "ther").alias("snippet"))
 
 
-@query()
+@query(rf"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
+h AS (SELECT *, list_transform(ws, lambda x: len(list_filter({_TOKENS.format(sql_fold('x'))}, lambda y: starts_with(y, 'ther'))) > 0) AS hs FROM w),
+f AS (SELECT *, list_position(hs, true) AS p FROM h), s AS (SELECT *, CAST(greatest(least(p - 6, len(ws) - 11), 1) AS BIGINT) AS s FROM f)
+SELECT doc_id, CASE WHEN list_contains(hs, true) THEN array_to_string(list_transform(ws[s:s + 29], lambda x, i: CASE WHEN hs[s + i - 1] THEN '«' || x || '»' ELSE x END), ' ') ELSE left(text, 160) END AS headline FROM s""")
 def search_headline(t):
-    return t("documents").select("doc_id", T.headline("text", ["ther"]).alias("headline"))
+    return search.spread(t("documents")).select("doc_id", T.headline("text", ["ther"]).alias("headline"))
 
 
 @query("""SELECT * FROM (SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS slug, c_name AS matched FROM customer UNION SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation UNION SELECT 'part', CAST(p_partkey AS VARCHAR), p_name FROM part UNION SELECT 'region', CAST(r_regionkey AS VARCHAR), r_name FROM region UNION SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier)
@@ -106,14 +109,15 @@ def question_clamp(t):
     return t("conversations").select("conv_id", "turn", T.clamp_question("text").alias("question"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, 'See [SB ' || doc_id || '.1.2] and [SB 9.9.9b] or [SB ' || doc_id || '.1.2]. End' AS a FROM documents),
-y AS (SELECT doc_id, a, doc_id % 2 = 0 AS ok FROM x)
-SELECT doc_id, CASE WHEN ok THEN 'See [SB ' || doc_id || '.1.2] and or [SB ' || doc_id || '.1.2]. End' ELSE '' END AS answer, CASE WHEN ok THEN doc_id || '.1.2' ELSE '' END AS refs FROM y""")
+@query(r"""WITH x AS (SELECT conv_id, turn, conv_id || '.1' AS good, (conv_id + 1) || '.2b' AS bad, regexp_replace(text, '([.!?])', '\1 [SB ' || CASE WHEN turn % 2 = 0 THEN conv_id || '.1' ELSE (conv_id + 1) || '.2b' END || ']  [SB ' || (conv_id + 1) || '.2b]', 'g') AS a FROM conversations),
+y AS (SELECT *, list_distinct(regexp_extract_all(a, '\[SB\s+(\d+(?:\.\d+)*[a-z]?)\]', 1)) AS cited FROM x), z AS (SELECT *, list_filter(cited, lambda r: r = good) AS refs FROM y)
+SELECT conv_id, turn, CASE WHEN len(refs) > 0 THEN md5(trim(regexp_replace(replace(a, '[SB ' || bad || ']', ''), ' {2,}', ' ', 'g'))) ELSE '' END AS answer, array_to_string(refs, ',') AS refs FROM z""")
 def ground_citations(t):
-    ref = F.concat(F.col("doc_id").cast("string"), F.lit(".1.2"))
-    answer = F.concat(F.lit("See [SB "), ref, F.lit("] and [SB 9.9.9b] or [SB "), ref, F.lit("]. End"))
-    rows = t("documents").withColumn("a", answer).withColumn("allowed", F.when(F.col("doc_id") % 2 == 0, F.array(ref)).otherwise(F.array(F.lit("0.0.0"))))
-    return rows.withColumn("g", T.ground("a", F.col("allowed"))).select("doc_id", F.col("g.text").alias("answer"), F.array_join("g.refs", ",").alias("refs"))
+    good, bad = F.concat("conv_id", F.lit(".1")), F.concat(F.col("conv_id") + 1, F.lit(".2b"))
+    first = F.when(F.col("turn") % 2 == 0, good).otherwise(bad)
+    rows = t("conversations").withColumn("a", F.regexp_replace("text", F.lit("([.!?])"), F.concat(F.lit("$1 [SB "), first, F.lit("]  [SB "), bad, F.lit("]"))))
+    rows = rows.withColumn("g", T.ground("a", F.array(good)))
+    return rows.select("conv_id", "turn", F.when(F.col("g.text") != "", F.md5("g.text")).otherwise(F.lit("")).alias("answer"), F.array_join("g.refs", ",").alias("refs"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages""")
@@ -139,17 +143,29 @@ def source_titles(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", T.chapter_title("W", F.col("l_linenumber") + 6, F.col("l_quantity").cast("int")).alias("title"))
 
 
-@query("SELECT p_partkey, p_name || ' — ' || p_type || chr(10) || p_brand || ' — ' AS lines FROM part")
+@query(r"""WITH e AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(replace(text, '. ', '; '), ' of ', ' — '), ';'), lambda x: trim(x)), lambda x: contains(x, '—') OR contains(x, '-')) AS entries FROM conversations)
+SELECT conv_id, turn, md5(array_to_string(list_transform(entries, lambda x: CASE WHEN contains(x, '—') THEN trim(substr(x, 1, strpos(x, '—') - 1)) || ' — ' || trim(substr(x, strpos(x, '—') + 1)) ELSE x || ' — ' END), chr(10))) AS lines FROM e""")
 def word_meaning_lines(t):
-    entry = F.concat(F.col("p_name"), F.lit(" — "), F.col("p_type"), F.lit("; "), F.col("p_brand"), F.lit("—; none"))
-    return t("part").select("p_partkey", T.meanings_text(T.word_meanings(entry)).alias("lines"))
+    entry = F.replace(F.replace("text", F.lit(". "), F.lit("; ")), F.lit(" of "), F.lit(" — "))
+    return t("conversations").select("conv_id", "turn", F.md5(T.meanings_text(T.word_meanings(entry))).alias("lines"))
 
 
-@query()
+#: Words and their forms, with anusvara, candrabindu, nukta, chillu, digits and dandas.
+_SCRIPTS = ("Deva", "Latn", "Mlym", "Knda", "Telu", "Beng", "Gujr", "Guru", "Orya", "Taml")
+_WORDS = [
+    ("हंस", "haṁsa", "ഹംസ", "ಹಂಸ", "హంస", "হংস", "હંસ", "ਹੰਸ", "ହଂସ", "ஹம்ஸ"),
+    ("धर्म ।", "dharma |", "ധർമ ।", "ಧರ್ಮ ।", "ధర్మ ।", "ধর্ম ।", "ધર્મ ।", "ਧਰ੍ਮ ।", "ଧର୍ମ ।", "தர்ம ।"),
+    ("ऋषिः १", "ṛṣiḥ 1", "ഋഷിഃ ൧", "ಋಷಿಃ ೧", "ఋషిః ౧", "ঋষিঃ ১", "ઋષિઃ ૧", "ਰਿਸ਼ਿਃ ੧", "ଋଷିଃ ୧", "ருஷிஃ ௧"),
+    ("चाँद", "cām̐da", "ചാഁദ", "ಚಾಁದ", "చాఁద", "চাঁদ", "ચાઁદ", "ਚਾਁਦ", "ଚାଁଦ", "சாம்த"),
+    ("ग\u093cम", "ġama", "ഗമ", "ಗಮ", "గమ", "গম", "ગમ", "\u0a17\u0a3cਮ", "ଗମ", "க\u093cம"),
+]
+
+
+@query(f"SELECT n_nationkey, {', '.join(_SCRIPTS[1:])} FROM nation JOIN (VALUES {', '.join(str((i, *w)) for i, w in enumerate(_WORDS))}) v(i, {', '.join(_SCRIPTS)}) ON i = n_nationkey % {len(_WORDS)}")
 def transliterated(t):
-    word = F.when(F.col("n_nationkey") % 2 == 0, "त्रिसर्गोऽमृषा").otherwise("कृष्णः ॥ १२ ॥")
+    word = F.element_at(F.array(*[F.lit(w[0]) for w in _WORDS]), (F.col("n_nationkey") % len(_WORDS) + 1).cast("int"))
     rows = t("nation").select("n_nationkey", word.alias("deva"))
-    return rows.select("n_nationkey", *[transliterate("deva", s).alias(s) for s in ("Latn", "Mlym", "Knda", "Telu", "Beng", "Gujr", "Guru", "Orya", "Taml")])
+    return rows.select("n_nationkey", *[transliterate("deva", s).alias(s) for s in _SCRIPTS[1:]])
 
 
 # ---- order, numbering, windows
@@ -322,7 +338,9 @@ def session_messages(t):
 
 @query(r"SELECT event_id, event_type FROM events WHERE regexp_full_match(event_type, '[a-z][a-z0-9_]{1,31}')")
 def event_gate(t):
-    return t("events").where(F.col("event_type").rlike("^[a-z][a-z0-9_]{1,31}$")).select("event_id", "event_type")
+    from textloom.streaming.events import gate
+
+    return gate(t("events").withColumn("event", F.col("event_type"))).select("event_id", "event_type")
 
 
 @query("SELECT doc_id, CASE WHEN l.quality = 1 THEN 'published' ELSE 'draft' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -365,11 +383,11 @@ def lww_merge(t):
     return merge.last_writer_wins(of("click"), of("view"), ["user_id"], "at", [])
 
 
-@query("SELECT n_name AS slug, 'local' AS origin FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_name, 'remote' FROM nation WHERE n_nationkey >= 10")
+@query("""WITH l AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND event_id % 4 = 0), r AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click')
+SELECT user_id AS slug, 'local' AS origin FROM l UNION ALL SELECT user_id, 'remote' FROM r WHERE user_id NOT IN (SELECT user_id FROM l)""")
 def local_wins(t):
-    n = t("nation").select(F.col("n_name").alias("slug"), "n_nationkey")
-    local = n.where("n_nationkey < 10").select("slug", F.lit("local").alias("origin"))
-    return merge.local_wins(local, n.select("slug", F.lit("remote").alias("origin")), "slug")
+    of = lambda cond, origin: t("events").where(cond).select(F.col("user_id").alias("slug")).distinct().withColumn("origin", F.lit(origin))
+    return merge.local_wins(of("event_type = 'view' AND event_id % 4 = 0", "local"), of("event_type = 'click'", "remote"), "slug")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -377,11 +395,12 @@ def json_extract(t):
     return t("events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("SELECT event_id, event_type AS k, CAST(user_id AS VARCHAR) AS u FROM events")
+@query("""WITH m AS (SELECT event_id, json_merge_patch(props, CASE WHEN event_id % 2 = 0 THEN json_object('k', event_type) ELSE json_object('u', CAST(user_id AS VARCHAR)) END) AS j FROM events)
+SELECT event_id, j->>'$.k' AS k, coalesce(j->>'$.u', '-') AS u FROM m""")
 def json_merge(t):
-    new = F.create_map(F.lit("k"), F.col("event_type"), F.lit("u"), F.col("user_id").cast("string"))
+    new = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("k"), F.col("event_type"))).otherwise(F.create_map(F.lit("u"), F.col("user_id").cast("string")))
     x = t("events").withColumn("m", merge.merge_maps(F.from_json("props", "map<string,string>"), new))
-    return x.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["u"].alias("u"))
+    return x.select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), F.coalesce(F.try_element_at("m", F.lit("u")), F.lit("-")).alias("u"))
 
 
 @query("SELECT l_suppkey, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS pending FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')) GROUP BY 1")
@@ -496,9 +515,10 @@ def segment_lookup(t):
 # ---- grouping and sets
 
 
-@query(r"SELECT DISTINCT tag FROM (SELECT unnest(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '')) AS tag FROM documents) WHERE length(tag) <= 12")
+@query(r"SELECT md5(tag) AS tag, CAST(length(tag) AS INTEGER) AS n FROM (SELECT DISTINCT unnest(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '')) AS tag FROM documents)")
 def tags_distinct(t):
-    return t("documents").select(F.explode(T.parse_tags("text")).alias("tag")).where("length(tag) <= 12").distinct()
+    tags = t("documents").select(F.explode(T.parse_tags("text")).alias("tag")).distinct()
+    return tags.select(F.md5("tag").alias("tag"), F.length("tag").alias("n"))
 
 
 @query(r"SELECT doc_id FROM documents WHERE list_contains(list_transform(string_split(text, ','), lambda x: trim(x)), 'the')")
@@ -557,9 +577,15 @@ def joined_names(t):
     return t("nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_set("n_name")), " | ").alias("names"))
 
 
-@query()
+@query("""WITH n AS (SELECT n_nationkey AS chapter, n_nationkey % 3 + 2 AS n FROM nation)
+SELECT 2 AS book, chapter, '2.' || chapter || '.1' AS ref, 1 AS ordinal, 'verse' AS kind, '-' AS speaker, 'राम' AS speaker_surface, 'क ख ग ॥ १ ॥' AS deva, 'ka kha ga || 1 ||' AS iast, -1 AS printed, '-' AS numbering_note FROM n
+UNION ALL SELECT 2, chapter, '2.' || chapter || '.' || n, 2, 'verse', '-', 'राम', 'घ ङ ॥ ' || translate(CAST(n AS VARCHAR), '234', '२३४') || ' ॥', 'gha ṅa || ' || n || ' ||', CASE WHEN n = 2 THEN -1 ELSE n END, CASE n WHEN 2 THEN '-' WHEN 3 THEN 'numbering skips 2' ELSE 'numbering skips 2, 3' END FROM n""")
 def numbered_split(t):
     from textloom.operators.parse import parse_chapters
 
     line = F.concat(F.lit("राम उवाच\nक ख ग ॥ १ ॥\nघ ङ ॥ "), T.deva_digits(F.col("n_nationkey") % 3 + 2), F.lit(" ॥\n"))
-    return parse_chapters(t("nation").select(F.lit(2).alias("book"), F.col("n_nationkey").alias("chapter"), line.alias("wikitext")))
+    x = parse_chapters(t("nation").select(F.lit(2).alias("book"), F.col("n_nationkey").alias("chapter"), line.alias("wikitext")))
+    return x.where("error IS NULL").drop("error").na.fill("-", ["speaker", "numbering_note"]).na.fill(-1, ["printed"])
+
+
+from textloom.plans import reader  # noqa: E402, F401 - registers its queries
