@@ -1,41 +1,52 @@
 """Helpers shared by the training-data operators.
 
 Nothing here keeps rows on the driver or in a machine-local folder. Intermediate tables go to the
-folder that the session names in ``spark.checkpoint.dir``; one is chosen only where it is unset.
+folder that the session names in ``spark.checkpoint.dir``. Where it is unset, a session of one machine
+(master local) gets a temporary folder, and any other session an error.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows of a batch that goes to Python; texts reach 100 KB and more, so batches stay short.
-ARROW_ROWS = 512
+#: Rows and bytes of a batch that goes to Python; texts reach 100 KB and more, so batches stay short.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
 
 
 def prepare(spark: SparkSession) -> str:
     """Bound the Arrow batches and return the shared scratch folder of this session."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    for name, most in _LIMITS.items():
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="textloom-checkpoint-")
-            spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="textloom-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables of one operator call in the shared folder, deleted together by ``drop``.
 
     A table written here survives the loss of executors and cuts the lineage, as a checkpoint does,
-    but is compressed and read by column.
+    but is compressed and read by column. What was shuffled to write it is not needed any more, so its
+    files go at once.
     """
 
     def __init__(self, spark: SparkSession):
@@ -46,7 +57,12 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEAN, None)
+        try:
+            self.spark.conf.set(_CLEAN, "true")
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before) if before else self.spark.conf.unset(_CLEAN)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -55,11 +71,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def finish(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """Checkpoint a compact result and delete the tables it was made from."""
-    out = df.checkpoint()
-    scratch.drop()
-    return out
+def with_scratch(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Give the operator (docs, ..., scratch) its Scratch, checkpoint its compact result, and delete the
+    tables it was made from, also when it fails."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args: Any, **named: Any) -> DataFrame:
+        scratch = Scratch(docs.sparkSession)
+        try:
+            return operator(docs, *args, scratch=scratch, **named).checkpoint()
+        finally:
+            scratch.drop()
+
+    return run
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -143,3 +167,10 @@ def group_cuts(table, keys: int) -> list[int]:
         c = table.column(i).to_numpy()
         new |= c[1:] != c[:-1]
     return [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+
+
+def finish(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """Checkpoint a compact result and delete the tables it was made from."""
+    out = df.checkpoint()
+    scratch.drop()
+    return out

@@ -155,7 +155,8 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, media: the stored Ogg file of each whole text (null: empty)."""
+    """docs (doc_id, text; other columns ignored) -> doc_id, media: the stored Ogg file of each whole text (null:
+    empty), one row a row; equal texts give equal files, an empty table gives an empty result."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import finish, prepare, Scratch, utf8
+from textloom.llm.common import prepare, Scratch, utf8, with_scratch
 
 CAPACITY = 2048
 END_ID = 0
@@ -110,7 +110,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> one row a piece; ``with_ids`` adds the ids as little-endian bytes."""
+    """docs (doc_id, text; other columns ignored) -> one row a piece; ``with_ids`` adds the ids as little-endian bytes.
+
+    Null and empty texts are the end id alone. Texts longer than ``capacity`` ids are cut into pieces of that
+    many, the last one shorter. Rows are independent: null and repeated ids each give their pieces, an empty
+    table gives an empty result.
+    """
     prepare(docs.sparkSession)
     path = path or default_tokenizer()
     width = capacity * 4
@@ -243,26 +248,27 @@ def places(patterns: list[Pattern]) -> np.ndarray:
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+@with_scratch
+def pack(pieces: DataFrame, capacity: int = CAPACITY, *, scratch: Scratch) -> DataFrame:
     """pieces (doc_id, piece, length at most capacity, ...) -> the same plus sequence_id and offset.
 
     Equal pieces are told apart by doc_id, piece and checksum; whole duplicate rows take the places
-    of equal pieces in any order. An empty table gives an empty result.
+    of equal pieces in any order. Columns other than sequence_id and offset may have any names. An empty
+    table gives an empty result.
     """
-    scratch = Scratch(pieces.sparkSession)
     pieces = scratch.keep(pieces)
     salts = max(SALTS, pieces.count() // ROWS_A_SALT)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    by_salt = scratch.keep(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    by_salt = scratch.keep(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")))
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_salt.groupBy("length").agg(F.sum("n")).collect():  # at most capacity rows
         counts[length] = n
     runs = places(plan_bins(counts))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("place", place).join(starts, ["length", "salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("first") + F.col("place")).alias("rank"))
+    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_salt.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    ranked = salted.withColumn("__place", place).join(starts, ["length", "__salt"])
+    ranked = ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col("__first") + F.col("__place")).alias("__rank"))
     keys = runs[:, 0] << 44 | runs[:, 1]
     at = pieces.columns.index("length")
 
@@ -275,11 +281,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence + nth // n), pa.array(offset + nth % n * length)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return finish(ranked.mapInArrow(assign, f"{schema}, sequence_id long, offset long"), scratch)
+    return ranked.mapInArrow(assign, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """docs -> sequence_id, ids: the packed training sequences themselves."""
+    """docs (doc_id, text) -> sequence_id, ids: the packed training sequences themselves, as little-endian
+    unsigned 32-bit ids. Rows are treated as by ``tokenize_pieces``; an empty table gives an empty result."""
     placed = pack(tokenize_pieces(docs, capacity, path, with_ids=True), capacity)
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # at most ``capacity`` tokens a group
     ids = F.aggregate(parts, F.encode(F.lit(""), "UTF-8"), lambda a, x: F.concat(a, x["ids"]))
