@@ -1,22 +1,24 @@
-"""Language-model scoring by a probabilistic suffix tree over bytes, beside a word-unigram base.
-
-Symbols are the bytes of the lower-cased words of a text, joined by single spaces, and one end sign.
-Contexts of up to DEPTH symbols are counted over all training texts; DEPTH + 1 symbols fill a machine
-word, and no context is longer. All contexts of one and two symbols stay. A longer one stays if it
-occurs LEAST times and its counts diverge from the distribution of its suffix (one symbol shorter) by
-COST nats for each of its next symbols; with it stay its suffixes. Neither test looks at the size of
-the corpus, so the tree grows with it. Next symbols are smoothed by Witten-Bell towards the suffix,
-down to a uniform root. A text is scored with the longest suffix state at each place.
-
-One pass over the texts writes, for chunks of texts, the counts of words and of (DEPTH + 1)-grams as
-sorted, packed arrays split by key, and the texts themselves compressed. Counts meet by key: words by
-range, grams by the three newest symbols of their context, where the part of the tree below those is
-grown. Each chunk gets back the corpus counts of its own words and the probabilities of its own grams
-only, so neither a vocabulary nor a tree is broadcast; counts of three symbols are (at most 2**24).
+"""Language-model scoring by a probabilistic suffix tree over words, beside a word-unigram base.
+
+Symbols are the words of a text and one end sign, the tokens of the base. States are contexts of up to
+DEPTH words. The root is the smoothed unigram of the base. A longer context is a state if it occurs
+LEAST times, its suffix (one word shorter) is a state, and its counts diverge from the smoothed
+distribution of its suffix by COST nats for each of its next symbols. None of this looks at the size of
+the corpus, so the tree grows with it. Next symbols are smoothed by Witten-Bell towards the suffix:
+(count + kinds * p) / (total + kinds), p the suffix's, down to the root, in which all words that
+training does not hold share one place. A text is scored with the longest suffix state at each symbol.
+
+The tree is grown one depth a round. Texts are kept once, as numbers of words, in chunks. In a round each chunk
+sends its distinct (context, next word) pairs as sorted packed arrays to the ranges of the contexts'
+hashes, where the counts of all chunks meet, and gets back the corpus counts of its own pairs and the
+kinds and divergences of its own contexts. So neither a vocabulary nor a tree is broadcast or collected.
+The number of ranges stops at PARTS, so rows grow in proportion to the chunks. A context with more than
+a 4096th of all symbols is split by its next words; its parts meet in a table of at most 4096 rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,20 +28,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import finish, group_cuts, mix64, prepare, Scratch, utf8, whole_groups, WordHashes
+from textloom.llm.common import mix64, Scratch, utf8, whole_groups, with_scratch, WordHashes
 
-DEPTH = 7
+DEPTH = 2
 LEAST = 2
 #: Nats that each next symbol of a context must earn, so that small corpora do not grow chance contexts.
-COST = 2.0
-CHUNK, BLOCK = 32_000_000, 4_000_000  # bytes of text
-DOCS_A_PART = 4096
+COST = 1.0
+CHUNK = 10_000_000  # bytes of text
+PART_BYTES, PARTS = 4_000_000, 2048
+#: Contexts with more occurrences than this, and than a 4096th of all symbols, are split.
+HOT, MOST_HOT = 1 << 20, 4096
 HELD_OUT = (7, 2)  # crc32(doc_id) mod 7 = 2
 
 _U = np.uint64
+_K, _S = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _words = WordHashes()
-TEXTS, WORDS, GRAMS, TOTALS = range(4)
-ROW = "kind int, part int, gid long, doc_id long, held_out boolean, data binary, counts binary, n long, docs long"
+END = 0x5851F42D4C957F2D
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -48,417 +52,371 @@ def _zip(x: np.ndarray) -> bytes:
     return ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
 
-def _unzip(x: bytes, kind=np.int64) -> np.ndarray:
+def _unzip(x: bytes, kind) -> np.ndarray:
     from zstandard import ZstdDecompressor
 
     return np.frombuffer(ZstdDecompressor().decompress(x), kind)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    return _zip(np.diff(keys, prepend=_U(0)))
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unzip(data, _U), dtype=_U)
-
-
-def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT[0] == HELD_OUT[1]
-
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, which compress better."""
+    return _zip(x.view(np.uint8).reshape(len(x), -1).T if len(x) else x)
 
-def normal(raw: bytes) -> bytes:
-    """The symbols of a text; NUL, which marks ends, counts as byte 1."""
-    return b" ".join(raw.lower().split()).replace(b"\0", b"\1")
 
+def _unplanes(x: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(_unzip(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def grams(texts: list[bytes]) -> np.ndarray:
-    """(DEPTH + 1)-grams of the texts and their ends, one for each symbol, packed with the newest byte lowest."""
-    b = np.frombuffer(b"".join(b"\0" * DEPTH + t for t in texts) + b"\0" * DEPTH, np.uint8)
-    counted = (b[DEPTH:] != 0) | (b[DEPTH - 1 : -1] != 0) | _alone(texts)
-    return pack_windows(b, DEPTH + 1)[counted]
-
-
-def pack_windows(b: np.ndarray, k: int) -> np.ndarray:
-    """Every k consecutive bytes as one number, k at most 8; widths are doubled, so narrow types do most of the work."""
-    out, width = b, 1
-    kinds = {2: np.uint16, 4: np.uint32, 8: _U}
-    done = {1: b}
-    while 2 * width <= k:
-        x = out.astype(kinds[2 * width])
-        n = len(out) - width
-        x = x[:n] << x.dtype.type(8 * width) | out[width : width + n]
-        out, width = x, 2 * width
-        done[width] = out
-    out = out.astype(_U)
-    while width < k:
-        step = max(w for w in done if w <= k - width)
-        n = len(b) - (width + step) + 1
-        out = out[:n] << _U(8 * step) | done[step][width : width + n].astype(_U)
-        width += step
-    return out
-
-
-def _alone(texts: list[bytes]) -> np.ndarray:
-    """Marks the end sign of each empty text, which follows another end."""
-    size = np.array([DEPTH + len(t) for t in texts], np.int64)
-    out = np.zeros(int(size.sum()), bool)
-    starts = np.cumsum(size) - size
-    for i in np.flatnonzero(size == DEPTH):
-        out[starts[i]] = True
-    return out
-
-
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, i = np.unique(keys, return_inverse=True)
-    return u, np.bincount(i, counts, len(u)).astype(np.int64)
-
-
-def _merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """_sum_by of runs (keys, counts) with sorted keys, which a stable sort only has to merge."""
-    keys = np.concatenate([np.zeros(0, _U), *[k for k, _ in runs]])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], np.concatenate([np.zeros(0, np.int64), *[c for _, c in runs]])[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=_U(0)))
 
-def _gram_part(g: np.ndarray, parts: int) -> np.ndarray:
-    """By the three newest context bytes, so that a context and its suffixes down to three bytes meet."""
-    return mix64(g >> _U(8) & _U(0xFFFFFF)) % _U(parts)
 
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(data, _U), dtype=_U)
 
-def _triples(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The counts of the three newest bytes, in slices so that the table of sums stays small."""
-    low, out = g & _U(0xFFFFFF), []
-    for at in range(0, 1 << 24, 1 << 21):
-        i = low >> _U(21) == at >> 21
-        if i.any():
-            c = np.bincount((low[i] - _U(at)).astype(np.int64), n[i]).astype(np.int64)
-            k = np.flatnonzero(c)
-            out.append((k.astype(_U) + _U(at), c[k]))
-    return _merge(out)
 
+def held_out(doc_id: int | None) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT[0] == HELD_OUT[1]
 
-def _count_chunks(docs: DataFrame, parts: int) -> DataFrame:
-    shift = _U(64 - int(parts).bit_length() + 1)
-    names = [x.split(" ")[0] for x in ROW.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+def _join(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *arrays])
+
+
+def symbols(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a text, and the end sign."""
+    return np.append(_words.of(raw.lower().split()), _U(END))
+
+
+def pack_pairs(f: dict[str, np.ndarray]) -> tuple[bytes, ...]:
+    """Rows as of Chunk.pairs; of the contexts' hashes 48 bits, of the next words the steps within a context."""
+    first = np.cumsum(f["kinds"]) - f["kinds"]
+    step = np.diff(f["next"], prepend=np.uint32(0))
+    step[first] = f["next"][first]
+    return pack_keys(f["ctx"] >> _U(16)), _zip(f["kinds"]), _planes(step), _zip(f["n"]), _zip(f["q"]), _zip(f["places"]), _zip(f["names"])
+
+
+def unpack_pairs(ctx: bytes, kinds: bytes, step: bytes, n: bytes, q: bytes, places: bytes, names: bytes) -> dict[str, np.ndarray]:
+    size, steps = _unzip(kinds, np.uint32), _unplanes(step, np.uint32)
+    first = np.cumsum(size) - size
+    upto = np.cumsum(steps, dtype=np.uint32)
+    return {
+        "ctx": unpack_keys(ctx), "kinds": size, "next": upto - np.repeat(upto[first] - steps[first], size),
+        "n": _unzip(n, np.uint32), "q": _unzip(q, np.uint8), "places": _unzip(places, np.uint32), "names": _unzip(names, _U),
+    }
+
+
+class Chunk:
+    """The symbols of some texts, and for each of them what the rounds have found: the longest pair
+    looked up (``seq``, into ``names`` and training ``counts``), the probability, and whether the context
+    of the last round is a state."""
+
+    def __init__(self, ids: list[int | None], size: np.ndarray, u: np.ndarray, of: np.ndarray, hot: int = HOT):
+        """``u``: the sorted distinct symbols; ``of``: each symbol's number in it; ``size``: symbols a text."""
+        self.ids, self.size, self.u, self.of, self.hot = ids, size.astype(np.int64), u, of.astype(np.int64), hot
+        self.first = np.cumsum(self.size) - self.size
+        self.out = np.array([held_out(i) for i in ids], bool)
+        self.train = ~np.repeat(self.out, self.size)
+
+    @classmethod
+    def of_texts(cls, ids: list[int | None], texts: list[np.ndarray], hot: int = HOT) -> Chunk:
+        return cls(ids, np.array([len(t) for t in texts]), *np.unique(np.concatenate(texts), return_inverse=True), hot)
+
+    # ---- round 0: words
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct symbols, sorted, and their training counts here."""
+        return self.u, np.bincount(self.of, self.train, len(self.u)).astype(np.uint32)
+
+    def take_words(self, counts: np.ndarray, tokens: int, kinds: int) -> None:
+        p = (counts + 1) / (tokens + kinds + 1)
+        self.p = p[self.of]
+        self.base, self.known = self.scores(np.log10(p)[self.of]), self.scores((counts > 0)[self.of].astype(np.int64))
+        self.seq, self.names, self.counts = self.of, self.u, counts
+        self.state = np.ones(len(self.of), bool)
+        self.state[self.first] = False  # no context
+
+    # ---- round k: contexts of k words
+
+    def pairs(self, k: int) -> dict[str, np.ndarray]:
+        """Distinct contexts that can be states, each with its next words: ``ctx``, ``kinds`` (next words of each),
+        ``next``, training counts ``n`` here, ``q`` (-8 log2 of the probability by the suffix), and of the
+        split contexts the places in ``ctx`` and their own names."""
+        i = np.flatnonzero(self.state)
+        i = i[self.seq[i - 1] >= 0]
+        self.i = i = i[self.counts[self.seq[i - 1]] >= LEAST]
+        key, pair = np.unique(self.seq[i - 1].astype(_U) << _U(32) | self.of[i].astype(_U), return_inverse=True)
+        before, nxt = (key >> _U(32)).astype(np.int64), self.u[(key & _U(0xFFFFFFFF)).astype(np.int64)]
+        name, total = self.names[before], self.counts[before]
+        split = -(-total // self.hot)
+        ctx = name
+        if split.size and split.max() > 1:
+            ctx = np.where(split > 1, mix64(name + (mix64(nxt) % split.astype(_U) + _U(1)) * _S), name)
+        if k > 1 or ctx is not name:
+            order = np.argsort(ctx, kind="stable")
+            ctx, name, nxt, total, split = ctx[order], name[order], nxt[order], total[order], split[order]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            pair = place[pair]
+        self.pair, self.next = pair, nxt
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(ctx)), bool), ctx[1:] != ctx[:-1]]))
+        kinds = np.diff(np.append(first, len(ctx)))
+        self.row = np.repeat(np.arange(len(first)), kinds)
+        self.name, self.total, self.split = name[first], total[first], split[first] > 1
+        q = np.ones(len(ctx))
+        q[pair] = self.p[i]
+        return {
+            "ctx": ctx[first],
+            "kinds": kinds.astype(np.uint32),
+            "next": (nxt >> _U(32 if k == 1 else 40)).astype(np.uint32),
+            "n": np.bincount(pair, self.train[i], len(ctx)).astype(np.uint32),
+            "q": np.clip(np.round(-8 * np.log2(q)), 0, 255).astype(np.uint8),
+            "places": np.flatnonzero(self.split).astype(np.uint32),
+            "names": self.name[self.split],
+        }
+
+    def take(self, c: np.ndarray, kinds: np.ndarray, whole: dict[str, np.ndarray]) -> None:
+        """Counts of the pairs, kinds of the contexts (0: not a state), and what is known of whole split contexts."""
+        kinds, total = kinds.astype(np.float64), self.total.astype(np.float64)
+        at = np.searchsorted(whole["name"], self.name[self.split])
+        kinds[self.split] = whole["kinds"][at] * is_state(whole["kinds"][at], whole["gain"][at], total[self.split])
+        mine = (kinds > 0)[self.row][self.pair]
+        row, j = self.row[self.pair[mine]], self.i[mine]
+        self.p[j] = (c[self.pair[mine]] + kinds[row] * self.p[j]) / (total[row] + kinds[row])
+        self.names, self.counts = mix64(self.name[self.row] * _K + self.next), c
+        self.seq = np.full(len(self.of), -1)
+        self.seq[self.i] = self.pair
+        self.state = np.zeros(len(self.of), bool)
+        self.state[j] = True
+        del self.i, self.pair, self.next, self.row, self.name, self.total, self.split
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Sums by text."""
+        return np.add.reduceat(x, self.first)
+
+
+def is_state(kinds: np.ndarray, gain: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """gain: sum of count * ln(count / q) over the next symbols."""
+    return (gain - total * np.log(np.maximum(total, 1)) >= COST * kinds) & (total >= LEAST)
+
+
+def meet_words(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    u, of = np.unique(_join(keys, _U), return_inverse=True)
+    c = np.bincount(of, _join(counts, np.uint32), len(u)).astype(np.int64)
+    return c, np.split(c[of], np.cumsum([len(k) for k in keys])[:-1])
+
+
+def meet_pairs(rows: list[dict[str, np.ndarray]]) -> tuple[list[dict[str, np.ndarray]], dict[str, np.ndarray]]:
+    """For rows as of Chunk.pairs: their counts ``c`` and ``kinds`` over all rows (0: not a state), and the split
+    contexts with their kinds and gains here; whether those are states, the chunks find."""
+    u, of = np.unique(_join([r["ctx"] for r in rows], _U), return_inverse=True)
+    ctx = np.repeat(of, _join([r["kinds"] for r in rows], np.uint32))
+    key, first, pair = np.unique(ctx.astype(_U) << _U(32) | _join([r["next"] for r in rows], np.uint32), return_index=True, return_inverse=True)
+    c = np.bincount(pair, _join([r["n"] for r in rows], np.uint32), len(key)).astype(np.int64)
+    of_pair = (key >> _U(32)).astype(np.int64)
+    seen = c > 0
+    ln_q = _join([r["q"] for r in rows], np.uint8)[first] * (-math.log(2) / 8)
+    kinds = np.bincount(of_pair, seen, len(u)).astype(np.uint32)
+    gain = np.bincount(of_pair, c * (np.log(np.where(seen, c, 1)) - ln_q), len(u))
+    states = kinds * is_state(kinds, gain, np.bincount(of_pair, c, len(u)))
+    cs = np.split(c[pair], np.cumsum([len(r["next"]) for r in rows])[:-1])
+    ofs = np.split(of, np.cumsum([len(r["ctx"]) for r in rows])[:-1])
+    back = [{"c": x, "kinds": states[o].astype(np.uint32)} for x, o in zip(cs, ofs, strict=True)]
+    at, one = np.unique(_join([o[r["places"]] for r, o in zip(rows, ofs, strict=True)], np.int64), return_index=True)
+    return back, {"name": _join([r["names"] for r in rows], _U)[one], "kinds": kinds[at].astype(np.float64), "gain": gain[at]}
+
+
+# ---- tables
+
+CHUNKS = "gid long, ids array<long>, size binary, symbols binary, part int, keys binary, counts binary, n long"
+WORDS = "part int, gid long, counts binary, n long, v long"
+PAIRS = "part int, gid long, ctx binary, kinds binary, next binary, n binary, q binary, places binary, names binary"
+REPLIES = "part int, gid long, c binary, kinds binary, whole binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split(" ")[0] for x in schema.split(", ")]
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    types = [kinds[x.split(" ")[1]] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _names(schema))
+
+
+def _ranges(u: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """Part, begin and end of the sorted hashes by their leading bits."""
+    of = u >> _U(65 - parts.bit_length()) if parts > 1 else np.zeros(len(u), _U)
+    cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(u)] if len(u) else [0]
+    for s, e in zip(cut[:-1], cut[1:], strict=True):
+        yield int(of[s]), s, e
+
+
+def _symbols(docs: DataFrame, parts: int) -> DataFrame:
+    """One row a chunk, and one for each part of its words (``keys``, ``counts``; ``n`` symbols of training texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zstandard import ZstdCompressor
-
-        z, task, chunk = ZstdCompressor(level=3), TaskContext.get().partitionId() << 24, 0
-        keys: list[np.ndarray] = []
-        flags: list[np.ndarray] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        train: list[bytes] = []
-        held: list[bytes] = []
-        size = waiting = n_docs = 0
-
-        def count() -> None:
-            if train:
-                found.append(np.unique(grams(train), return_counts=True))
-            if held:  # scored, not learnt from
-                u = np.unique(grams(held))
-                found.append((u, np.zeros(len(u), np.int64)))
-            train.clear()
-            held.clear()
+        gid, size = TaskContext.get().partitionId() << 24, 0
+        ids: list[int | None] = []
+        texts: list[np.ndarray] = []
 
         def end() -> pa.RecordBatch:
-            u, c = _sum_by(np.concatenate([np.zeros(0, _U), *keys]), np.concatenate([np.zeros(0), *flags]))
-            rows = []
-            cut = np.searchsorted(u >> shift, np.arange(parts + 1, dtype=_U)) if parts > 1 else np.array([0, len(u)])
-            for p in range(parts):
-                if (s := int(cut[p])) < (e := int(cut[p + 1])):
-                    rows.append((WORDS, p, task + chunk, None, None, pack_keys(u[s:e]), _zip(c[s:e]), None, None))
-            count()
-            g, n = _merge(found)
-            of = _gram_part(g, parts)
-            for p in np.unique(of).tolist():
-                i = of == p
-                rows.append((GRAMS, p, task + chunk, None, None, pack_keys(g[i]), _zip(n[i]), None, None))
-            triples, sums = _triples(g, n)
-            rows.append((TOTALS, 0, task + chunk, None, None, pack_keys(triples), _zip(sums), int(c.sum()), n_docs))
-            return batch(rows)
+            x = Chunk.of_texts(ids, texts)
+            u, n = x.words()
+            rows = [(gid, ids, _zip(x.size.astype(np.uint32)), _planes(x.of.astype(np.uint32)), None, None, None, None)]
+            return _batch(rows + [(gid, None, None, None, p, pack_keys(u[s:e]), _zip(n[s:e]), int(n[s:e].sum())) for p, s, e in _ranges(u, parts)], CHUNKS)
 
         for b in batches:
-            rows = []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out, t = held_out(doc), normal(raw)
-                words = t.split()
-                keys.append(_words.of(words))
-                flags.append(np.full(len(words), float(not out)))
-                rows.append((TEXTS, 0, task + chunk, doc, out, z.compress(t), None, None, None))
-                size, waiting, n_docs = size + len(t), waiting + len(t) + 1, n_docs + (not out)
-                (held if out else train).append(t)
-                if waiting >= BLOCK:
-                    count()
-                    waiting = 0
-            if rows:
-                yield batch(rows)
-            if size >= CHUNK:
-                yield end()
-                keys, flags, found, size, waiting, n_docs, chunk = [], [], [], 0, 0, 0, chunk + 1
-        if keys:
+                ids.append(doc)
+                texts.append(symbols(raw))
+                size += len(raw) + 1
+                if size >= CHUNK:
+                    yield end()
+                    ids.clear()
+                    texts.clear()
+                    gid, size = gid + 1, 0
+        if ids:
             yield end()
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(run, CHUNKS)
+
+
+def _chunks(rows: DataFrame, groups: int, replies: list[DataFrame]) -> DataFrame:
+    """All rows of a chunk together: its own (round -2), its words by part (-1), then the replies of each round by part."""
+    none = lambda names: [F.lit(None).cast("binary").alias(n) for n in names]
+    no_ids = F.lit(None).cast("array<long>").alias("ids")
+    out = rows.where("part IS NULL").select("gid", F.lit(-2).alias("round"), F.lit(0).alias("part"), "ids", "size", "symbols", *none(["c", "kinds"]))
+    out = out.unionByName(rows.where("part IS NOT NULL").select("gid", F.lit(-1).alias("round"), "part", no_ids, *none(["size", "symbols"]), F.col("keys").alias("c"), *none(["kinds"])))
+    for k, r in enumerate(replies):
+        fields = [F.col("counts").alias("c"), *none(["kinds"])] if k == 0 else ["c", "kinds"]
+        out = out.unionByName(r.select("gid", F.lit(k).alias("round"), "part", no_ids, *none(["size", "symbols"]), *fields))
+    return out.repartition(groups, "gid").sortWithinPartitions("gid", "round", "part")
+
+
+def _each_chunk(batches: Iterator[pa.RecordBatch], rounds: int, totals: tuple[int, int, int], whole: list[dict[str, np.ndarray]]) -> Iterator[tuple[int, Chunk]]:
+    """Chunks with all replies of the rounds taken, the words first."""
+
+    def made(gid: int, own: tuple, got: dict[int, list]) -> tuple[int, Chunk]:
+        ids, size, numbers = own
+        u = _join([unpack_keys(c) for c, _ in got[-1]], _U)
+        x = Chunk(ids, _unzip(size, np.uint32), u, _unplanes(numbers, np.uint32), totals[2])
+        x.take_words(_join([_unzip(c, np.int64) for c, _ in got[0]], np.int64), totals[0], totals[1])
+        for k in range(1, rounds):
+            x.pairs(k)
+            x.take(*(_join([_unzip(r[j], t) for r in got[k]], t) for j, t in enumerate((np.int64, np.uint32))), whole[k - 1])
+        return gid, x
+
+    gid, own, got = None, None, {}
+    for b in batches:
+        for g, k, _, *own_, c, kinds in zip(*[b.column(i).to_pylist() for i in range(8)], strict=True):
+            if k == -2:
+                if own:
+                    yield made(gid, own, got)
+                gid, own, got = g, tuple(own_), {k: [] for k in range(-1, rounds)}
+            else:
+                got[k].append((c, kinds))
+    if own:
+        yield made(gid, own, got)
+
+
+def _word_replies(rows: DataFrame, groups: int) -> DataFrame:
+    """Corpus counts of each chunk's words, in their order; v: distinct training words, on one row a task's table."""
+    rows = rows.where("part IS NOT NULL").select("part", "gid", "keys", "counts", "n")
+    rows = rows.repartition(groups, "part").sortWithinPartitions("part")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 1):
+            part, gid, keys, counts, n = (t.column(i).to_pylist() for i in range(5))
+            keys = [unpack_keys(k) for k in keys]
+            c, back = meet_words(keys, [_unzip(x, np.uint32) for x in counts])
+            v = [int((c > 0).sum())] + [0] * (len(part) - 1)
+            yield _batch([*zip(part, gid, map(_zip, back), n, v, strict=True)], WORDS)
 
-WORD_ROW = "part int, gid long, data binary, counts binary, v long"
+    return rows.mapInArrow(run, WORDS)
 
 
-def _meet_words(rows: DataFrame) -> DataFrame:
-    """Per key range: each chunk's words with their counts in the corpus; v: distinct training words."""
-    rows = rows.select("part", "gid", "data", "counts").repartition("part").sortWithinPartitions("part", "gid")
+def _pair_rows(chunks: DataFrame, k: int, totals: tuple[int, int, int], whole: list, parts: int) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, 1):
-            part, gid, data, counts = (t.column(i).to_pylist() for i in range(4))
-            s = 0
-            while s < len(part):
-                e = s
-                while e < len(part) and part[e] == part[s]:
-                    e += 1
-                keys = [unpack_keys(x) for x in data[s:e]]
-                u, c = _sum_by(np.concatenate(keys), np.concatenate([_unzip(x) for x in counts[s:e]]))
-                back = [_zip(c[np.searchsorted(u, k)]) for k in keys]
-                cols = [pa.array(part[s:e], pa.int32()), pa.array(gid[s:e]), pa.array(data[s:e], pa.binary()), pa.array(back, pa.binary()), pa.array([int((c > 0).sum())] * (e - s), pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in WORD_ROW.split(", ")])
-                s = e
-
-    return rows.mapInArrow(run, WORD_ROW)
-
-
-def contexts_of(g: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """At one depth: grams, their counts, contexts, the context number of each gram, context totals and kinds."""
-    u, c = _sum_by(g & _U((1 << 8 * (depth + 1)) - 1), n)
-    ctx, of = np.unique(u >> _U(8), return_inverse=True)
-    return u, c, ctx, of, np.bincount(of, c, len(ctx)), np.bincount(of, minlength=len(ctx))
-
-
-def grow(g: np.ndarray, n: np.ndarray, first: np.ndarray, total: int, triples: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(depth, grams, counts) of the retained contexts of two bytes and more, from grams with counts of at
-    least 1. ``triples`` gives the three-byte counts where g is but a part that a context and its suffixes
-    down to three bytes share. Neither ``first`` nor ``total`` changes what is retained."""
-    tables = {2: contexts_of(*(triples or (g, n)), 2)}
-    keep = {2: np.ones(len(tables[2][2]), bool)}
-    for k in range(3, DEPTH + 1):
-        u, c, ctx, of, total_k, kinds = tables[k] = contexts_of(g, n, k)
-        pu, pc, _, pof, pt, _ = tables[k - 1]
-        at = np.searchsorted(pu, u & _U((1 << 8 * k) - 1))
-        gain = np.bincount(of, c * (np.log(c / total_k[of]) - np.log(pc[at] / pt[pof[at]])), len(ctx))
-        keep[k] = (total_k >= LEAST) & (gain >= COST * kinds)
-    out = []
-    for k in range(DEPTH, 1, -1):
-        u, c, ctx, of, *_ = tables[k]
-        if k > 3:  # the suffix of a retained context is retained
-            keep[k - 1] |= np.isin(tables[k - 1][2], ctx[keep[k]] & _U((1 << 8 * (k - 1)) - 1))
-        i = keep[k][of]
-        out.append((k, u[i], c[i]))
-    return out
-
-
-class Lookup:
-    """Row numbers of 64-bit keys by open addressing, all queries at once; no key is EMPTY, as UTF-8 has no byte 255."""
-
-    EMPTY = _U(2**64 - 1)
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2.5).bit_length())
-        self.keys = np.full(1 << self.bits, self.EMPTY)
-        self.rows = np.zeros(1 << self.bits, np.int32)
-        slot, rest, self.probes = self._slot(keys), np.arange(len(keys)), 0
-        while len(rest):
-            at = slot[rest] + self.probes & len(self.keys) - 1
-            free = self.keys[at] == self.EMPTY
-            _, first = np.unique(at[free], return_index=True)
-            won = np.flatnonzero(free)[first]
-            self.keys[at[won]] = keys[rest[won]]
-            self.rows[at[won]] = rest[won]
-            rest = np.delete(rest, won)
-            self.probes += 1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * _U(0x9E3779B97F4A7C15) >> _U(64 - self.bits)).astype(np.int64)
-
-    def find(self, q: np.ndarray) -> np.ndarray:
-        """Row of each query, -1 where there is none."""
-        at = self._slot(q)
-        found = self.keys[at]
-        hit = found == q
-        out = np.where(hit, self.rows[at], -1)
-        rest = np.flatnonzero(~hit & (found != self.EMPTY))
-        for p in range(1, self.probes):
-            if not len(rest):
-                break
-            at_p = at[rest] + p & len(self.keys) - 1
-            found = self.keys[at_p]
-            hit = found == q[rest]
-            out[rest[hit]] = self.rows[at_p[hit]]
-            rest = rest[~hit & (found != self.EMPTY)]
-        return out
-
-
-class Tree:
-    """The pruned tree as sorted arrays by depth: grams with smoothed log10 probabilities, and contexts
-    with the log10 of the mass that they leave to their suffix."""
-
-    def __init__(self, first: np.ndarray, deeper: dict[int, tuple[np.ndarray, np.ndarray]]):
-        root = first.sum(axis=0)
-        kinds, total = int((root > 0).sum()), int(root.sum())
-        p = (root + max(kinds, 1) / 256) / (total + max(kinds, 1))
-        self.root = np.log10(p)
-        a, x = np.nonzero(first)
-        levels = {1: (a.astype(_U) << _U(8) | x.astype(_U), first[a, x])}
-        self.levels = []
-        lower = None
-        for k, (u, c) in sorted((levels | deeper).items()):
-            if not len(u):
-                continue
-            ctx, of = np.unique(u >> _U(8), return_inverse=True)
-            t, d = np.bincount(of, c, len(ctx)), np.bincount(of, minlength=len(ctx))
-            under = u & _U((1 << 8 * k) - 1)
-            q = p[under.astype(np.int64)] if k == 1 else lower[1][np.searchsorted(lower[0], under)]
-            prob = (c + d[of] * q) / (t + d)[of]
-            lower = (u, prob)
-            self.levels.append((k, u, np.log10(prob), ctx, np.log10(d / (t + d))))
-
-    def _lookups(self) -> list[tuple[Lookup, Lookup]]:
-        """Built at the first score."""
-        if not hasattr(self, "_built"):
-            self._built = [(Lookup(u), Lookup(ctx)) for _, u, _, ctx, _ in self.levels]
-        return self._built
-
-    def score(self, g: np.ndarray) -> np.ndarray:
-        """log10 probability of the newest byte of each gram, from the longest suffix state."""
-        out = np.zeros(len(g))
-        rest = np.arange(len(g))
-        for (k, _, lp, _, left), (grams_, contexts) in reversed([*zip(self.levels, self._lookups(), strict=True)]):
-            q = g[rest] & _U((1 << 8 * (k + 1)) - 1)
-            i = grams_.find(q)
-            hit = i >= 0
-            out[rest[hit]] += lp[i[hit]]
-            rest, q = rest[~hit], q[~hit] >> _U(8)
-            i = contexts.find(q)
-            known = i >= 0
-            out[rest[known]] += left[i[known]]
-        out[rest] += self.root[(g[rest] & _U(0xFF)).astype(np.int64)]
-        return out
-
-
-GRAM_ROW = "gid long, part int, data binary, counts binary"
-
-
-def _score_grams(rows: DataFrame, triples: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per part of the tree: each chunk's grams with the log10 probability (counts: as float32) of their newest byte."""
-    shared = rows.sparkSession.sparkContext.broadcast(triples)
-    rows = rows.select("part", "gid", "data", "counts").repartition("part").sortWithinPartitions("part", "gid")
+        for gid, x in _each_chunk(batches, k, totals, shared.value):
+            f, rows = x.pairs(k), []
+            after = np.concatenate([[0], np.cumsum(f["kinds"])])
+            for p, s, e in _ranges(f["ctx"], parts):
+                a, z = int(after[s]), int(after[e])
+                i, j = np.searchsorted(f["places"], [s, e])
+                rows.append((p, gid, *pack_pairs({"ctx": f["ctx"][s:e], "kinds": f["kinds"][s:e], **{c: f[c][a:z] for c in ("next", "n", "q")}, "places": f["places"][i:j] - np.uint32(s), "names": f["names"][i:j]})))
+                if len(rows) == 256:
+                    yield _batch(rows, PAIRS)
+                    rows = []
+            if rows:
+                yield _batch(rows, PAIRS)
+
+    return chunks.mapInArrow(run, PAIRS)
+
+
+def _pair_replies(rows: DataFrame, groups: int) -> DataFrame:
+    rows = rows.repartition(groups, "part").sortWithinPartitions("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u3, c3 = shared.value
-        first = np.bincount((u3 & _U(0xFFFF)).astype(np.int64), c3, 65536).astype(np.int64).reshape(256, 256)
-        total = int(first.sum())
         for t in whole_groups(batches, 1):
-            cuts = group_cuts(t, 1)
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                part, gid, data, counts = (t.column(i).slice(s, e - s).to_pylist() for i in range(4))
-                keys = [unpack_keys(x) for x in data]
-                g, n = _merge([*zip(keys, map(_unzip, counts), strict=True)])
-                own = np.isin(u3 >> _U(8), np.unique(g >> _U(8) & _U(0xFFFF)))
-                low = (u3[own], c3[own])
-                kept = grow(g[n > 0], n[n > 0], first, total, low)
-                lp = Tree(first, {k: (u, c.astype(np.int64)) for k, u, c in kept}).score(g).astype(np.float32)
-                for i, k in enumerate(keys):
-                    back = _zip(lp[np.searchsorted(g, k)])
-                    cols = [pa.array(gid[i : i + 1]), pa.array(part[i : i + 1], pa.int32()), pa.array(data[i : i + 1], pa.binary()), pa.array([back], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in GRAM_ROW.split(", ")])
-
-    return rows.mapInArrow(run, GRAM_ROW)
-
-
-def _totals(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int, int]:
-    """Counts of three bytes, training words and training texts, summed in the tasks first."""
+            part, gid, *cols = (t.column(i).to_pylist() for i in range(9))
+            back, hot = meet_pairs([unpack_pairs(*r) for r in zip(*cols, strict=True)])
+            whole = [np.concatenate([hot["name"].view(np.float64), hot["kinds"], hot["gain"]]).tobytes() if len(hot["name"]) else None] + [None] * (len(part) - 1)
+            yield _batch([(p, g, _zip(x["c"]), _zip(x["kinds"]), w) for p, g, x, w in zip(part, gid, back, whole, strict=True)], REPLIES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        triples, n, docs = _merge([]), 0, 0
-        for b in batches:
-            triples = _merge([triples, *[(unpack_keys(k), _unzip(c)) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]])
-            n, docs = n + sum(b.column(2).to_pylist()), docs + sum(b.column(3).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([pack_keys(triples[0])], pa.binary()), pa.array([_zip(triples[1])], pa.binary()), pa.array([n]), pa.array([docs])], ["data", "counts", "n", "docs"])
+    return rows.mapInArrow(run, REPLIES)
 
-    got = rows.select("data", "counts", "n", "docs").repartition(8).mapInArrow(run, "data binary, counts binary, n long, docs long").collect()
-    return _merge([(unpack_keys(bytes(r.data)), _unzip(bytes(r.counts))) for r in got]), sum(r.n for r in got), sum(r.docs for r in got)
 
+def _whole(replies: DataFrame) -> dict[str, np.ndarray]:
+    """Kinds and gains of the split contexts, of which there are at most MOST_HOT."""
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                name, kinds, gain = np.frombuffer(x, np.float64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(kinds), pa.array(gain)], ["name", "kinds", "gain"])
 
+    rows = replies.where("whole IS NOT NULL").select("whole").mapInArrow(run, "name long, kinds double, gain double")
+    got = rows.groupBy("name").agg(F.sum("kinds").alias("kinds"), F.sum("gain").alias("gain")).collect()
+    got = sorted((r.name & 2**64 - 1, r.kinds, r.gain) for r in got)
+    return {"name": np.array([x for x, *_ in got], _U), "kinds": np.array([x for _, x, _ in got], np.float64), "gain": np.array([x for *_, x in got], np.float64)}
 
-def score_texts(docs: DataFrame) -> DataFrame:
+
+@with_scratch
+def score_texts(docs: DataFrame, *, scratch: Scratch) -> DataFrame:
     """docs (doc_id, text; other columns ignored) -> the columns of SCORED, one row a row.
 
     Null text counts as empty: its only token is the end. A null id counts as the empty text in the
-    split. Repeated rows count each time. Without training texts all counts are 0 and the tree is
-    uniform. An empty table gives an empty result.
+    split. Repeated rows count each time. Very long texts are whole in one chunk. Without training texts
+    all counts are 0 and every symbol has probability 1. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark)
-    parts = 1 << max(6, min(16, (docs.count() // DOCS_A_PART).bit_length()))
-    rows = scratch.keep(_count_chunks(docs.select(F.col("doc_id").cast("long"), utf8().alias("raw")), parts))
-    triples, n_words, n_docs = _totals(rows.where(F.col("kind") == TOTALS))
-    words = scratch.keep(_meet_words(rows.where(F.col("kind") == WORDS)))
-    distinct = words.groupBy("part").agg(F.max("v").alias("v")).agg(F.sum("v")).first()[0] or 0
-    scored = _score_grams(rows.where(F.col("kind") == GRAMS), triples)
-    tokens, kinds = n_words + n_docs, distinct + (n_docs > 0)
-    scale = float(np.log10(tokens + kinds + 1))
-    texts = rows.where(F.col("kind") == TEXTS).select("gid", F.lit(2).alias("second"), "part", "doc_id", "held_out", "data", F.lit(None).cast("binary").alias("counts"))
-    tables = words.select("gid", F.lit(0).alias("second"), "part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "data", "counts")
-    states = scored.select("gid", F.lit(1).alias("second"), "part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "data", "counts")
-    groups = max(rows.where(F.col("kind") == TOTALS).count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = texts.unionByName(tables).unionByName(states).repartition(groups, "gid").sortWithinPartitions("gid", "second", "part")
-
-    def result(out: list[tuple], here: list[bytes], model: tuple[Lookup, np.ndarray]) -> pa.RecordBatch:
-        lp = model[1][model[0].find(grams(here))]
-        ends = np.cumsum([len(t) + 1 for t in here])
-        sums = np.diff(np.concatenate([[0.0], np.cumsum(lp, dtype=float)])[np.concatenate([[0], ends])])
-        cols = [*zip(*out, strict=True), sums]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split(" ")[0] for x in SCORED.split(", ")])
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(PARTS, 1 << (size // PART_BYTES).bit_length())
+    rows = scratch.keep(_symbols(docs.select(F.col("doc_id").cast("long"), utf8().alias("raw")), parts))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(least, rows.where("part IS NULL").count())
+    meets = max(least, min(parts, groups))
+    replies = [scratch.keep(_word_replies(rows, meets))]
+    tokens, kinds = replies[0].agg(F.sum("n"), F.sum("v")).first()
+    totals = (tokens or 0, kinds or 0, max(HOT, -(-(tokens or 0) // MOST_HOT)))
+    whole: list[dict[str, np.ndarray]] = []
+    for k in range(1, DEPTH + 1):
+        replies.append(scratch.keep(_pair_replies(_pair_rows(_chunks(rows, groups, replies), k, totals, whole, parts), meets)))
+        whole.append(_whole(replies[k]))
+    shared = spark.sparkContext.broadcast(whole)
+    rounds = DEPTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zstandard import ZstdDecompressor
+        for _, x in _each_chunk(batches, rounds, totals, shared.value):
+            score = x.scores(np.log10(x.p))
+            cols = [pa.array(x.ids, pa.int64()), x.out, x.size, x.known, np.full(len(x.ids), totals[0], np.int64), x.base, score, score / x.size]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _names(SCORED))
 
-        z, none = ZstdDecompressor(), (np.zeros(0, _U), np.zeros(0))
-        at, pending, model, keys, counts = None, ([], []), None, *none
-        for b in batches:
-            out, here = [], []
-            for gid, second, _, doc, held, data, c in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
-                if gid != at:
-                    if here:
-                        yield result(out, here, model)
-                        out, here = [], []
-                    at, pending, model, keys, counts = gid, ([], []), None, *none
-                if second < 2:
-                    pending[second].append((unpack_keys(data), _unzip(c, np.float32 if second else np.int64)))
-                    continue
-                if model is None:
-                    keys, counts = (np.concatenate(x) for x in zip(none, *pending[0], strict=True))
-                    states, lp = (np.concatenate(x) for x in zip(*pending[1], strict=True))
-                    model, pending = (Lookup(states), lp), ([], [])
-                t = z.decompress(data) if data else b""
-                words = t.split()
-                c = counts[np.searchsorted(keys, _words.of(words))] if words else np.zeros(0)
-                base = float(np.log10(c + 1).sum() + np.log10(n_docs + 1)) - (len(words) + 1) * scale
-                out.append((doc, held, len(words) + 1, int((c > 0).sum()) + (n_docs > 0), tokens, base))
-                here.append(t)
-            if here:
-                yield result(out, here, model)
-
-    return finish(both.mapInArrow(run, SCORED), scratch)
+    return _chunks(rows, groups, replies).mapInArrow(run, SCORED)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
