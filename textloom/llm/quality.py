@@ -6,24 +6,26 @@ and a mark on a word that equals the word one or two before it. A feature's valu
 the text's n-grams of that family, so long texts weigh no more than short ones. All are hashed into
 2**BITS weights.
 
-Training data: at most ``SAMPLE`` labelled rows, those with the lowest hash of doc_id among rows whose
-crc32(doc_id) mod 3 is not 1; they are read by one task that returns the weights (1 MB). Scoring sums
-weights over whole texts where the rows lie, without an exchange.
+Training data: at most ``SAMPLE`` labelled documents and ``SAMPLE_BYTES`` of text, those with the lowest
+hash of doc_id among rows whose crc32(doc_id) mod 3 is not 1, one row a doc_id; they are read by one task
+that returns the weights (1 MB). Scoring sums weights over whole texts where the rows lie, without an
+exchange.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import crc_of_id, mix64, prepare, utf8
 
 BITS = 18
-SAMPLE = 8_000
+SAMPLE, SAMPLE_BYTES = 8_000, 64_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 SCALE = 8.0
@@ -31,6 +33,7 @@ FAMILIES = 5
 
 #: Signs of the shapes: A capitals, a other letters and all bytes beyond ASCII, 0 digits.
 _SHAPE = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else 48 if 48 <= i <= 57 else i for i in range(256))
+_RUNS = re.compile(rb"([Aa0])\1+")
 _U = np.uint64
 _SALT = [_U((i + 1) * 0xD1B54A32D192ED03 & 2**64 - 1) for i in range(FAMILIES)]
 
@@ -45,12 +48,10 @@ class WordCodes(dict):
 
         if len(self) >= self.LIMIT:
             self.clear()
-        shape, last = bytearray(), -1
-        for c in word[:64].translate(_SHAPE):
-            if c != last or c not in b"Aa0":
-                shape.append(c)
-            last = c
-        value = self[word] = xxh3_64_intdigest(word.lower()) & ~0xFFFFF | xxh3_64_intdigest(bytes(shape[:12])) & 0xFFFFF
+        shape = _RUNS.sub(rb"\1", word.translate(_SHAPE))
+        value = xxh3_64_intdigest(word.lower()) & ~0xFFFFF | xxh3_64_intdigest(shape) & 0xFFFFF
+        if len(word) < 256:
+            self[word] = value
         return value
 
 
@@ -93,11 +94,10 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> tuple[np
                 i, c = np.unique(f, return_counts=True)
                 index.append(i)
                 value.append(c * (SCALE / len(f)))
-        rows.append((np.concatenate(index), np.concatenate(value)) if index else (np.zeros(0, np.int64), np.zeros(0)))
+        i, at = np.unique(np.concatenate([np.zeros(0, np.int64), *index]), return_inverse=True)  # families may meet in a weight
+        rows.append((i, np.bincount(at, np.concatenate([np.zeros(0), *value]), len(i))))
     for _ in range(epochs):
         for (i, x), y in zip(rows, labels, strict=True):
-            i, first = np.unique(i, return_index=True)
-            x = x[first]
             zi, ni = z[i], n[i]
             wi = np.where(np.abs(zi) > L1, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2), 0.0)
             bias = -zb / ((BETA + np.sqrt(nb)) / ALPHA)
@@ -113,16 +113,24 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> tuple[np
     return w.astype(np.float32), float(-zb / ((BETA + np.sqrt(nb)) / ALPHA))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """labels (doc_id, quality) joined to docs (doc_id, text). Null labels are left out, of several
-    labels of a doc_id the lowest counts, of several texts each is a row. Without rows: weights 0."""
-    spark = docs.sparkSession
-    prepare(spark)
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """h, doc_id, raw, y: the labelled texts to learn from, one row a doc_id, bounded in rows and bytes."""
     usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(crc_of_id() % 3 != 1)
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     chosen = chosen.orderBy("h", "doc_id").limit(sample)  # the documented bound, so it may be broadcast
-    rows = docs.select("doc_id", utf8().alias("raw")).join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "raw", F.col("quality").cast("int").alias("y"))
-    rows = rows.repartition(1).sortWithinPartitions("h", "doc_id", "raw")
+    texts = docs.select("doc_id", utf8().alias("raw")).withColumn("th", F.xxhash64("raw"))
+    sized = texts.join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "quality").agg(F.min(F.struct("th", F.octet_length("raw").alias("n"))).alias("x"))
+    upto = F.sum("x.n").over(Window.orderBy("h", "doc_id"))  # over ``sample`` rows at most
+    kept = sized.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("h", "doc_id", "x.th", F.col("quality").cast("int").alias("y"))
+    return texts.join(F.broadcast(kept), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("h", "doc_id", "raw", "y")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    """labels (doc_id, quality) joined to docs (doc_id, text). Null labels and ids are left out, of several
+    labels of a doc_id the lowest counts, of several texts the one with the lowest hash; null text counts as
+    empty. Without rows: weights 0."""
+    prepare(docs.sparkSession)
+    rows = sample_rows(docs, labels, sample, sample_bytes).repartition(1).sortWithinPartitions("h", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
