@@ -17,7 +17,8 @@ NEAR = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score at least 0.5)."""
+    """Documents that the classifier accepts (score at least 0.5); null and empty texts are scored as empty. An empty
+    table gives an empty result."""
     docs = docs.select(*DOCUMENTS)
     model = quality.train(docs, common.read(spark, sf_dir, "labels"))
     return quality.score(docs, model, DOCUMENTS).where("score >= 0.5").select(*DOCUMENTS)
@@ -39,16 +40,16 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it, three times at most; documents without words are not in it.
+    An empty table gives an empty result."""
     docs = docs.select(*DOCUMENTS)
-    taken = mixing.pareto_mix(docs).groupBy("doc_id", "size").agg(F.min("copies").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "_id")
-    rows = docs.withColumn("size", common.word_count()).withColumnRenamed("size", "_size")
-    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & (rows["_size"] == taken["size"]))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*DOCUMENTS)
+    taken = mixing.copies(docs, mixing.mix_plan(docs)).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens; null and empty texts are one token. An empty
+    table gives an empty result."""
     return packing.pack(packing.tokenize_pieces(docs))
 
 
@@ -66,8 +67,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over the whole of documents, each written as Parquet and read again."""
-    scratch = common.Scratch(spark)
-    docs = common.read(spark, sf_dir, "documents")
+    return _run(common.read(spark, sf_dir, "documents"), sf_dir)
+
+
+@common.with_scratch
+def _run(docs: DataFrame, sf_dir: str, *, scratch: common.Scratch) -> DataFrame:
+    spark = docs.sparkSession
     for _, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir))
-    return common.finish(STAGES[-1][1](spark, docs, sf_dir), scratch)
+    return STAGES[-1][1](spark, docs, sf_dir)
