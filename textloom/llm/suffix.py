@@ -1,21 +1,25 @@
 """Removal of byte strings of LENGTH that start in more than one place, by hash-compared suffix sort.
 
-Places are thinned first: of all GRAM-byte strings inside a LENGTH-byte window the one with the least
+Beside what is removed, passages that repeat are marked: runs of bytes covered by strings of SHORT bytes
+that start in more than one place, if they hold more than PASSAGE whole words.
+
+Places are thinned first: of all GRAM-byte strings inside a SHORT-byte window the one with the least
 hash is the window's anchor. The choice depends on the window's bytes alone, so equal windows have
-equal anchors at equal offsets, and the windows of one anchor occurrence are consecutive. Only anchor
-occurrences (about two in LENGTH - GRAM + 1 bytes) are exchanged.
+equal anchors at equal offsets, and the windows of one anchor occurrence are consecutive. A window of
+LENGTH bytes has the anchor of the SHORT bytes it begins with. Only anchor occurrences (about two in
+SHORT - GRAM + 1 bytes) are exchanged.
 
 * An anchor string that occurs once has no repeated window.
-* Occurrences whose whole regions (all bytes of all their windows) are equal, by two independent
-  64-bit polynomial hashes, are repeated throughout.
+* Occurrences whose whole regions (all bytes of all their windows) have equal 128-bit BLAKE2b digests are
+  repeated throughout.
 * For the rest the regions are fetched. Among occurrences of one anchor string the suffixes that
   begin at the anchor are sorted by mergesort; a comparison finds the common extension by binary
   search over prefix polynomial hashes, so it costs the logarithm of the length. Extensions of
   neighbours in the order are verified byte by byte (a group in which a hash misled is sorted by its
-  bytes). A window that begins d bytes before the anchor is repeated if the next LENGTH - d bytes lie
-  in one run of the sorted order and the d bytes before it have equal hashes.
+  bytes). A window that begins d bytes before the anchor is repeated if the rest of it, after the anchor's
+  first byte, lies in one run of the sorted order and the d bytes before are equal, byte by byte.
 * Anchor strings with more than GROUP distinct regions are never brought into one task: their windows
-  are dealt out by hash to groups of bounded size and counted there, which gives the same answer.
+  are dealt out by digest to groups of bounded size and counted there, which gives the same answer.
 
 Texts travel compressed, once for the regions and once for the removal.
 """
@@ -23,6 +27,7 @@ Texts travel compressed, once for the regions and once for the removal.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,50 +35,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import finish, group_cuts, mix64, prepare, Scratch, utf8, whole_groups
+from textloom.llm.common import group_cuts, mix64, Scratch, utf8, whole_groups, with_scratch
 
-LENGTH, GRAM, GROUP = 400, 100, 512
+LENGTH, SHORT, GRAM, GROUP = 400, 256, 64, 512
+#: Words that a repeated passage must exceed.
+PASSAGE = 50
 
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_rng = np.random.default_rng(20240602)
-_TABLES = [_rng.integers(0, 2**64, 256, dtype=_U) for _ in _BASES]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = 0x9E3779B97F4A7C15
+_TABLE = np.random.default_rng(20240602).integers(0, 2**64, 256, dtype=_U)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the base and of its inverse, modulo 2**64."""
-    if base not in _powers or len(_powers[base][0]) < n:
+    if not _powers or len(_powers[0][0]) < n:
         size = 1 << max(16, int(n).bit_length())
         both = []
-        for b in (base, pow(base, -1, 2**64)):
+        for b in (_BASE, pow(_BASE, -1, 2**64)):
             x = np.ones(size, _U)
             done = 1
             while done < size:
                 x[done : 2 * done] = x[:done] * _U(pow(b, done, 2**64))
                 done *= 2
             both.append(x)
-        _powers[base] = (both[0], both[1])
-    return _powers[base]
+        _powers[:] = [(both[0], both[1])]
+    return _powers[0]
 
 
-def prefix_hashes(b: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """H with H[i] over b[:i], and the inverse powers: b[s:e] has hash (H[e] - H[s]) * inverse[s]."""
-    up, down = powers(_BASES[which], len(b) + 1)
+    up, down = powers(len(b) + 1)
     h = np.zeros(len(b) + 1, _U)
-    np.cumsum(_TABLES[which][b] * up[: len(b)], out=h[1:])
+    np.cumsum(_TABLE[b] * up[: len(b)], out=h[1:])
     return h, down
 
 
+def digests(strings: list[bytes], salts: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed halves of the BLAKE2b digests."""
+    one = lambda x, p: hashlib.blake2b(x, digest_size=16, person=p).digest()
+    x = np.frombuffer(b"".join(map(one, strings, salts or [b""] * len(strings))), np.int64).reshape(-1, 2)
+    return x[:, 0], x[:, 1]
+
+
 def anchors(raw: bytes) -> list[np.ndarray] | None:
-    """Place, string hash, first and last window start and the two region hashes of each anchor."""
+    """Place, string hash, first and last start of SHORT windows, last start of LENGTH windows, and the
+    two halves of the region's digest, of each anchor."""
     b = np.frombuffer(raw, np.uint8)
-    if len(b) < LENGTH:
+    if len(b) < SHORT:
         return None
-    h, down = prefix_hashes(b, 0)
+    h, down = prefix_hashes(b)
     grams = len(b) - GRAM + 1
     g = mix64((h[GRAM:] - h[:-GRAM]) * down[:grams])
-    width = LENGTH - GRAM + 1
+    width = SHORT - GRAM + 1
     windows = grams - width + 1
     x = np.full(-(-grams // width) * width, _U(2**64 - 1))
     x[:grams] = (g & _U(0xFFFFFFFF00000000)) | np.arange(grams, dtype=_U)  # least hash, leftmost first
@@ -84,11 +98,9 @@ def anchors(raw: bytes) -> list[np.ndarray] | None:
     lo = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     hi = np.concatenate([lo[1:], [windows]]) - 1
     a = at[lo]
-    shape = (hi - lo).astype(_U) << _U(32) | (a - lo).astype(_U)
-    h2, down2 = prefix_hashes(b, 1)
-    r1 = mix64((h[hi + LENGTH] - h[lo]) * down[lo] + shape)
-    r2 = mix64((h2[hi + LENGTH] - h2[lo]) * down2[lo] ^ shape)
-    return [a, g[a].view(np.int64), lo, hi, r1.view(np.int64), r2.view(np.int64)]
+    shape = (np.stack([hi - lo, a - lo], 1).astype("<i4")).tobytes()
+    r1, r2 = digests([raw[s : e + LENGTH] for s, e in zip(lo.tolist(), hi.tolist(), strict=True)], [shape[i : i + 8] for i in range(0, len(shape), 8)])
+    return [a, g[a].view(np.int64), lo, hi, np.minimum(hi, len(b) - LENGTH), r1, r2]
 
 
 class Suffixes:
@@ -96,7 +108,7 @@ class Suffixes:
 
     def __init__(self, raw: bytes, start: np.ndarray, length: np.ndarray):
         self.raw, self.b, self.start, self.length = raw, np.frombuffer(raw, np.uint8), start, length
-        self.h, self.down = prefix_hashes(self.b, 0)
+        self.h, self.down = prefix_hashes(self.b)
 
     def between(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return (self.h[e] - self.h[s]) * self.down[s]
@@ -163,30 +175,36 @@ class Suffixes:
         return self.raw[sx : sx + n] == self.raw[sy : sy + n] and (n == most or self.raw[sx + n] < self.raw[sy + n])
 
 
-def repeated_windows(regions: list[bytes], group: np.ndarray, before: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def repeated_windows(regions: list[bytes], group: np.ndarray, before: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """regions[i] of anchor string group[i] (sorted) has its anchor at before[i] and windows that begin
-    lo..hi bytes before it. [i, d]: whether the window d bytes before the anchor has total weight 2."""
+    lo..hi bytes before it. For LENGTH and for SHORT, [i, d]: whether the window d bytes before the anchor
+    is whole and has total weight 2."""
     raw = b"".join(regions)
     size = np.array([len(r) for r in regions])
     at = np.cumsum(size) - size + before
     s = Suffixes(raw, at, size - before)
     first = np.searchsorted(group, group, "left")
     order, shared = s.sort(first)
-    out = np.zeros((len(regions), LENGTH - GRAM + 1), bool)
-    lo_, hi_, at_, weight_ = lo[order], hi[order], at[order], weight[order]
-    for d in range(int(lo.min()), int(hi.max()) + 1):
-        run = np.cumsum(shared < LENGTH - d)
-        i = np.flatnonzero((lo_ <= d) & (d <= hi_))
-        if len(i):
-            key = mix64(s.between(at_[i] - d, at_[i]) + run[i].astype(_U) * _U(_BASES[1]))
-            _, inverse = np.unique(key, return_inverse=True)
-            out[order[i], d] = np.bincount(inverse, weight_[i])[inverse] >= 2
-    return out
-
-
-_ANCHORS = "doc_id long, th long, a int, key long, lo int, hi int, r1 long, r2 long, n int, more binary"
+    most = int(hi.max()) + 1
+    out = [np.zeros((len(regions), most), bool) for _ in range(2)]
+    lo_, hi_, at_, weight_, length_ = lo[order], hi[order], at[order], weight[order], s.length[order]
+    same = np.zeros(len(regions), np.int64)  # rows with equal numbers have the same d bytes before the anchor
+    for d in range(most):
+        if d:
+            byte = np.where(at_ - d >= at_ - before[order], s.b[np.maximum(at_ - d, 0)], 256).astype(np.int64)
+            _, same = np.unique(same * 257 + byte, return_inverse=True)
+        for k, length in enumerate((LENGTH, SHORT)):
+            i = np.flatnonzero((lo_ <= d) & (d <= hi_) & (length_ >= length - d))
+            if len(i):
+                run = np.cumsum(shared < length - d)[i]
+                _, inverse = np.unique(same[i] * (len(regions) + 1) + run, return_inverse=True)
+                out[k][order[i], d] = np.bincount(inverse, weight_[i])[inverse] >= 2
+    return out[0], out[1]
+
+
+_ANCHORS = "doc_id long, th long, a int, key long, lo int, hi int, top int, r1 long, r2 long, n int, more binary"
 _REGIONS = "key long, doc_id long, th long, a int, lo int, hi int, n int, m long, region binary"
-_SPANS = "doc_id long, th long, lo int, hi int"
+_SPANS = "doc_id long, th long, short boolean, lo int, hi int"
 
 
 def _names(schema: str) -> list[str]:
@@ -210,15 +228,24 @@ def _plain(z: bytes) -> bytes:
     return ZstdDecompressor().decompress(z) if z else b""
 
 
+def _repeats(x: np.ndarray) -> bool:
+    return len(np.unique(x)) < len(x)
+
+
+def _all(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    n = np.arange(len(x))
+    return x, n, n, np.ones(len(x), np.int64)
+
+
 def _once(x: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes | None]]:
     """Anchors of a text with each region once: its first place, how often it occurs, and the packed
     windows (first and last starts) of its other places. Periodic texts repeat one region very often."""
-    _, first, of, n = np.unique(x[4], return_index=True, return_inverse=True, return_counts=True)
+    _, first, of, n = np.unique(np.stack([x[5], x[6]], 1), axis=0, return_index=True, return_inverse=True, return_counts=True) if _repeats(x[5]) else _all(x[5])
     more: list[bytes | None] = [None] * len(first)
     for k in np.flatnonzero(n > 1).tolist():
         i = np.flatnonzero(of == k)
         i = i[i != first[k]]
-        more[k] = np.stack([x[2][i], x[3][i]], 1).astype("<i4").tobytes()
+        more[k] = np.stack([x[2][i], x[3][i], x[4][i]], 1).astype("<i4").tobytes()
     return [*(c[first] for c in x), n], more
 
 
@@ -228,8 +255,8 @@ def _find_anchors(docs: DataFrame) -> DataFrame:
             found = [(i, *_once(x)) for i, raw in enumerate(b.column(2).to_pylist()) if (x := anchors(raw))]
             if found:
                 rows = pa.array(np.concatenate([np.full(len(x[0]), i) for i, x, _ in found]))
-                cols = [np.concatenate([x[k] for _, x, _ in found]) for k in range(7)]
-                types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+                cols = [np.concatenate([x[k] for _, x, _ in found]) for k in range(8)]
+                types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
                 arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
                 more = pa.array([m for *_, x in found for m in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *arrays, more], _names(_ANCHORS))
@@ -265,21 +292,23 @@ def _sorted_spans(regions: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 1):
             key, a, lo, hi, n = (t.column(i).to_numpy().astype(np.int64) for i in (0, 3, 4, 5, 6))
-            found = repeated_windows(t.column(8).to_pylist(), key, a - lo, a - hi, a - lo, np.minimum(n, 2))
-            found[n > 1] = False  # those are known already
-            edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            i, d = np.nonzero(edge == 1)
-            _, e = np.nonzero(edge == -1)
-            yield pa.RecordBatch.from_arrays([pa.array(t.column(1).combine_chunks().take(pa.array(i))), t.column(2).combine_chunks().take(pa.array(i)), pa.array((a[i] - e + 1), pa.int32()), pa.array((a[i] - d), pa.int32())], _names(_SPANS))
+            for short, found in enumerate(repeated_windows(t.column(8).to_pylist(), key, a - lo, a - hi, a - lo, np.minimum(n, 2))):
+                found[n > 1] = False  # those are known already
+                edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+                i, d = np.nonzero(edge == 1)
+                _, e = np.nonzero(edge == -1)
+                ids = [t.column(k).combine_chunks().take(pa.array(i)) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.full(len(i), bool(short))), pa.array((a[i] - e + 1), pa.int32()), pa.array((a[i] - d), pa.int32())], _names(_SPANS))
 
     return rows.mapInArrow(run, _SPANS)
 
 
-def _counted_windows(regions: DataFrame) -> DataFrame:
-    """The same for anchor strings with more than GROUP regions: doc_id, th, windows (packed starts).
+def _counted_windows(regions: DataFrame, group: int) -> DataFrame:
+    """The same for anchor strings with more than ``group`` regions: doc_id, th, short, windows (packed starts).
 
-    Each region deals its windows, as two hashes, out to m / GROUP groups by the first hash, one row a
-    group; equal windows meet in one group, and a group holds as much as GROUP whole regions would.
+    Each region deals its windows, as the halves of their digests, out to m / group groups by the first
+    half, one row a group; equal windows meet in one group, and a group holds as much as ``group`` whole
+    regions would.
     """
     schema = "key long, part int, doc_id long, th long, n int, starts binary, w1 binary, w2 binary"
 
@@ -287,16 +316,15 @@ def _counted_windows(regions: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for key, doc, th, _, lo, hi, n, m, region in zip(*[b.column(i).to_pylist() for i in range(9)], strict=True):
-                x = np.frombuffer(region, np.uint8)
-                s = np.arange(hi - lo + 1)
-                w = []
-                for k in range(2):
-                    h, down = prefix_hashes(x, k)
-                    w.append(mix64((h[s + LENGTH] - h[s]) * down[s]))
-                part = (w[0] % _U(-(-m // GROUP))).astype(np.int64)
-                for p in np.unique(part).tolist():
-                    i = part == p
-                    out.append((key, p, doc, th, min(n, 2), (s[i] + lo).astype("<i4").tobytes(), w[0][i].tobytes(), w[1][i].tobytes()))
+                for short, length in enumerate((LENGTH, SHORT)):
+                    s = np.arange(min(hi - lo, len(region) - length) + 1)
+                    if not len(s):
+                        continue
+                    w = digests([region[i : i + length] for i in s.tolist()])
+                    part = (w[0].view(_U) % _U(-(-m // group))).astype(np.int64)
+                    for p in np.unique(part).tolist():
+                        i = part == p
+                        out.append((key, 2 * p + short, doc, th, min(n, 2), (s[i] + lo).astype("<i4").tobytes(), w[0][i].tobytes(), w[1][i].tobytes()))
             if out:
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _names(schema))
@@ -308,8 +336,8 @@ def _counted_windows(regions: DataFrame) -> DataFrame:
             keep, windows = [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 size = np.array([len(x) // 4 for x in starts[s:e]])
-                w = mix64(np.frombuffer(b"".join(w1[s:e]), _U) + mix64(np.frombuffer(b"".join(w2[s:e]), _U)))
-                _, inverse = np.unique(w, return_inverse=True)
+                w = np.stack([np.frombuffer(b"".join(x[s:e]), np.int64) for x in (w1, w2)], 1)
+                _, inverse = np.unique(w, axis=0, return_inverse=True)
                 twice = np.bincount(inverse, np.repeat(n[s:e], size))[inverse] >= 2
                 for i, at in zip(range(s, e), np.cumsum(size) - size, strict=True):
                     mine = np.frombuffer(starts[i], "<i4")[twice[at : at + len(starts[i]) // 4]]
@@ -317,23 +345,52 @@ def _counted_windows(regions: DataFrame) -> DataFrame:
                         keep.append(i)
                         windows.append(mine.tobytes())
             rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([t.column(2).combine_chunks().take(rows), t.column(3).combine_chunks().take(rows), pa.array(windows, pa.binary())], ["doc_id", "th", "windows"])
+            doc, th = (t.column(i).combine_chunks().take(rows) for i in (2, 3))
+            short = pa.array(t.column(1).to_numpy()[keep] % 2 == 1) if keep else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([doc, th, short, pa.array(windows, pa.binary())], ["doc_id", "th", "short", "windows"])
 
     dealt = regions.mapInArrow(deal, schema).repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(count, "doc_id long, th long, windows binary")
+    return dealt.mapInArrow(count, "doc_id long, th long, short boolean, windows binary")
+
+
+def covered(n: int, length: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of n bytes, those in a window of ``length`` that starts in one of the ranges lo..hi."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, lo, 1)
+    np.subtract.at(edges, hi + length, 1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def runs_of(marks: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+_PART = re.compile(rb"[^\x20\x09-\x0D]*")
+
+
+def whole_words(raw: bytes, s: int, e: int) -> int:
+    """Words of the text that lie inside s..e."""
+    blank = b" \t\n\x0b\x0c\r"
+    if s and raw[s - 1 : s] not in blank:
+        s = min(e, _PART.match(raw, s).end())
+    words = raw[s:e].split()
+    return len(words) - (len(words) > 0 and e < len(raw) and raw[e - 1 : e] not in blank and raw[e : e + 1] not in blank)
+
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """docs (doc_id, text; other columns ignored) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256
-    (and ``kept``, the remaining bytes, if asked).
+@with_scratch
+def remove_repeats(docs: DataFrame, with_text: bool = False, group: int = GROUP, *, scratch: Scratch) -> DataFrame:
+    """docs (doc_id, text; other columns ignored) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages
+    and passage_words (repeated passages of more than PASSAGE words, and their words), and ``kept``, the
+    remaining bytes, if asked.
 
-    Null text counts as empty; texts under LENGTH bytes hold no window and stay whole. Every row is a
+    Null text counts as empty; texts under SHORT bytes hold no window and stay whole. Every row is a
     document of its own: repeated rows repeat each other's strings and lose them. Null ids are kept
     apart by their texts. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), utf8().alias("raw"))
     found = scratch.keep(_find_anchors(docs))
     twice = found.groupBy("key").agg(F.sum("n").alias("t")).where("t > 1").select("key")
@@ -342,38 +399,51 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     regions = scratch.keep(found.groupBy("key", "r1", "r2").agg(F.sum("n").alias("n"), first))
     open_ = regions.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("least = 1 AND m > 1").select("key", "m")
     wanted = regions.join(open_, "key").select("x.*", "key", F.least("n", F.lit(2)).cast("int").alias("n"), "m")
-    spans = found.join(regions.where("n > 1").select("key", "r1", "r2"), ["key", "r1", "r2"], "left_semi").select("doc_id", "th", "lo", "hi", "more")
+    equal = found.join(regions.where("n > 1").select("key", "r1", "r2"), ["key", "r1", "r2"], "left_semi").select("doc_id", "th", "lo", "hi", "top", "more")
     fetched = scratch.keep(_fetch_regions(docs, wanted))
-    spans = spans.unionByName(_sorted_spans(fetched.where(F.col("m") <= GROUP)), allowMissingColumns=True)
-    single = _counted_windows(fetched.where(F.col("m") > GROUP))
-    spans = spans.withColumn("windows", F.lit(None).cast("binary")).unionByName(single, allowMissingColumns=True)
-    lists = spans.groupBy("doc_id", "th").agg(*[F.collect_list(c).alias(c) for c in ("lo", "hi", "more", "windows")])
-    rows = _with_text(docs, lists, "left").select("doc_id", "z", "lo", "hi", "more", "windows")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    spans = equal.unionByName(_sorted_spans(fetched.where(F.col("m") <= group)), allowMissingColumns=True)
+    spans = spans.unionByName(_counted_windows(fetched.where(F.col("m") > group), group), allowMissingColumns=True)
+    fields = ("lo", "hi", "top", "more", "short", "windows")
+    lists = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*fields)).alias("x"))
+    rows = _with_text(docs, lists, "left").select("doc_id", "z", *[F.col(f"x.{c}").alias(c) for c in fields])
+
+    def windows_of(short: bool, lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """First and last starts of the repeated windows of one length. Rows of equal regions name no length."""
+        ranges = []
+        for lo, hi, top, more, which, starts in zip(*lists, strict=True):
+            if starts is not None:
+                if which == short:
+                    one = np.frombuffer(starts, "<i4")
+                    ranges.append(np.stack([one, one], 1))
+            elif which is not None:
+                if which == short:
+                    ranges.append(np.array([[lo, hi]]))
+            else:
+                every = np.concatenate([[[lo, hi, top]], np.frombuffer(more or b"", "<i4").reshape(-1, 3)])
+                ranges.append(every[:, [0, 1]] if short else every[every[:, 2] >= every[:, 0]][:, [0, 2]])
+        both = np.concatenate([np.zeros((0, 2), np.int64), *ranges]).astype(np.int64)
+        return both[:, 0], both[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for z, lo, hi, more, windows in zip(*[b.column(i).to_pylist() for i in range(1, 6)], strict=True):
+            for z, *lists in zip(*[b.column(i).to_pylist() for i in range(1, 8)], strict=True):
                 raw = _plain(z)
-                kept, n, runs = raw, 0, 0
-                if lo or windows:
-                    one = np.frombuffer(b"".join(windows), "<i4").astype(np.int64)
-                    also = np.frombuffer(b"".join(more), "<i4").astype(np.int64).reshape(-1, 2)
-                    edges = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(edges, np.concatenate([np.array(lo, np.int64), also[:, 0], one]), 1)
-                    np.subtract.at(edges, np.concatenate([np.array(hi, np.int64), also[:, 1], one]) + LENGTH, 1)
-                    gone = np.cumsum(edges[:-1]) > 0
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    n = int(gone.sum())
-                    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((len(raw), n, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            cols = [*zip(*out, strict=True)] or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], _names(schema))
-
-    out = rows.mapInArrow(run, schema)
-    return finish(out if with_text else out.drop("kept"), scratch)
+                kept, n, runs, passages = raw, 0, 0, []
+                if lists[0]:
+                    gone = covered(len(raw), LENGTH, *windows_of(False, lists))
+                    if gone.any():
+                        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                        n, runs = int(gone.sum()), len(runs_of(gone))
+                    seen = covered(len(raw), SHORT, *windows_of(True, lists))
+                    passages = [w for s, e in runs_of(seen) if (w := whole_words(raw, s, e)) > PASSAGE]
+                out.append((len(raw), n, runs, hashlib.sha256(kept).hexdigest(), len(passages), sum(passages), kept if with_text else None))
+            cols = [*zip(*out, strict=True)] or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], _names(_RESULT))
+
+    out = rows.mapInArrow(run, _RESULT)
+    return out if with_text else out.drop("kept")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
