@@ -90,10 +90,6 @@ def test_search(spark):
     assert search.search(df, "Krishna", [F.col("id")], limit=0).count() == 1  # clamped
     names = spark.createDataFrame([("person", "k", "Kṛṣṇa"), ("person", "k", "Kṛṣṇa"), ("place", "v", "Vraja")], "kind string, slug string, matched string")
     assert rows(search.search_entities(names, "krsna")) == [("person", "k", "Kṛṣṇa")]
-    hits = spark.createDataFrame([("1.1.2", "body")], "ref string, body string")
-    got = search.ask("why?", hits, lambda prompt: "Because [SB 1.1.2] [SB 3.3.3]")
-    assert got == {"answer": "Because [SB 1.1.2]", "grounded": True, "citations": [{"ref": "1.1.2", "quote": "body"}]}
-    assert not search.ask("why?", hits.limit(0), lambda p: "x")["grounded"]
 
 
 def test_history(spark):

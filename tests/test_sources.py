@@ -146,3 +146,66 @@ def test_membership_filters(spark):
 def test_json_containment(spark, props, want):
     x = spark.createDataFrame([(props,)], "p string")
     assert x.select(T.json_contains("p", {"a": 1, "b": "x"}).alias("c")).first().c is want
+
+
+def test_asking(spark, sf):
+    import re
+
+    from textloom.plans import reader
+
+    lib = reader.library(lambda name: spark.read.parquet(f"{sf}/{name}.parquet"))
+    seen = []
+
+    def model(messages):
+        seen.append(messages)
+        refs = re.findall(r"SB (\S+) \(", messages[-1]["content"])
+        return f"So it is [SB {refs[0]}], and so [SB 9.9.9b]."
+
+    messages = spark.createDataFrame([("s", "user", " first   question ", "2024-01-14 10:00:00"), ("s", "assistant", "first answer", "2024-01-15 10:00:00"), ("other", "user", "not mine", "2024-01-15 11:00:00")], "session_id string, role string, content string, created_at string")
+    messages = messages.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    sessions = spark.createDataFrame([("s", "u"), ("other", "v")], "session_id string, user_id string")
+    ctx = gates.SecurityContext(uid="u", today=reader.TODAY)
+    told = {"messages": messages, "sessions": sessions, "session": "s", "now": "2024-01-15 12:00:00"}
+    got = library.ask(lib, ctx, "  ring  ", model, vector=lib.embeddings.first().embedding, cap=2, **told)
+    assert got.grounded and "9.9.9b" not in got.answer and got.citations[0]["ref"] in got.answer and got.error is None
+    assert [m["role"] for m in seen[0]] == ["system", "user", "assistant", "user"] and seen[0][1]["content"] == "first question"
+    assert seen[0][-1]["content"].endswith("Question: ring") and seen[0][-1]["content"].count("] SB ") <= 12
+    assert got.log == (("s", "user", "ring", None), ("s", "assistant", got.answer, True)) and got.title is None
+    assert library.ask(lib, ctx, "ring", model, cap=1, **told).error == "cap"
+    assert library.ask(lib, ctx, " a ", model).error == "question"
+    none = library.ask(lib, gates.SecurityContext(), "zqzqzqzq", model)
+    assert none == library.Answer() and len(seen) == 1
+
+
+def test_more_writers(spark, tmp_path):
+    v = spark.createDataFrame([(1, 2, 2, "1.2.2", "b"), (1, 2, 1, "1.2.1", "a"), (1, 3, 1, "1.3.1", None)], "book int, chapter int, ordinal int, ref string, deva string")
+    sinks.write_manifest(v, str(tmp_path / "m"))
+    got = spark.read.json(str(tmp_path / "m")).first()
+    assert (got.book, got.total, [(c.chapter, c.verses) for c in got.chapters]) == (1, 3, [(2, 2), (3, 1)])
+    sinks.write_works(spark.createDataFrame([("w", "t")], "slug string, title string"), str(tmp_path / "w"))
+    assert rows(spark.read.json(str(tmp_path / "w")).select("slug", "title")) == [("w", "t")]
+    sinks.write_markdown(v, str(tmp_path / "d"))
+    got = spark.read.text(str(tmp_path / "d" / "book=1" / "chapter=2"), wholetext=True).first().value
+    assert got.strip() == "# 1.2\n\n**1.2.1** a\n\n**1.2.2** b"
+
+
+def test_loads_resume(spark, tmp_path):
+    import shutil
+
+    x = spark.range(1000).withColumn("v", F.col("id") * 2)
+    path = str(tmp_path / "t")
+    assert sinks.resumable_load(x, "id", path, 100) == 10
+    lost = sorted(p for p in (tmp_path / "t").iterdir() if p.name.startswith("batch="))[:3]
+    for p in lost:  # as if the job had ended before these
+        shutil.rmtree(p)
+    assert sinks.resumable_load(x, "id", path, 100) == 3 and sinks.resumable_load(x, "id", path, 100) == 0
+    assert rows(spark.read.parquet(path).agg(F.count("id"), F.countDistinct("id"), F.sum("v"))) == [(1000, 1000, 999000)]
+
+
+def test_sort_keys_and_list_unions(spark):
+    x = spark.createDataFrame([("10",), ("2b",), ("?",), ("2",), (None,)], "p string")
+    from textloom.operators import order
+
+    assert [r.p for r in x.orderBy(order.printed_key(F.col("p"))).collect()][:3] == ["2", "2b", "10"]
+    tags = spark.createDataFrame([(1, ["b", "a"]), (1, ["b"]), (2, [])], "k int, t array<string>")
+    assert rows(order.union_of_lists(tags, ["k"], "t", "tags")) == [(1, ["a", "b"]), (2, [])]

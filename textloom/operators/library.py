@@ -7,7 +7,7 @@ scans of all tables, and every limited result has a total order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -218,3 +218,71 @@ def bundle_keys(bundles: DataFrame) -> DataFrame:
     for r in rows:
         out = out.unionByName(r)
     return out
+
+
+@dataclass(frozen=True)
+class Answer:
+    """``error`` names why there is none. ``log`` holds the rows to append to messages (session_id, role, content, grounded),
+    for signed-in callers; ``title`` is that of the session to open, if there was none."""
+
+    answer: str = ""
+    citations: tuple[dict, ...] = ()
+    grounded: bool = False
+    error: str | None = None
+    title: str | None = None
+    log: tuple[tuple, ...] = ()
+
+
+def ask(
+    lib: Library,
+    ctx: SecurityContext,
+    question: str | None,
+    complete: Callable[[list[dict]], str],
+    vector: list[float] | None = None,
+    messages: DataFrame | None = None,
+    sessions: DataFrame | None = None,
+    session: str | None = None,
+    work: str | None = None,
+    language: str = "en",
+    cap: int = 0,
+    now: str | None = None,
+    code: str = "SB",
+    most: int = 12,
+) -> Answer:
+    """A grounded answer: the question is clamped, the caller's cap checked, passages found by words and by ``vector``
+    (the first arm that holds a rendering of a verse wins), the caller's own history added, the injected model
+    asked, and what it cites outside the passages cut out.
+
+    messages (session_id, role, content, created_at), sessions (session_id, user_id). At most ``most`` passages and six
+    turns come to the driver.
+    """
+    spark = lib.works.sparkSession
+    text = spark.range(1).select(T.clamp_question(F.lit(question)).alias("q")).first().q
+    if len(text) < 3:
+        return Answer(error="question")
+    signed_in = ctx.uid is not None and messages is not None and sessions is not None
+    if signed_in and cap > 0 and S.answers_today(messages, sessions, ctx.uid, F.lit(now).cast("timestamp") if now else F.now()).first().used >= cap:
+        return Answer(error="cap")
+    keys = ["verse_id", "edition_id"]
+    columns = [*keys, "ref", "work_slug", "edition_title", "language_code", "body"]
+    arms = [retrieve_for_qa(lib, text, work, language)]
+    if vector is not None:
+        arms.append(match_contents(lib, ctx, vector, language, work))
+    ranked = [a.withColumns({"_down": -F.col("rank"), "_ref": T.ref_parts("ref")}) for a in arms]
+    placed = [a.select(*columns, F.struct("_down", "_ref", *keys).alias("position")) for a in ranked]
+    passages = S.hybrid(placed, keys, "position", most).collect()
+    if not passages:
+        return Answer()
+    turns: list[dict] = []
+    if signed_in and session is not None:
+        mine = ctx.own_children(messages.where(F.col("session_id") == session), sessions, "session_id")
+        turns = [{"role": r.role, "content": r.content} for r in S.history_window(mine, "session_id", [F.col("created_at").desc()]).orderBy("turn_no").collect()]
+    context = "\n\n".join(f"[{i}] {code} {p.ref} ({p.edition_title}, {p.language_code})\n{p.body}" for i, p in enumerate(passages, 1))
+    rule = f"Answer only from the passages, in {language}; cite each claim as [{code} reference]."
+    raw = complete([{"role": "system", "content": rule}, *turns, {"role": "user", "content": f"Passages:\n\n{context}\n\nQuestion: {text}"}])
+    allowed = F.array(*[F.lit(r) for r in dict.fromkeys(p.ref for p in passages)])
+    g = spark.range(1).select(T.ground(F.lit(raw), allowed, code).alias("g")).select("g.*").first()
+    first = {p.ref: p for p in reversed(passages)}
+    cited = tuple({"ref": r, "verse_id": first[r].verse_id, "work_slug": first[r].work_slug, "edition_id": first[r].edition_id, "quote": first[r].body[:200]} for r in g.refs)
+    log = ((session, "user", text, None), (session, "assistant", g.text, bool(g.refs))) if signed_in else ()
+    return Answer(g.text, cited, bool(g.refs), None, text[:80] if signed_in and session is None else None, log)

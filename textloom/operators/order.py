@@ -89,3 +89,14 @@ def ordered_union(a: Column, b: Column) -> Column:
 def without(listed: Column, one: Column) -> Column:
     """The list without any member equal to ``one``, order kept."""
     return F.filter(listed, lambda x: ~x.eqNullSafe(one))
+
+
+def printed_key(col: Column) -> Column:
+    """Sort key of a printed number with a letter ("12", "12b"): numbers, then letters; what can't be read comes last."""
+    number = F.regexp_extract(col, r"^\s*(\d+)\s*([a-z]?)\s*$", 1).try_cast("long")
+    return F.struct(number.isNull().alias("unread"), number.alias("number"), F.regexp_extract(col, r"^\s*(\d+)\s*([a-z]?)\s*$", 2).alias("letter"), col.alias("text"))
+
+
+def union_of_lists(rows: DataFrame, group: list[str], listed: str, name: str) -> DataFrame:
+    """The distinct members of all lists of a group, sorted; an empty list where there is none."""
+    return rows.groupBy(*group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(listed)))).alias(name))

@@ -116,20 +116,6 @@ def cap_reached(signed_in: Column, cap: Column, used: Column) -> Column:
     return signed_in & (cap > 0) & (used >= cap)
 
 
-def ask(question: str, hits: DataFrame, complete, code: str = "SB", most: int = 12) -> dict:
-    """Grounded answer from retrieved hits (ref, body) by an injected model ``complete(prompt) -> str``.
-    At most ``most`` passages come to the driver; without any the answer is ungrounded."""
-    passages = hits.select("ref", "body").limit(most).collect()
-    if not passages:
-        return {"answer": "", "grounded": False, "citations": []}
-    prompt = "\n".join([f"[{code} {p.ref}] {p.body}" for p in passages] + [question])
-    raw = hits.sparkSession.range(1).select(F.lit(complete(prompt)).alias("a"))
-    allowed = F.array(*[F.lit(p.ref) for p in passages])
-    got = raw.select(T.ground("a", allowed, code).alias("g")).select("g.*").first()
-    bodies = {p.ref: p.body for p in passages}
-    return {"answer": got.text, "grounded": bool(got.refs), "citations": [{"ref": r, "quote": bodies[r][:200]} for r in got.refs]}
-
-
 def offline_search(verses: DataFrame, mentions: DataFrame, entities: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """verses (ref, body, position): 1.0 for the reference, 0.9 for a substring of raw or folded text, 0.5
     for a mention of an entity whose name matches; best rank first, then position."""

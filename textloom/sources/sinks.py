@@ -39,6 +39,46 @@ def write_chapters(verses: DataFrame, path: str) -> None:
     g.write.mode("overwrite").partitionBy("book", "chapter").json(path)
 
 
+def write_manifest(verses: DataFrame, path: str) -> None:
+    """verses (book, chapter, ...) -> one JSON line a book: its chapters in order with their numbers of verses, and the total."""
+    n = verses.groupBy("book", "chapter").agg(F.count(F.lit(1)).alias("verses"))
+    g = n.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("chapter", "verses"))).alias("chapters"), F.sum("verses").alias("total"))
+    g.write.mode("overwrite").json(path)
+
+
+def write_works(works: DataFrame, path: str) -> None:
+    """works (slug, ...) as one JSON document a work, in a folder of its slug."""
+    works.write.mode("overwrite").partitionBy("slug").json(path)
+
+
+def write_markdown(verses: DataFrame, path: str) -> None:
+    """verses (book, chapter, ordinal, ref, deva, ...) as one Markdown text a chapter, in folders by both: a heading and a
+    numbered paragraph a verse."""
+    line = F.concat(F.lit("**"), "ref", F.lit("** "), F.coalesce("deva", F.lit("")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("v")))), lambda x: x["v"]), "\n\n")
+    head = F.concat(F.lit("# "), F.col("book").cast("string"), F.lit("."), F.col("chapter").cast("string"), F.lit("\n\n"))
+    g = verses.groupBy("book", "chapter").agg(lines.alias("v"))
+    g.select("book", "chapter", F.concat(head, "v", F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy("book", "chapter").text(path)
+
+
+def resumable_load(rows: DataFrame, key: str, path: str, size: int = 400) -> int:
+    """Append rows to the table at ``path`` in batches of about ``size``, each at most once, and return how many batches
+    were left to do. A batch is a range of hashes of ``key``, so it is the same one after a failure; the ones that are
+    wholly written are those whose folder is there, as a batch's folder appears when the job commits."""
+    spark = rows.sparkSession
+    batches = max(1, -(-rows.count() // size))
+    placed = rows.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(table):
+        done = spark.read.parquet(path).select("batch").distinct()
+        placed = placed.join(done, "batch", "left_anti")
+    left = placed.select("batch").distinct().count()
+    if left:
+        placed.repartition("batch").write.mode("append").partitionBy("batch").parquet(path)
+    return left
+
+
 def embed(contents: DataFrame, model: Callable[[list[str]], list[list[float]]], name: str, batch: int = 64) -> DataFrame:
     """contents (id, ref, body) -> rows of embeddings by an injected model, called with ``batch`` texts at a time."""
     text = F.concat_ws(" ", "ref", "body")
