@@ -6,13 +6,16 @@ estimates <o, q> without bias, and sqrt((1 - f^2) / f^2 / (D - 1)) scales its er
 estimate plus EPSILON of those errors stays below the threshold is dropped; every other pair is
 computed again in double precision from the vectors, so nothing below the threshold is linked.
 
-Pairs are only looked for inside buckets: vectors of one label that share one of L keys of k signs
-of random projections. k grows with the logarithm of the largest label, L follows so that a pair at
-the threshold shares no bucket with probability MISS. A pair counts in the first band that it
-shares, so links need no deduplication. Buckets of up to DENSE vectors emit their few surviving pairs,
-whose vectors are then fetched. In larger ones, blocks of vectors meet in pairs of blocks, and only
-link counts per vector and a spanning forest leave the task; a group of near copies is never
-expanded into pairs, and no task holds more than two blocks.
+Equal vectors of a label are one class, which its least vec_id stands for; its members link with each
+other and with whatever it links with. So a group of copies costs one vector. Pairs of classes are only
+looked for inside buckets: vectors of one label that share one of L keys of k signs of random
+projections. k grows with the logarithm of the largest label's classes, L follows so that a pair at the
+threshold shares no bucket with probability MISS. A pair counts in the first band that it shares, so
+links need no deduplication. Buckets of up to DENSE vectors emit their few surviving pairs, whose
+vectors are then fetched. In larger ones, blocks of vectors meet in pairs of blocks, and only link
+counts per vector and a spanning forest leave the task; a group of near copies is never expanded into
+pairs, and no task holds more than two blocks. As each of n near copies has its own number of links,
+they are all compared: n * n / BLOCK rows.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import finish, group_cuts, prepare, Scratch, whole_groups
+from textloom.llm.common import group_cuts, Scratch, whole_groups, with_scratch
 from textloom.llm.components import components
 
 COSINE = 0.93
 MISS = 1e-4
 EPSILON = 2.5
-DENSE, BLOCK = 64, 256
+DENSE, BLOCK = 64, 512
 
 
 def bands_for(largest: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
@@ -90,18 +93,18 @@ def unit_vectors(values: list) -> tuple[np.ndarray, list[np.ndarray]]:
     return ok, out
 
 
-CODED = "vec_id long, group long, dim int, unit binary, code binary, factor double, query binary, low double, step double, bands binary"
-LEAN = ("vec_id", "group", "code", "factor", "query", "low", "step", "bands")
+CODED = "vec_id long, group long, m long, dim int, unit binary, code binary, factor double, query binary, low double, step double, bands binary"
+LEAN = ("vec_id", "group", "m", "code", "factor", "query", "low", "step", "bands")
 
 
 def _encode(vectors: DataFrame, k: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple] = {}
         for b in batches:
-            ok, units = unit_vectors(b.column(2).to_pylist())
+            ok, units = unit_vectors(b.column(3).to_pylist())
             if not units:
                 continue
-            ids, group = (np.array(b.column(i).to_pylist(), np.int64)[ok] for i in (0, 1))
+            ids, group, m = (b.column(i).to_numpy()[ok] for i in (0, 1, 2))
             size = np.array([len(u) for u in units])
             for dim in np.unique(size).tolist():
                 if dim not in known:
@@ -112,7 +115,7 @@ def _encode(vectors: DataFrame, k: int, bands: int) -> DataFrame:
                 signs = (u @ known[dim][1].T >= 0).reshape(len(u), bands, k)
                 keys = (signs * (1 << np.arange(k))).sum(axis=2).astype("<u4")
                 raw = lambda x: pa.array([y.tobytes() for y in x], pa.binary())
-                cols = [pa.array(ids[i]), pa.array(group[i]), pa.array(np.full(len(i), dim), pa.int32()), raw(u), raw(code), pa.array(factor), raw(query), pa.array(low), pa.array(step), raw(keys)]
+                cols = [pa.array(ids[i]), pa.array(group[i]), pa.array(m[i]), pa.array(np.full(len(i), dim), pa.int32()), raw(u), raw(code), pa.array(factor), raw(query), pa.array(low), pa.array(step), raw(keys)]
                 yield pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in CODED.split(", ")])
 
     return vectors.mapInArrow(run, CODED)
@@ -205,7 +208,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _dense(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """kind 0: (a = vector, b = its links in a block pair); kind 1: (a, b) spanning links."""
+    """kind 0: (a = vector, b = members of the classes it links with in a block pair); kind 1: (a, b) spanning links."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -226,9 +229,10 @@ def _dense(rows: DataFrame, units: DataFrame) -> DataFrame:
                 i, j = _candidates(x, int(g.column(2)[0].as_py()))
                 ok = (side[i] != side[j]) | (within[i] == 1)
                 i, j = i[ok], j[ok]
-                ok = np.einsum("ij,ij->i", x["unit"][i], x["unit"][j]) >= COSINE
-                i, j = i[ok], j[ok]
-                links = np.bincount(np.concatenate([i, j]), minlength=e - s)
+                if len(i):
+                    ok = (x["unit"] @ x["unit"].T)[i, j] >= COSINE
+                    i, j = i[ok], j[ok]
+                links = np.bincount(np.concatenate([i, j]), x["m"][np.concatenate([j, i])], minlength=e - s).astype(np.int64)
                 for k in np.flatnonzero(links).tolist():
                     kind.append(0)
                     a.append(int(x["vec_id"][k]))
@@ -242,7 +246,8 @@ def _dense(rows: DataFrame, units: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "kind int, a long, b long")
 
 
-def near_vectors(vectors: DataFrame) -> DataFrame:
+@with_scratch
+def near_vectors(vectors: DataFrame, *, scratch: Scratch) -> DataFrame:
     """vectors (vec_id, embedding, label; other columns ignored) -> vec_id, n_links, component_id, kept.
 
     Null labels, null or zero vectors, and vectors with null or non-finite components link with
@@ -250,15 +255,15 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     component_id and is kept. vec_id names one vector: rows that repeat it are one vector (the one
     with the least values) and each is returned. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark)
     every = vectors.select(F.col("vec_id").cast("long"), "label", "embedding")
     usable = every.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
     usable = usable.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x")).select("vec_id", F.xxhash64("x.label").alias("group"), "x.embedding")
-    usable = scratch.keep(usable)
-    k, bands = bands_for(usable.groupBy("group").count().agg(F.max("count")).first()[0] or 0)
-    coded = scratch.keep(_encode(usable, k, bands))
+    same = ["group", "e1", "e2"]
+    usable = scratch.keep(usable.withColumns({"e1": F.xxhash64("embedding"), "e2": F.xxhash64(F.lit(1), "embedding")}))
+    classes = usable.groupBy(*same).agg(F.min(F.struct("vec_id", "embedding")).alias("x"), F.count(F.lit(1)).alias("m"))
+    classes = scratch.keep(classes.select(*same, F.col("x.vec_id").alias("rep"), "m", "x.embedding"))
+    k, bands = bands_for(classes.groupBy("group").count().agg(F.max("count")).first()[0] or 0)
+    coded = scratch.keep(_encode(classes.select(F.col("rep").alias("vec_id"), "group", "m", "embedding"), k, bands))
     placed = scratch.keep(_bucket_rows(coded, bands))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = scratch.keep(placed.join(sizes, "bucket"))
@@ -266,16 +271,29 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     pairs = _small_pairs(rows.where(F.col("n") <= DENSE).join(lean, "vec_id"))
     links = scratch.keep(_exact(pairs, units))
     dense = scratch.keep(_dense(rows.where(F.col("n") > DENSE).join(lean, "vec_id"), units))
-    edges = links.unionByName(dense.where("kind = 1").select("a", "b"))
-    found = components(edges, scratch)
-    one = F.lit(1).cast("long").alias("n")
-    counts = links.select(F.col("a").alias("id"), one).unionByName(links.select(F.col("b").alias("id"), one)).unionByName(dense.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n")))
-    counts = counts.groupBy("id").agg(F.sum("n").alias("n_links")).withColumnRenamed("id", "_v")
-    found = found.withColumnRenamed("id", "_c")
-    out = every.select("vec_id").join(counts, F.col("vec_id") == F.col("_v"), "left").join(found, F.col("vec_id") == F.col("_c"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return finish(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), scratch)
+    found = components(links.unionByName(dense.where("kind = 1").select("a", "b")), scratch)
+    weight = coded.select("vec_id", "m")
+    ends = links.select(F.col("a").alias("id"), F.col("b").alias("vec_id")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("vec_id")))
+    counts = ends.join(weight, "vec_id").select("id", "m").unionByName(dense.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("m")))
+    counts = counts.groupBy("id").agg(F.sum("m").alias("others")).withColumnRenamed("id", "_v")
+    # one row a class of vectors that can link: the links of each member, and its component
+    linked = weight.join(counts, F.col("vec_id") == F.col("_v"), "left").join(found, F.col("vec_id") == F.col("id"), "left")
+    linked = linked.select(F.col("vec_id").alias("rep"), (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    member = usable.select("vec_id", *same).join(classes.select(*same, "rep"), same).join(linked, "rep").select(F.col("vec_id").alias("_m"), "n_links", "component")
+    out = every.select("vec_id").join(member, F.col("vec_id") == F.col("_m"), "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT v.vec_id, (SELECT count(*) FROM edge WHERE a = v.vec_id) AS n_links, min(other) AS component_id, v.vec_id = min(other) AS kept FROM v JOIN reach ON reach.vec_id = v.vec_id GROUP BY v.vec_id
+"""
