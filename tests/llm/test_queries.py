@@ -1,9 +1,11 @@
 """Every operator on one small table with the awkward cases, against brute force."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -64,8 +66,8 @@ def sets(rows):
     return out
 
 
-def linked(s, t):
-    return bool(s) and bool(t) and 100 * len(s & t) >= 85 * len(s | t)
+def linked(s, t, threshold=85):
+    return bool(s) and bool(t) and 100 * len(s & t) >= threshold * len(s | t)
 
 
 def roots(ids, edges):
@@ -192,17 +194,51 @@ def test_language_model(docs, empty, rows):
     assert lm.score_texts(empty).count() == 0
 
 
-def test_language_model_in_parts_is_that_of_the_whole(docs, rows):
-    normal = [lm.normal((r[1] or "").encode()) for r in rows]
-    u, n = np.unique(lm.grams([t for t, r in zip(normal, rows, strict=True) if not lm.held_out(r[0])]), return_counts=True)
-    pair = np.bincount((u & np.uint64(0xFFFF)).astype(int), n, 65536).astype(np.int64).reshape(256, 256)
-    kept = lm.grow(u, n, pair, int(n.sum()))
-    assert max(k for k, g, _ in kept if len(g)) > 5
-    tree = lm.Tree(pair, {k: (g, c.astype(np.int64)) for k, g, c in kept})
-    want = sorted((str(r[0]), tree.score(lm.grams([t])).sum()) for t, r in zip(normal, rows, strict=True))
-    got = sorted((str(r.doc_id), r.score) for r in lm.score_texts(docs).collect())
+def plain_tree(rows):
+    """A suffix tree by dictionaries: (text) -> log10 probability, with checks that states are distributions."""
+    train = [[*words(r[1]), None] for r in rows if not lm.held_out(r[0])]
+    counts = [collections.defaultdict(collections.Counter) for _ in range(lm.DEPTH + 1)]
+    for t in train:
+        for i, w in enumerate(t):
+            for k in range(min(i, lm.DEPTH) + 1):
+                counts[k][tuple(t[i - k : i])][w] += 1
+    n, v = sum(counts[0][()].values()), len(counts[0][()])
+    p0 = lambda w: (counts[0][()][w] + 1) / (n + v + 1)
+
+    @functools.cache
+    def state(s):
+        if not s:
+            return True
+        c = counts[len(s)].get(s)
+        if not c or sum(c.values()) < lm.LEAST or not state(s[1:]):
+            return False
+        total = sum(c.values())
+        gain = sum(m * (math.log(m / total) + round(-8 * math.log2(p(s[1:], w))) * math.log(2) / 8) for w, m in c.items())
+        return gain >= lm.COST * len(c)
+
+    def p(s, w):
+        if not s:
+            return p0(w)
+        if not state(s):
+            return p(s[1:], w)
+        c = counts[len(s)][s]
+        return (c[w] + len(c) * p(s[1:], w)) / (sum(c.values()) + len(c))
+
+    vocabulary = list(counts[0][()])
+    for s in [s for k in (1, 2) for s in sorted(counts[k], key=str) if state(s)][:3]:
+        assert sum(p(s, w) for w in vocabulary) + p(s, "\0unknown") == pytest.approx(1)
+    return lambda t: sum(math.log10(p(tuple(t[max(0, i - lm.DEPTH) : i]), w)) for i, w in enumerate(t))
+
+
+@pytest.mark.parametrize("hot", [lm.HOT, 4])
+def test_language_model_is_the_plain_suffix_tree(docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT", hot)
+    short = [r for r in rows if len(r[1] or "") < 20_000]
+    plain = plain_tree(short)
+    want = sorted((str(r[0]), plain([*words(r[1]), None])) for r in short)
+    got = sorted((str(r.doc_id), r.score) for r in lm.score_texts(docs.where("coalesce(length(text), 0) < 20000")).collect())
     assert [i for i, _ in got] == [i for i, _ in want]
-    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-5)
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-6)
 
 
 def test_packing(docs, empty, rows):
@@ -224,21 +260,36 @@ def test_packing(docs, empty, rows):
     assert packing.pack(packing.tokenize_pieces(empty)).count() == 0
 
 
+def passages(texts, length=256, least=50):
+    """(number, words) of the runs of bytes of repeated strings that hold more whole words."""
+    seen = collections.Counter(x[i : i + length] for x in texts for i in range(len(x) - length + 1))
+    out = []
+    for x in texts:
+        gone = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            if seen[x[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        runs = [m.span() for m in re.finditer(rb"\x01+", bytes(gone))]
+        every = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)]
+        n = [w for s, e in runs if (w := sum(s <= a and z <= e for a, z in every)) > least]
+        out.append((len(n), sum(n)))
+    return out
+
+
 @pytest.mark.parametrize("group", [512, 2])
-def test_repeated_strings(docs, empty, rows, monkeypatch, group):
-    monkeypatch.setattr(suffix, "GROUP", group)
+def test_repeated_strings(docs, empty, rows, group):
     raw = [(r[1] or "").encode() for r in rows]
     seen = collections.Counter(x[i : i + 400] for x in raw for i in range(len(x) - 399))
     want = []
-    for r, x in zip(rows, raw, strict=True):
+    for r, x, p in zip(rows, raw, passages(raw), strict=True):
         gone = bytearray(len(x))
         for i in range(len(x) - 399):
             if seen[x[i : i + 400]] > 1:
                 gone[i : i + 400] = b"\1" * 400
         spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
-        want.append((str(r[0]), len(x), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(x, gone, strict=True) if not g)).hexdigest()))
-    got = suffix.remove_repeats(docs).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+        want.append((str(r[0]), len(x), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(x, gone, strict=True) if not g)).hexdigest(), *p))
+    got = suffix.remove_repeats(docs, group=group).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.passage_words) for r in got) == sorted(want)
     if group == 512:
         assert suffix.remove_repeats(empty).count() == 0
 
@@ -288,7 +339,7 @@ def test_pipeline(spark, tmp_path, rows):
     before = [(None if i != i else int(i), t) for i, t in zip(kept.doc_id, kept.text, strict=True)]
     s = sets(before)
     pairs = [i for i, b in enumerate(before) if b[0] is not None]
-    comp = roots({before[i][0] for i in pairs}, [(before[i][0], before[j][0]) for i in pairs for j in pairs if i < j and linked(s[i], s[j])])
+    comp = roots({before[i][0] for i in pairs}, [(before[i][0], before[j][0]) for i in pairs for j in pairs if i < j and linked(s[i], s[j], corpus_pipeline.NEAR)])
     assert sorted(int(i) for i in seen[1].doc_id.dropna()) == sorted({i for i, c in comp.items() if i == c})
     assert len(seen[2]) == len(seen[1]) and not seen[2].text.dropna().str.contains("@").any()
     run = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
