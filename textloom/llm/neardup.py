@@ -7,12 +7,14 @@ XOR of two bitmaps estimate high similarities precisely, so that few wrong candi
 texts. Every link is confirmed on the full sets.
 
 A bucket of documents that share a band key is never expanded into pairs. First each member is
-compared with the least of its bucket; members found linked are one component. Only buckets that
-still hold several components are searched again, in blocks of bounded size, for pairs of different
-components whose sketches allow a link; there only links that join components leave a task. So a large group of near copies costs rows in proportion to
-its size, and no link between components is lost but by the samples themselves: a pair at the
-threshold shares no band with probability below MISS: (1 - 0.85**5)**24 at 0.85, (1 - 0.80**5)**35 at
-0.80.
+compared with the least of its bucket; members found linked are one component. While a bucket still
+holds more than BLOCK members outside its largest component, all its members are compared with about
+BLOCK of them drawn by hash, up to ROUNDS times: rows in proportion to the bucket. At last, members
+outside the largest component meet all others in blocks of bounded size, and only links that join
+components leave a task. So groups of copies and near copies cost rows in proportion to their size; only
+a bucket of many documents that stay unlinked costs more, and none of its links is given up. No link
+between components is lost but by the samples themselves: a pair at the threshold shares no band with
+probability below MISS: (1 - 0.85**5)**24 at 0.85, (1 - 0.80**5)**35 at 0.80.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import finish, group_cuts, mix64, prepare, Scratch, utf8, whole_groups, WordHashes
+from textloom.llm.common import group_cuts, mix64, prepare, Scratch, utf8, whole_groups, with_scratch, WordHashes
 from textloom.llm.components import components
 
 SHINGLE = 5
@@ -36,7 +38,9 @@ THRESHOLD = 85
 MISS, MOST_BANDS = 1e-6, 64
 #: Sketch estimates this many hundredths under the threshold are out: over four standard errors.
 MARGIN = 15
-SALTS, BLOCK = 16, 256
+#: Members a task of a star, and a block.
+STAR, BLOCK = 2048, 256
+ROUNDS = 3
 
 _U = np.uint64
 _words = WordHashes()
@@ -132,10 +136,11 @@ def signatures(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """pairs (c, rep), texts (doc_id, raw) -> the pairs (a, b) that link on their full sets.
 
-    Members travel to their c in SALTS groups, each of which starts with the text of c, so neither a
+    Members travel to their c in groups of about STAR, each of which starts with the text of c, so neither a
     pair nor a hot c is ever held as a whole: a task keeps one set and streams the rest.
     """
-    members = pairs.select("c", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt"), "rep", F.lit(1).alias("second"))
+    salts = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("salts"))
+    members = pairs.join(salts, "c").select("c", F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"), "rep", F.lit(1).alias("second"))
     centres = members.select("c", "salt").distinct().select("c", "salt", F.col("c").alias("rep"), F.lit(0).alias("second"))
     rows = members.unionByName(centres).join(texts, F.col("rep") == F.col("doc_id")).select("c", "salt", "second", "rep", "raw")
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "second")
@@ -247,7 +252,8 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+@with_scratch
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, *, scratch: Scratch) -> DataFrame:
     """docs (doc_id, text; other columns ignored) -> doc_id, n_shingles, component_id, kept. Links need a
     similarity of ``threshold`` hundredths.
 
@@ -256,8 +262,6 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     the row is kept. doc_id names one text; repeated rows count alike and each is returned. An empty
     table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
     most = most_differing(threshold)
     signed = scratch.keep(signatures(docs, bands_for(threshold)))
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
@@ -275,20 +279,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = scratch.keep(docs.select(F.col("doc_id").cast("long"), utf8().alias("raw")).join(wanted, "doc_id").dropDuplicates(["doc_id"]))
     links = scratch.keep(confirm(stars, texts, threshold))
-    found = scratch.keep(components(links, scratch))
-    labelled = buckets.join(found, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    labelled = scratch.keep(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     packed = classes.select("rep", "n", "sketch", _packed("bands").alias("bands"))
-    rest = labelled.join(mixed, "key", "left_semi").join(packed, "rep")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
-    rest = rest.withColumns({"part": part, "side": F.when(F.col("block") > F.col("other"), 1).otherwise(0)})
-    rest = scratch.keep(_promising(rest, most, threshold))
-    more = _links_across(rest.join(texts, F.col("rep") == F.col("doc_id")), most, threshold)
-    links = more.unionByName(links)
+    mixed = buckets
+    for seed in range(ROUNDS + 1):  # the same rounds at every size; a bucket that is one component is out of those after
+        mixed = _mixed(mixed, components(links, scratch), scratch)
+        rows = _in_blocks(mixed) if seed == ROUNDS else _beside_some(mixed.where(F.col("outside") > BLOCK), seed)
+        rows = scratch.keep(_promising(rows.join(packed, "rep"), most, threshold))
+        more = _links_across(rows.join(texts, F.col("rep") == F.col("doc_id")), most, threshold)
+        links = scratch.keep(links.unionByName(more).distinct())
     found = components(links, scratch)
     by_class = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("id"), "left")
     by_class = by_class.select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
@@ -296,8 +294,41 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     out = signed.select("doc_id", "n", "h1", "h2").join(by_class, ["h1", "h2"], "left")
     component = F.when(linked & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    return finish(out, scratch)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _mixed(buckets: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of buckets that hold several components: also ``component``, ``inside`` (the bucket's largest one)
+    and ``outside``, the number of members that are not."""
+    rows = buckets.select("key", "band", "rep", "members").join(found, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("component"))
+    rows = scratch.keep(rows)
+    size = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    top = size.groupBy("key").agg(F.max(F.struct("size", "component")).alias("x"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    rows = rows.join(top.select("key", F.col("x.component").alias("top"), F.col("x.size").alias("size")), "key")
+    return scratch.keep(rows.select("key", "band", "rep", "members", "component", (F.col("component") == F.col("top")).alias("inside"), (F.col("members") - F.col("size")).alias("outside")))
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK)
+
+
+def _beside_some(rows: DataFrame, seed: int) -> DataFrame:
+    """Each bucket in blocks (side 1), and beside each block about BLOCK members drawn by hash (side 0)."""
+    rows = rows.withColumn("blocks", _blocks(F.col("members")))
+    own = rows.withColumns({"part": F.pmod(F.xxhash64("rep"), F.col("blocks")), "side": F.lit(1)})
+    drawn = rows.where(F.pmod(F.xxhash64("rep", F.lit(seed + 1)), F.col("blocks")) == 0)
+    return own.unionByName(drawn.withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "side": F.lit(0)}))
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of members outside the largest component, each beside every block of its bucket once."""
+    out, in_ = _blocks(F.col("outside")), _blocks(F.col("members") - F.col("outside"))
+    rows = rows.withColumns({"out": out, "blocks": out + in_})
+    rows = rows.withColumn("block", F.when(F.col("inside"), F.col("out") + F.pmod(F.xxhash64("rep"), F.col("blocks") - F.col("out"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("out"))))
+    last = F.when(F.col("inside"), F.col("out")).otherwise(F.col("blocks")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    return rows.withColumns({"part": part, "side": F.when(F.col("block") > F.col("other"), 1).otherwise(0)})
 
 
 def _packed(col: str) -> Column:
@@ -326,3 +357,17 @@ def _sketched(pairs: DataFrame, most: int) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT n.doc_id, n.n AS n_shingles, min(other) AS component_id, n.doc_id = min(other) AS kept FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -21,5 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_repeats": suffix.op10,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_odd_sketch": neardup.ORACLE,
+    "op3_rotation_codes": vectors.ORACLE,
     "op5_pareto_mix": mixing.ORACLE,
 }
