@@ -167,10 +167,3 @@ def group_cuts(table, keys: int) -> list[int]:
         c = table.column(i).to_numpy()
         new |= c[1:] != c[:-1]
     return [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
-
-
-def finish(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """Checkpoint a compact result and delete the tables it was made from."""
-    out = df.checkpoint()
-    scratch.drop()
-    return out
