@@ -115,17 +115,6 @@ def test_intervals_of_all_lengths(spark):
     assert sorted((str(r.track), str(r.at), str(r.segment)) for r in got.collect()) == want
 
 
-def test_search_index(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "Kṛṣṇa sings"), (2, "the sinner"), (3, "none"), (4, None), (5, "a sing-song sing")], "id int, body string")
-    search.write_index(docs, "id", "body", str(tmp_path))
-    plan = search.search_index(spark, str(tmp_path), "id", "sin krishna")
-    got = {r.id: round(r["rank"], 6) for r in plan.collect()}
-    live = search.indexed(docs, "body").withColumn("rank", search.score("sin krishna").cast("float")).where("rank > 0")
-    assert got == {r.id: round(r["rank"], 6) for r in live.collect()} and set(got) == {1, 2, 5}
-    assert "GreaterThanOrEqual(token" in plan._jdf.queryExecution().toString()
-    assert search.search_index(spark, str(tmp_path), "id", " ").count() == 0
-
-
 def test_playback_positions_are_streamed(spark, tmp_path):
     spark.createDataFrame([("t", 5), ("t", 50)], "track_id string, at_ms long").write.json(str(tmp_path / "in"))
     positions = spark.readStream.schema("track_id string, at_ms long").json(str(tmp_path / "in"))

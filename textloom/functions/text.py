@@ -48,15 +48,31 @@ def tokens(folded: Column | str) -> Column:
     return F.filter(F.split(_c(folded), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
-def terms(query: str) -> list[str]:
-    """Folded query words of two characters and more, each a prefix."""
+def folded(query: str) -> str:
+    """``fold`` of a query, its ends trimmed, on the driver."""
     q = query.strip()
     for a, b in zip(FOLD_FROM, FOLD_TO, strict=False):
         q = q.replace(a, b)
     q = q.translate({ord(c): None for c in FOLD_FROM[len(FOLD_TO) :]}).lower()
     for a, b in FOLD_PAIRS:
         q = q.replace(a, b)
-    return [t for t in q.split() if len(t) >= 2]
+    return q
+
+
+def word_runs(text: str) -> list[tuple[int, int]]:
+    """Places [start, end) of the runs of letters, marks and digits, the words of ``tokens``."""
+    runs: list[tuple[int, int]] = []
+    for i, c in enumerate(text):
+        if unicodedata.category(c)[0] in "LMN":
+            runs[-1:] = [(runs[-1][0], i + 1)] if runs and runs[-1][1] == i else [*runs[-1:], (i, i + 1)]
+    return runs
+
+
+def terms(query: str) -> list[str]:
+    """Folded query words of two characters and more, each a prefix; other signs than those of words cut a word, and what is
+    left of it counts from two characters."""
+    long = [w for w in folded(query).split() if len(w) >= 2]
+    return [w[a:b] for w in long for a, b in word_runs(w) if b - a >= 2]
 
 
 def _in_words(text: str) -> bool:
@@ -73,7 +89,8 @@ def matches(folded: Column, prefixes: list[str]) -> Column:
 
 
 def term_rank(folded: Column, prefixes: list[str]) -> Column:
-    """Cover density of OR-ed single terms, a tenth a matching position, normalised to r / (r + 1)."""
+    """Cover density of OR-ed single terms: each matching position is a least cover of one word and adds its weight, a tenth;
+    normalised to r / (r + 1)."""
     r = matches(folded, prefixes) * F.lit(0.1)
     return r / (r + 1)
 

@@ -1,14 +1,18 @@
 """Nested result documents: hierarchy, section payload, verse and entity detail, bundle, catalogue.
 
 Children are aggregated by their key before they are joined, so each document costs one shuffle a
-level; order inside is explicit (the sort key leads the struct).
+level; order inside is explicit (the sort key leads the struct). The tree of sections is held as intervals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources import store
+
 
 def nested(rows: DataFrame, key: list[str], order: list[str], fields: list[str], name: str) -> DataFrame:
     """key, name: array of structs of ``fields`` in the order of ``order``."""
@@ -26,24 +30,63 @@ def as_json(*cols: str) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
-def ancestors(sections: DataFrame) -> DataFrame:
-    """id, above: each section with itself and all sections above it, any depth. The reach doubles a round, so rounds grow
-    with the logarithm of the depth; it ends when no pair is new."""
-    pairs = sections.select("id", F.col("id").alias("above")).unionByName(sections.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("above")))
-    n = pairs.count()
-    while True:
-        step = pairs.select(F.col("id").alias("above"), F.col("above").alias("top"))
-        more = pairs.join(step, "above").select("id", F.col("top").alias("above")).distinct()
-        m = more.count()
-        if m == n:
-            return pairs
-        pairs, n = more, m
+def _doubled(state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Rounds of ``step`` over rows (id, up, ...), each of which reaches twice as far up, until every row has passed its top."""
+    n = state.count()
+    for _ in range(n.bit_length() + 1):
+        if state.where("up IS NOT NULL").isEmpty():
+            return state
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), *[F.col(c).alias(f"up_{c}") for c in state.columns if c not in ("id", "up")])
+        state = step(state, above).checkpoint()
+    raise ValueError("the parents of some sections form a cycle")
+
+
+def _sum_up(state: DataFrame, above: DataFrame) -> DataFrame:
+    more = state.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("s"), F.sum("total").alias("t"))
+    x = state.join(more, "id", "left").join(above.select("up", "next"), "up", "left")
+    return x.select("id", F.col("next").alias("up"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), (F.col("total") + F.coalesce("t", F.lit(0))).alias("total"))
+
+
+def _add_above(state: DataFrame, above: DataFrame) -> DataFrame:
+    x, zero = state.join(above, "up", "left"), F.lit(0)
+    low, depth = F.col("low") + F.coalesce("up_low", zero), F.col("depth") + F.coalesce("up_depth", zero)
+    return x.select("id", F.col("next").alias("up"), low.alias("low"), depth.alias("depth"), (F.col("lost") | F.coalesce("up_lost", F.lit(False))).alias("lost"))
+
+
+def _subtrees(sections: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The sections with ``up`` (their parent, if it is there), ``lost`` (it is not), ``size`` and ``total`` of their subtrees."""
+    store.shared_folder(sections.sparkSession)
+    there = sections.select(F.col("id").alias("parent_id"), F.lit(True).alias("found")).distinct()
+    own = leaves.groupBy(F.col("section_id").alias("id")).agg(F.sum("n").cast("long").alias("total"))
+    start = sections.join(there, "parent_id", "left").join(own, "id", "left")
+    up, lost = F.when(F.col("found"), F.col("parent_id")), F.col("parent_id").isNotNull() & F.col("found").isNull()
+    start = start.select(*sections.columns, up.alias("up"), lost.alias("lost"), F.lit(1).cast("long").alias("size"), F.coalesce("total", F.lit(0).cast("long")).alias("total")).checkpoint()
+    sizes = _doubled(start.select("id", "up", "size", "total"), _sum_up).select("id", "size", "total")
+    return start.drop("size", "total").join(sizes, "id")
+
+
+def section_labels(sections: DataFrame, leaves: DataFrame) -> DataFrame:
+    """sections (id, work_id, parent_id, ordinal, ref; other columns kept) with ``low``, ``high``, ``depth``, ``total``.
+
+    ``low`` numbers the sections of a work in the order of reading, parents first; a section's subtree is exactly
+    low <= x < high. ``depth`` counts from 1, ``total`` sums ``leaves`` (section_id, n) over the subtree. Sections under a
+    parent that is not there are left out; a cycle is an error.
+
+    Sums go up and offsets come down by doubling: a round holds one row a section, so the rounds grow with the
+    logarithm of the depth and the rows not at all. Each round is checkpointed.
+    """
+    rows = _subtrees(sections, leaves)
+    before = Window.partitionBy("work_id", "parent_id").orderBy("ordinal", "ref", "id").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("size").over(before), F.lit(0)) + F.when(F.col("up").isNull(), 0).otherwise(1)
+    rows = rows.withColumn("low", offset).checkpoint()
+    placed = _doubled(rows.select("id", "up", "low", F.lit(1).alias("depth"), "lost"), _add_above).where(~F.col("lost")).select("id", "low", "depth")
+    out = rows.drop("low").join(placed, "id")
+    return out.select(*sections.columns, "low", (F.col("low") + F.col("size")).alias("high"), "depth", "total")
 
 
 def subtree_counts(sections: DataFrame, leaves: DataFrame) -> DataFrame:
-    """section_id, total: rows of ``leaves`` (section_id, n) in each section's whole subtree, any depth."""
-    closure = ancestors(sections).withColumnRenamed("id", "section_id")
-    return closure.join(leaves, "section_id").groupBy(F.col("above").alias("section_id")).agg(F.sum("n").alias("total"))
+    """section_id, total: rows of ``leaves`` (section_id, n) in each section's whole subtree, any depth, where there are any."""
+    return _subtrees(sections, leaves).where("total > 0").select(F.col("id").alias("section_id"), "total")
 
 
 def leaf_sections(sections: DataFrame) -> DataFrame:
@@ -51,19 +94,15 @@ def leaf_sections(sections: DataFrame) -> DataFrame:
 
 
 def toc(sections: DataFrame, verses: DataFrame) -> DataFrame:
-    """work_id, contents: JSON of the top sections in order, each with its count and its own sections, any depth."""
-    counts = subtree_counts(sections, verses.groupBy("section_id").agg(F.count(F.lit(1)).alias("n"))).withColumnRenamed("section_id", "id")
-    depth = ancestors(sections).groupBy("id").agg(F.count(F.lit(1)).alias("depth"))
-    s = sections.join(counts, "id", "left").withColumn("total", F.coalesce("total", F.lit(0))).join(depth, "id")
-    kids, node = None, F.to_json(F.struct("id", "ref", "ordinal", "total"))
-    for level in range(s.agg(F.max("depth")).first()[0] or 1, 0, -1):  # from the deepest up
-        rows = s.where(F.col("depth") == level)
-        rows = rows.withColumn("_in", F.lit("")) if kids is None else rows.join(kids, F.col("id") == F.col("_above"), "left")
-        body = F.concat(F.regexp_replace(node, r"\}$", ""), F.lit(',"children":['), F.coalesce("_in", F.lit("")), F.lit("]}"))
-        key = "work_id" if level == 1 else "parent_id"
-        items = F.array_sort(F.collect_list(F.struct("ordinal", "ref", body.alias("v"))))
-        kids = rows.groupBy(F.col(key).alias("_above")).agg(F.array_join(F.transform(items, lambda x: x["v"]), ",").alias("_in"))
-    return kids.select(F.col("_above").alias("work_id"), F.concat(F.lit("["), "_in", F.lit("]")).alias("contents"))
+    """work_id, contents: JSON of the top sections in order, each with its count and its own sections, any depth. Sections in the
+    order of their labels open one after the other, and as many close as the next one lies higher."""
+    labelled = section_labels(sections, verses.groupBy("section_id").agg(F.count(F.lit(1)).alias("n")))
+    after = F.lead("depth").over(Window.partitionBy("work_id").orderBy("low"))
+    closing = F.repeat(F.lit("]}"), F.col("depth") - F.coalesce(after, F.lit(1)) + 1)
+    opening = F.concat(F.regexp_replace(F.to_json(F.struct("id", "ref", "ordinal", "total")), r"\}$", ""), F.lit(',"children":['))
+    text = F.when(after > F.col("depth"), opening).otherwise(F.concat(opening, closing, F.when(after.isNotNull(), ",").otherwise("")))
+    items = labelled.select("work_id", "low", text.alias("text")).groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("low", "text"))).alias("items"))
+    return items.select("work_id", F.concat(F.lit("["), F.array_join(F.col("items.text"), ""), F.lit("]")).alias("contents"))
 
 
 def section_verses(verses: DataFrame, contents: DataFrame, editions: DataFrame, segments: DataFrame) -> DataFrame:

@@ -47,18 +47,34 @@ class SecurityContext:
             return contents
         return contents.where("status = 'published'").join(public, "edition_id", "left_semi")
 
+    def works(self, works: DataFrame) -> DataFrame:
+        return works if self.at_least("editor") else works.where("status = 'published'")
+
+    def editions(self, editions: DataFrame, public: DataFrame) -> DataFrame:
+        if self.at_least("editor"):
+            return editions
+        return editions.join(public.select(F.col("edition_id").alias("id")), "id", "left_semi")
+
     def units(self, rows: DataFrame, works: DataFrame) -> DataFrame:
         """Sections or verses: own status and the work's."""
         if self.at_least("editor"):
             return rows
         return rows.where("status = 'published'").join(works.where("status = 'published'").select(F.col("id").alias("work_id")), "work_id", "left_semi")
 
+    def tracks(self, tracks: DataFrame, public: DataFrame) -> DataFrame:
+        if self.at_least("editor"):
+            return tracks
+        return tracks.where("status = 'published'").join(public, "edition_id", "left_semi")
+
     def audio_segments(self, segments: DataFrame, tracks: DataFrame, public: DataFrame) -> DataFrame:
         """Through their track, and its edition."""
-        if self.at_least("contributor"):
+        if self.at_least("editor"):
             return segments
-        seen = tracks.join(public, "edition_id", "left_semi").select(F.col("id").alias("track_id"))
-        return segments.join(seen, "track_id", "left_semi")
+        return segments.join(self.tracks(tracks, public).select(F.col("id").alias("track_id")), "track_id", "left_semi")
+
+    def embeddings(self, rows: DataFrame) -> DataFrame:
+        """Not for readers; a search by vector runs over all and gates what it returns."""
+        return rows if self.at_least("editor") else rows.where(F.lit(False))
 
     def own(self, rows: DataFrame, owner: str = "user_id") -> DataFrame:
         return rows.where(F.col(owner) == F.lit(self.uid))

@@ -2,50 +2,24 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.scalars import cosine
+from textloom.operators.index import TextIndex, substring_hits, text_hits
 from textloom.operators.order import first_rows
 
 
 def indexed(rows: DataFrame, body: str) -> DataFrame:
-    """The derived column that searches need, the folded text; ``write_index`` keeps it."""
+    """The derived column that searches of raw rows need, the folded text; ``index`` keeps it."""
     return rows.withColumn("folded", T.fold(body))
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of an input that comes in fewer splits than there are cores, dealt over all of them; larger inputs stay as they are."""
+    """Rows of an input that has fewer files than there are cores, dealt over all of them; larger inputs stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
-def write_index(rows: DataFrame, id_col: str, body: str, path: str) -> None:
-    """Make at load what searches read: ``folded`` (id, folded text) for substrings, and ``postings``
-    (token, id, n) in the order of tokens, of which a prefix is a range that file statistics prune."""
-    folded = indexed(rows, body).select(id_col, "folded")
-    folded.write.mode("overwrite").parquet(f"{path}/folded")
-    posts = rows.sparkSession.read.parquet(f"{path}/folded").select(id_col, F.explode(T.tokens("folded")).alias("token"))
-    posts = posts.groupBy("token", id_col).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    posts.repartitionByRange("token", id_col).sortWithinPartitions("token", id_col).write.mode("overwrite").parquet(f"{path}/postings")
-
-
-def search_index(spark: SparkSession, path: str, id_col: str, query: str) -> DataFrame:
-    """id, rank of all rows that a query hits by its terms or as a substring, from an index of ``write_index``."""
-    folded = spark.read.parquet(f"{path}/folded")
-    words, raw = T.terms(query), query.strip()
-    if not raw:
-        return folded.select(id_col, F.lit(0.0).alias("rank")).where(F.lit(False))
-    hits = folded.where(F.col("folded").contains(T.fold(F.lit(raw)))).select(id_col, F.lit(0.9).alias("rank"))
-    if words:
-        mine = [(F.col("token") >= w) & (F.col("token") < w + chr(0x10FFFF)) for w in words]
-        found = functools.reduce(lambda a, b: a | b, mine)
-        r = F.sum("n") * F.lit(0.1)
-        hits = hits.unionByName(spark.read.parquet(f"{path}/postings").where(found).groupBy(id_col).agg((r / (r + 1)).alias("rank")))
-    return hits.groupBy(id_col).agg(F.max("rank").cast("float").alias("rank"))
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def score(query: str, ref_hit: Column | None = None, entity_hit: Column | None = None, by_terms: bool = True) -> Column:
@@ -67,6 +41,17 @@ def search(rows: DataFrame, query: str, order: list[Column], limit: int = 20, of
     return hits.orderBy(F.col("rank").desc(), *order).offset(max(0, offset)).limit(max(1, min(limit, 100)))
 
 
+def search_index(index: TextIndex, rows: DataFrame, id_col: str, query: str, order: list[Column], limit: int = 20, offset: int = 0, ref_hit: Column | None = None, entity_hit: Column | None = None, by_terms: bool = True) -> DataFrame:
+    """``search`` of rows whose texts an index holds, equal to it; the texts are not read."""
+    if not query.strip():
+        return rows.withColumn("rank", F.lit(0.0)).where(F.lit(False))
+    hits = text_hits(index, query) if by_terms else substring_hits(index, query).select("id", F.lit(0.9).alias("rank"))
+    other = [F.when(hit, rank) for hit, rank in ((ref_hit, 1.0), (entity_hit, 0.6)) if hit is not None]
+    found = rows.join(hits.withColumnRenamed("id", id_col), id_col, "left" if other else "inner")
+    found = found.withColumn("rank", F.greatest(F.col("rank"), *other, F.lit(0.0)).cast("float")).where("rank > 0")
+    return found.orderBy(F.col("rank").desc(), *order).offset(max(0, offset)).limit(max(1, min(limit, 100)))
+
+
 def search_entities(names: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """names (kind, slug, matched): distinct matches of the folded query under a total order."""
     q = T.fold(F.lit(query.strip()))

@@ -12,6 +12,7 @@ from textloom.functions import text as T
 from textloom.functions.translit import transliterate
 from textloom.operators import documents as D
 from textloom.operators import gates, merge, order, progress, search
+from textloom.operators.index import index_of, term_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,8 +50,8 @@ def fold_text(t):
 
 @query(f"SELECT doc_id, source, 0.9::DOUBLE AS rank FROM documents WHERE contains({sql_fold('text')}, 'tion then') ORDER BY doc_id LIMIT 20 OFFSET 2")
 def search_substring(t):
-    rows = search.indexed(search.spread(t("documents")), "text")
-    return search.search(rows, "tion then", [F.col("doc_id")], 20, 2, by_terms=False).select("doc_id", "source", F.round(F.col("rank").cast("double"), 6).alias("rank"))
+    index = index_of(t("documents"), "doc_id", "text")
+    return search.search_index(index, t("documents").select("doc_id", "source"), "doc_id", "tion then", [F.col("doc_id")], 20, 2, by_terms=False).select("doc_id", "source", F.round(F.col("rank").cast("double"), 6).alias("rank"))
 
 
 _TOKENS = r"list_filter(string_split_regex({0}, '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')"
@@ -59,7 +60,9 @@ _TOKENS = r"list_filter(string_split_regex({0}, '[^\p{{L}}\p{{M}}\p{{N}}]+'), la
 @query(f"""WITH x AS (SELECT doc_id, len(list_filter({_TOKENS.format(sql_fold('text'))}, lambda x: starts_with(x, 'ther') OR starts_with(x, 'ent'))) * 0.1::DOUBLE AS r FROM documents)
 SELECT doc_id, round(CAST(CAST(r / (r + 1) AS REAL) AS DOUBLE), 6) AS rank FROM x WHERE r > 0 ORDER BY CAST(r / (r + 1) AS REAL) DESC, doc_id LIMIT 50""")
 def search_prefix_terms(t):
-    rows = search.indexed(search.spread(t("documents")), "text").withColumn("rank", T.term_rank(F.col("folded"), ["ther", "ent"]).cast("float")).where("rank > 0")
+    hits = term_topk(index_of(t("documents"), "doc_id", "text"), ["ther", "ent"], 50)
+    r = F.col("n") * F.lit(0.1)
+    rows = hits.select(F.col("id").alias("doc_id"), (r / (r + 1)).cast("float").alias("rank"))
     return rows.orderBy(F.col("rank").desc(), "doc_id").limit(50).select("doc_id", F.round(F.col("rank").cast("double"), 6).alias("rank"))
 
 
@@ -69,8 +72,8 @@ s AS (SELECT doc_id, CAST(greatest(r / (r + 1), CASE WHEN contains(f, 'ther') TH
 SELECT doc_id, round(CAST(rank AS DOUBLE), 6) AS rank FROM s WHERE rank > 0 ORDER BY rank DESC, doc_id LIMIT 100""")
 def search_ranked(t):
     linked = t("labels").where("toxic = 1").select("doc_id", F.lit(True).alias("hit"))
-    rows = search.indexed(search.spread(t("documents")).join(linked, "doc_id", "left"), "text")
-    found = search.search(rows, "ther", [F.col("doc_id")], 100, 0, F.col("doc_id") == 7, F.coalesce("hit", F.lit(False)))
+    rows = t("documents").select("doc_id").join(linked, "doc_id", "left")
+    found = search.search_index(index_of(t("documents"), "doc_id", "text"), rows, "doc_id", "ther", [F.col("doc_id")], 100, 0, F.col("doc_id") == 7, F.coalesce("hit", F.lit(False)))
     return found.select("doc_id", F.round(F.col("rank").cast("double"), 6).alias("rank"))
 
 
