@@ -46,13 +46,21 @@ class Scratch:
 
     A table written here survives the loss of executors and cuts the lineage, as a checkpoint does,
     but is compressed and read by column. What was shuffled to write it is not needed any more, so its
-    files go at once.
+    files go at once. A table has no more files than a few for each core or one for each FILE_BYTES of the input, whichever
+    is more: a shuffle of many small partitions would leave as many small files.
     """
 
-    def __init__(self, spark: SparkSession):
+    FILE_BYTES, FILES_A_CORE = 16 << 20, 4
+
+    def __init__(self, spark: SparkSession, docs: DataFrame | None = None):
         self.spark = spark
         self.root = f"{prepare(spark)}/textloom-{uuid.uuid4().hex}"
         self.n = 0
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) if docs is not None else 1 << 62
+        self.files = max(spark.sparkContext.defaultParallelism * self.FILES_A_CORE, min(-(-size // self.FILE_BYTES), 1 << 30))
+
+    def few_files(self, df: DataFrame) -> DataFrame:
+        return df.coalesce(self.files)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -60,7 +68,7 @@ class Scratch:
         before = self.spark.conf.get(_CLEAN, None)
         try:
             self.spark.conf.set(_CLEAN, "true")
-            df.write.parquet(path)
+            self.few_files(df).write.parquet(path)
         finally:
             self.spark.conf.set(_CLEAN, before) if before else self.spark.conf.unset(_CLEAN)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -77,9 +85,9 @@ def with_scratch(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]
 
     @functools.wraps(operator)
     def run(docs: DataFrame, *args: Any, **named: Any) -> DataFrame:
-        scratch = Scratch(docs.sparkSession)
+        scratch = Scratch(docs.sparkSession, docs)
         try:
-            return operator(docs, *args, scratch=scratch, **named).checkpoint()
+            return scratch.few_files(operator(docs, *args, scratch=scratch, **named)).checkpoint()
         finally:
             scratch.drop()
 

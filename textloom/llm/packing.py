@@ -60,7 +60,7 @@ class ChunkIds(dict):
     those parts are looked up apart. A cache in two generations of bounded size, of which the older
     goes when the younger is full; results never depend on it."""
 
-    MOST = 100_000_000  # bytes a generation, about
+    MOST = 30_000_000  # bytes a generation, about
 
     def __init__(self, path: str):
         super().__init__()

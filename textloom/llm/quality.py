@@ -95,7 +95,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> tuple[np
                 index.append(i)
                 value.append(c * (SCALE / len(f)))
         i, at = np.unique(np.concatenate([np.zeros(0, np.int64), *index]), return_inverse=True)  # families may meet in a weight
-        rows.append((i, np.bincount(at, np.concatenate([np.zeros(0), *value]), len(i))))
+        rows.append((i.astype(np.int32), np.bincount(at, np.concatenate([np.zeros(0), *value]), len(i))))
     for _ in range(epochs):
         for (i, x), y in zip(rows, labels, strict=True):
             zi, ni = z[i], n[i]
