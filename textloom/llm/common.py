@@ -56,7 +56,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{prepare(spark)}/textloom-{uuid.uuid4().hex}"
         self.n = 0
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) if docs is not None else 1 << 62
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if docs is not None else 1 << 62
         self.files = max(spark.sparkContext.defaultParallelism * self.FILES_A_CORE, min(-(-size // self.FILE_BYTES), 1 << 30))
 
     def few_files(self, df: DataFrame) -> DataFrame:
