@@ -1,6 +1,7 @@
 """Readers, writers, gates and small operators that no registered query reads files for."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,10 +82,12 @@ def test_gates_by_role(spark):
     units = spark.createDataFrame([("a", 1, "published"), ("b", 1, "draft"), ("c", 2, "published")], "id string, work_id int, status string")
     reader, editor, admin = (gates.SecurityContext(role=r) for r in ("reader", "editor", "admin"))
     assert [r.id for r in reader.units(units, works).collect()] == ["a"] and editor.units(units, works).count() == 3
-    tracks = spark.createDataFrame([("t", 1), ("u", 2)], "id string, edition_id int")
-    segments = spark.createDataFrame([("t",), ("u",)], "track_id string")
+    tracks = spark.createDataFrame([("t", 1, "published"), ("u", 2, "published"), ("v", 1, "draft")], "id string, edition_id int, status string")
+    segments = spark.createDataFrame([("t",), ("u",), ("v",)], "track_id string")
     public = spark.createDataFrame([(1,)], "edition_id int")
-    assert rows(reader.audio_segments(segments, tracks, public)) == [("t",)] and editor.audio_segments(segments, tracks, public).count() == 2
+    assert rows(reader.audio_segments(segments, tracks, public)) == [("t",)] and editor.audio_segments(segments, tracks, public).count() == 3
+    assert gates.SecurityContext(role="contributor").audio_segments(segments, tracks, public).count() == 1
+    assert reader.embeddings(segments).count() == 0 and editor.embeddings(segments).count() == 3
     assert "permission_document_url" not in reader.columns(works.withColumn("permission_document_url", F.lit("x"))).columns
     assert reader.graph(units).count() == 2 and reader.events(units).count() == 0 and admin.events(units).count() == 3
 
@@ -116,19 +119,25 @@ def test_intervals_of_all_lengths(spark):
 
 
 def test_playback_positions_are_streamed(spark, tmp_path):
-    spark.createDataFrame([("t", 5), ("t", 50)], "track_id string, at_ms long").write.json(str(tmp_path / "in"))
-    positions = spark.readStream.schema("track_id string, at_ms long").json(str(tmp_path / "in"))
-    segments = spark.createDataFrame([("t", 0, 10, "v")], "track_id string, start_ms long, end_ms long, verse_id string")
-    q = events.segments_at(positions, segments).writeStream.format("memory").queryName("played").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert rows(spark.sql("SELECT at_ms, verse_id FROM played")) == [(5, "v"), (50, None)]
-
-
-def test_membership_filters(spark):
-    x = spark.range(4)
-    count = lambda c: x.where(c).count()
-    assert [count(library.any_of(F.col("id"), v)) for v in (None, [], [1, 2])] == [4, 0, 2]
-    assert [count(library.optional(F.col("id"), v)) for v in (None, 3)] == [4, 1]
+    rng = random.Random(9)
+    s = [("t", i, i + rng.choice([1, 7, 10]), f"v{i}") for i in range(0, 60_000, 10)] + [("u", 0, 1_000_000, "long"), ("u", 5, 5, "empty")]
+    segments = spark.createDataFrame(s, "track_id string, start_ms long, end_ms long, verse_id string")
+    points = [("t", rng.randrange(61_000)) for _ in range(400)] + [("u", 999_999), ("u", 1_000_000), ("q", 1), (None, 3)]
+    for n in (0, 1):
+        spark.createDataFrame(points[n::2], "track_id string, at_ms long").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    positions = spark.readStream.schema("track_id string, at_ms long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    run = lambda: events.segments_at(positions, segments, str(tmp_path / "out"), str(tmp_path / "cp"), 16).awaitTermination(120)
+    run()
+    read = lambda: rows(spark.read.parquet(str(tmp_path / "out")).select("track_id", "at_ms", "verse_id"))
+    every = spark.createDataFrame(points, "track_id string, at_ms long")
+    batch = rows(progress.interval_lookup(every, segments, "track_id", "at_ms", "start_ms", "end_ms", 16).select("track_id", "at_ms", "verse_id"))
+    assert read() == batch and len(batch) == len(points)
+    run()  # nothing new: nothing is written twice
+    assert read() == batch
+    late = [("u", 7), ("t", 3)]
+    spark.createDataFrame(late, "track_id string, at_ms long").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    run()
+    assert len(read()) == len(points) + 2
 
 
 @pytest.mark.parametrize(("props", "want"), [('{"a": 1, "b": "x"}', True), ('{"a": 2, "b": "x"}', False), ('{"a": "1"}', False), ("not json", False), (None, False)])

@@ -247,6 +247,14 @@ def speaker_of(col: Column | str, rules: list[tuple[str, str]], within: int = 12
 
 
 def register_sql(spark: SparkSession) -> None:
-    """The same folds as temporary SQL functions, for queries in SQL."""
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION text_fold(t STRING) RETURNS STRING RETURN replace(replace(replace(lower(translate(coalesce(t, ''), \"{FOLD_FROM}\", '{FOLD_TO}')), 'sh', 's'), 'ri', 'r'), 'ee', 'i')")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION text_clamp(t STRING) RETURNS STRING RETURN substring(trim(regexp_replace(coalesce(t, ''), '\\\\s+', ' ')), 1, 1000)")
+    """The same folds, words, query terms and reference keys as temporary SQL functions, for queries in SQL."""
+    make = "CREATE OR REPLACE TEMPORARY FUNCTION"
+    spark.sql(f"{make} text_fold(t STRING) RETURNS STRING RETURN replace(replace(replace(lower(translate(coalesce(t, ''), \"{FOLD_FROM}\", '{FOLD_TO}')), 'sh', 's'), 'ri', 'r'), 'ee', 'i')")
+    spark.sql(f"{make} text_clamp(t STRING) RETURNS STRING RETURN substring(trim(regexp_replace(coalesce(t, ''), '\\\\s+', ' ')), 1, 1000)")
+    spark.sql(f"{make} text_tokens(folded STRING) RETURNS ARRAY<STRING> RETURN filter(split(folded, '[^\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]+'), t -> t <> '')")
+    words = "filter(split(text_fold(trim(q)), '\\\\s+'), w -> length(w) >= 2)"
+    cut = "filter(split(w, '[^\\\\p{L}\\\\p{M}\\\\p{N}]+'), t -> length(t) >= 2)"
+    spark.sql(f"{make} text_terms(q STRING) RETURNS ARRAY<STRING> RETURN flatten(transform({words}, w -> {cut}))")
+    numbers = "transform(split(regexp_replace(coalesce(r, ''), '[^0-9.]+$', ''), '[.]'), x -> coalesce(try_cast(x AS INT), 0))"
+    suffix = "if(coalesce(r, '') RLIKE '[a-z]$', ascii(right(r, 1)) - 96, 0)"
+    spark.sql(f"{make} text_ref_parts(r STRING) RETURNS ARRAY<INT> RETURN concat(slice(concat({numbers}, array_repeat(0, 8)), 1, 8), array({suffix}))")

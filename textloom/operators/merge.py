@@ -58,6 +58,22 @@ def diff_snapshots(old: DataFrame, new: DataFrame, key: list[str], actor: str) -
     return both.withColumn("action", action).where("action IS NOT NULL").withColumn("actor", F.lit(actor))
 
 
+def count_deltas(log: DataFrame, field: str) -> DataFrame:
+    """value, delta: by how much each value of ``field`` gains and loses rows by an audit log (action, old_data, new_data)."""
+    ends = F.array(
+        F.struct(F.get_json_object("old_data", f"$.{field}").alias("value"), F.lit(-1).alias("delta")),
+        F.struct(F.get_json_object("new_data", f"$.{field}").alias("value"), F.lit(1).alias("delta")),
+    )
+    x = log.select(F.explode(ends).alias("e")).select("e.*").where("value IS NOT NULL")
+    return x.groupBy("value").agg(F.sum("delta").cast("long").alias("delta")).where("delta <> 0")
+
+
+def keep_counts(rows: DataFrame, key: str, count: str, log: DataFrame, field: str) -> DataFrame:
+    """rows with their ``count`` brought up to date by the log alone; nothing is counted again. Values that no row has are left out."""
+    deltas = count_deltas(log, field).select(F.col("value").cast(rows.schema[key].dataType).alias(key), "delta")
+    return rows.join(deltas, key, "left").withColumn(count, F.coalesce(count, F.lit(0)) + F.coalesce("delta", F.lit(0))).drop("delta").select(*rows.columns)
+
+
 def touch(changed: DataFrame, at: Column) -> DataFrame:
     return changed.withColumn("updated_at", at)
 

@@ -100,3 +100,10 @@ def printed_key(col: Column) -> Column:
 def union_of_lists(rows: DataFrame, group: list[str], listed: str, name: str) -> DataFrame:
     """The distinct members of all lists of a group, sorted; an empty list where there is none."""
     return rows.groupBy(*group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(listed)))).alias(name))
+
+
+def repeated(rows: DataFrame, key: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The keys that several rows share, with their number ``n`` and ``first`` id; and the rows (key, id) that share them. Members
+    stay rows, so a key that most rows have is no group of its own."""
+    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first")).where("n > 1")
+    return groups, rows.select(*key, id_col).join(groups.select(*key), key, "left_semi")

@@ -23,10 +23,10 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, key: str, at: str,
     nested loop. Empty intervals hold nothing."""
     length = F.col(end) - F.col(start)
     cells = intervals.where(length > 0).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(width)))).cast("int"))
-    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())  # 64 at most
     size = lambda level: F.lit(width) * F.pow(F.lit(2.0), level)
     cells = cells.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / size("_level")), F.floor((F.col(end) - 1) / size("_level"))))).withColumnRenamed(key, "_key")
-    looks = points.withColumn("_l", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_b", F.floor(F.col(at) / size("_l")))
+    levels = cells.select(F.col("_level").alias("_l")).distinct()  # 64 at most, so they go to each task
+    looks = points.join(F.broadcast(levels), F.lit(True)).withColumn("_b", F.floor(F.col(at) / size("_l")))
     hit = (looks[key] == cells["_key"]) & (looks["_l"] == cells["_level"]) & (looks["_b"] == cells["_bin"]) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
     found = looks.join(cells, hit).drop("_bin", "_key", "_level", "_l", "_b")
     seen = found.select(F.col(key).alias("_k"), F.col(at).alias("_a")).distinct()

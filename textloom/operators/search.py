@@ -80,6 +80,14 @@ def group_topk(hits: DataFrame, group: str, rank: str, k: int) -> DataFrame:
     return hits.groupBy(group).agg(F.round(F.sum(F.col(rank).cast("double")), 6).alias("total")).orderBy(F.col("total").desc(), group).limit(k)
 
 
+def grouped_page(hits: DataFrame, group: list[str], order: list[str], fields: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """A page of hits in groups: group, hits in their order. The page is cut first, so no group is larger than it."""
+    from textloom.operators.documents import nested
+
+    page = hits.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, 100)))
+    return nested(page, group, order, fields, "hits")
+
+
 def history_window(rows: DataFrame, session: str, newest: list[Column], fetched: int = 6, most: int = 6, clamp: int = 600, roles: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
     """The newest ``fetched`` rows of a session, then blanks and other roles dropped, the last ``most``
     kept, oldest first (turn), whitespace collapsed and clipped."""

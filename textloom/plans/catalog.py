@@ -529,12 +529,14 @@ def tag_filter(t):
     return t("documents").where(F.array_contains(T.parse_tags("text"), "the")).select("doc_id")
 
 
-@query("SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY n_chars DESC, doc_id) AS hits, CAST(count(DISTINCT lang) AS BIGINT) AS langs FROM documents WHERE lang <> 'de' GROUP BY 1")
+@query("""WITH page AS (SELECT source, doc_id, lang, n_chars FROM documents WHERE lang <> 'de' ORDER BY n_chars DESC, doc_id LIMIT 100)
+SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY n_chars DESC, doc_id) AS hits, string_agg(DISTINCT lang, ' · ' ORDER BY lang) AS langs, min_by(doc_id, (-n_chars, doc_id)) AS first FROM page GROUP BY 1""")
 def hits_grouped(t):
-    d = t("documents").where("lang <> 'de'").withColumn("neg", -F.col("n_chars"))
-    g = D.nested(d, ["source"], ["neg", "doc_id"], ["doc_id", "lang"], "hits")
+    hits = t("documents").where("lang <> 'de'").withColumn("_down", -F.col("n_chars"))
+    g = search.grouped_page(hits, ["source"], ["_down", "doc_id"], ["doc_id", "lang"], 100)
     ids = F.array_join(F.transform("hits", lambda h: h["doc_id"].cast("string")), ",")
-    return g.select("source", ids.alias("hits"), F.size(F.array_distinct(F.transform("hits", lambda h: h["lang"]))).cast("long").alias("langs"))
+    langs = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["lang"]))), " · ")
+    return g.select("source", ids.alias("hits"), langs.alias("langs"), F.col("hits")[0]["doc_id"].alias("first"))
 
 
 @query("SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'es' THEN 1 WHEN 'fr' THEN 2 ELSE 9 END, doc_id) AS n FROM documents) WHERE n = 1")
@@ -549,10 +551,17 @@ def range_expand_first(t):
     return order.first_rows(x, ["l_orderkey", "n"], [F.col("l_linenumber")]).select("l_orderkey", "n", F.col("l_linenumber").alias("first_line"))
 
 
-@query(r"""SELECT md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS body, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS refs FROM documents GROUP BY 1 HAVING count(*) > 1""")
+_BODIES = r"SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS body FROM documents"
+
+
+@query(f"SELECT body, count(*) AS n, min(doc_id) AS first FROM ({_BODIES}) GROUP BY 1 HAVING count(*) > 1")
 def dup_bodies(t):
-    g = t("documents").groupBy(F.md5(T.dedupe_key("text")).alias("body")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("r"))
-    return g.where("n > 1").select("body", "n", F.array_join(F.col("r").cast("array<string>"), ",").alias("refs"))
+    return order.repeated(t("documents").withColumn("body", F.md5(T.dedupe_key("text"))), ["body"], "doc_id")[0]
+
+
+@query(f"SELECT body, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY body) AS n FROM ({_BODIES})) WHERE n > 1")
+def dup_members(t):
+    return order.repeated(t("documents").withColumn("body", F.md5(T.dedupe_key("text"))), ["body"], "doc_id")[1]
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) WHERE n > 1")

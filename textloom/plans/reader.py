@@ -17,6 +17,7 @@ from textloom.operators import library as L
 from textloom.operators.index import index_of
 from textloom.operators.vectors import nearest, vectors_of
 from textloom.plans.catalog import query, sql_fold
+from textloom.sources import sql, tables
 
 TODAY = "2024-01-15"
 #: Kind, language, script, rights and their last day, of each work's editions.
@@ -56,7 +57,7 @@ def library(t, indexed: bool = False) -> L.Library:
         F.col("doc_id").alias("id"), "verse_id", (F.col("work_id") * N + F.col("doc_id") % N).alias("edition_id"), F.col("text").alias("body"), _draft(F.col("doc_id") % 13 == 0)
     )
     rights = spark.createDataFrame([(e[0], e[4], e[5]) for e in EDITIONS], "id int, status string, permission_expires_on string")
-    rights = rights.select("id", "status", F.col("permission_expires_on").cast("date").alias("permission_expires_on"), F.lit("CC").alias("license"), F.concat(F.lit("by "), "id").alias("attribution_text"))
+    rights = rights.select("id", "status", F.col("permission_expires_on").cast("date").alias("permission_expires_on"), F.lit("CC").alias("license"), F.concat(F.lit("by "), "id").alias("attribution_text"), F.when(F.col("id") != 3, F.col("id")).alias("source_id"))
     none = F.lit(None).cast("array<string>")
     people = t("supplier").select(F.lit("person").alias("kind"), F.col("s_suppkey").alias("id"), F.concat(F.lit("p"), "s_suppkey").alias("slug"), F.col("s_name").alias("name"), F.array(F.replace("s_name", F.lit("Supplier"), F.lit("Sage"))).alias("more"), _draft(F.col("s_suppkey") % 10 == 3), F.lit(None).cast("int").alias("work_id"))
     topics = t("part").select(F.lit("topic").alias("kind"), F.col("p_partkey").alias("id"), F.concat(F.lit("t"), "p_partkey").alias("slug"), F.col("p_name").alias("name"), none.alias("more"), _draft(F.col("p_partkey") % 19 == 0), F.lit(None).cast("int").alias("work_id"))
@@ -313,3 +314,49 @@ def session_titles(t):
 def optional_filters(t):
     e = t("events")
     return e.where(L.optional(F.col("event_type"), "view") & L.optional(F.col("value"), None) & L.any_of(F.col("user_id"), [1, 2, 3]) & L.any_of(F.col("event_id"), None)).select("event_id")
+
+
+# ---- table scans, functions in SQL, counts by the log
+
+
+@query(f"""WITH {LIBRARY} SELECT c.id, md5(c.body) AS body, 'published' AS status, v.ref AS verse FROM contents c JOIN verses v ON v.id = c.verse_id WHERE c.edition_id = {2 * N} ORDER BY v.work_id, v.n_nationkey, v.id, c.id LIMIT 1000""")
+def table_contents_of_edition(t):
+    rows = tables.scan(visible(t), "contents", ["id", "body", "status"], [tables.Embed("verses", ["ref"], inner=True)], F.col("edition_id") == 2 * N, [T.ref_parts("verses.ref"), F.col("id")])
+    return rows.select("id", F.md5("body").alias("body"), "status", F.col("verses.ref").alias("verse"))
+
+
+@query(f"SELECT k AS id, rights_status AS status, 'CC' AS license, n_name AS title FROM ({_values(EDITIONS)}) v(k, kind, language_code, script_code, rights_status, last_day) LEFT JOIN nation ON n_nationkey = k AND k <> 3")
+def table_rights_with_source(t):
+    rows = tables.scan(visible(t), "rights", ["id", "status", "license"], [tables.Embed("sources", ["title"])])
+    return rows.select("id", "status", "license", F.col("sources.title").alias("title"))
+
+
+@query(f"WITH {LIBRARY} SELECT w.slug, string_agg(e.id || ' ' || e.title, ', ' ORDER BY e.id) AS editions FROM works w JOIN editions e ON e.work_id = w.id GROUP BY 1")
+def table_works_with_editions(t):
+    rows = tables.scan(visible(t), "works", ["slug"], [tables.Embed("editions", ["id", "title"], inner=True)])
+    return rows.select("slug", F.array_join(F.transform("editions", lambda e: F.concat_ws(" ", e["id"], e["title"])), ", ").alias("editions"))
+
+
+@query(f"WITH {LIBRARY}, {_hits('ring', 'rng')} SELECT {_HIT} FROM hits WHERE slug = 'asia' ORDER BY {_HIT_ORDER} LIMIT 30")
+def sql_search_verses(t):
+    spark = t("region").sparkSession
+    sql.register(spark, visible(t), "lib_")
+    return spark.sql("SELECT verse_id, ref, work_slug, edition_id, edition_title, language_code, script_code, kind, round(CAST(rank AS DOUBLE), 6) AS rank FROM search_verses(' ring ', 'asia', NULL, 30)")
+
+
+@query(f"""WITH {LIBRARY} SELECT slug, 'n' || n.n_nationkey AS section_id, 2 AS depth, (SELECT count(*) FROM verses v WHERE v.n_nationkey = n.n_nationkey) AS total FROM works w JOIN nation n ON n_regionkey = w.id WHERE n.n_nationkey <> 7 AND slug = 'europe'
+UNION ALL SELECT slug, 'r' || id, 1, (SELECT count(*) FROM verses v WHERE v.work_id = w.id AND v.n_nationkey <> 7) FROM works w WHERE slug = 'europe'""")
+def sql_toc(t):
+    spark = t("region").sparkSession
+    sql.register(spark, visible(t), "lib_")
+    return spark.sql("SELECT work_slug AS slug, section_id, depth, total FROM get_toc('europe')")
+
+
+@query("""WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS section FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey + 1000000, 5 FROM customer WHERE c_custkey % 13 = 0)
+SELECT n_nationkey, count(c_custkey) AS verse_count FROM nation LEFT JOIN n ON section = n_nationkey GROUP BY 1""")
+def counts_by_log(t):
+    verses = t("customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_nationkey").cast("long").alias("section"))
+    moved = verses.where("id % 11 <> 0").withColumn("section", F.when(F.col("id") % 7 == 0, (F.col("section") + 1) % 25).otherwise(F.col("section")))
+    new = moved.unionByName(verses.where("id % 13 = 0").select((F.col("id") + 1_000_000).alias("id"), F.lit(5).cast("long").alias("section")))
+    sections = t("nation").select("n_nationkey").join(verses.groupBy(F.col("section").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("verse_count")), "n_nationkey", "left")
+    return merge.keep_counts(sections, "n_nationkey", "verse_count", merge.diff_snapshots(verses, new, ["id"], "load"), "section")

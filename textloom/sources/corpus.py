@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import fold
+from textloom.sources import store
 
 CHAPTER = """_note string, _source struct<url string, title string, retrieved string, license string, license_url string, attribution string, transformation string, pageid bigint, revid bigint, timestamp string, sha1 string, resolved_title string>,
 section struct<canto struct<ref string, ordinal int, title_iast string, title_sa string>, chapter struct<ref string, ordinal int, title_iast string, title_sa string, title_en string, title_ml string, summary_en string, summary_ml string, colophon_sa string>>,
@@ -64,15 +65,35 @@ def read_translations(spark: SparkSession, path: str) -> DataFrame:
     return one.groupBy("chapter", "verse").agg(F.map_from_entries(F.collect_list(F.struct("author", "text"))).alias("texts"))
 
 
-def resolve_titles(wanted: DataFrame, normalized: DataFrame, redirects: DataFrame, pages: DataFrame) -> DataFrame:
-    """wanted (title) through normalisation and redirects (both: source, target) to pages (title, ...);
-    ``missing`` marks titles without a page."""
-    n = normalized.select(F.col("source").alias("title"), F.col("target").alias("_n"))
-    r = redirects.select(F.col("source").alias("_s"), F.col("target").alias("_r"))
+def follow(links: DataFrame) -> DataFrame:
+    """links (source, target) to their ends: source, target, ``cycle``. Each round reaches twice as far, so a chain takes
+    rounds in the logarithm of its length; what still goes on after them runs in a circle. Of two targets the least counts."""
+    store.shared_folder(links.sparkSession)
+    state = links.groupBy("source").agg(F.min("target").alias("target")).checkpoint()
+    n = state.count()
+    for _ in range(n.bit_length() + 1):
+        further = state.select(F.col("source").alias("target"), F.col("target").alias("_next"))
+        onward = state.join(further, "target", "left")
+        state = onward.select("source", F.coalesce("_next", "target").alias("target"), F.col("_next").isNotNull().alias("cycle")).checkpoint()
+        if state.where("cycle").isEmpty():
+            break
+    return state.select("source", "target", "cycle") if n else state.withColumn("cycle", F.lit(False))
+
+
+def resolve_titles(wanted: DataFrame, normalized: DataFrame, redirects: DataFrame, pages: DataFrame, strict: bool = False) -> DataFrame:
+    """wanted (title) through normalisation and chains of redirects (both: source, target) to pages (title, ...);
+    ``missing`` marks titles without a page, also those whose redirects run in a circle. ``strict``: a missing title is an error."""
+    n = normalized.groupBy(F.col("source").alias("title")).agg(F.min("target").alias("_n"))
+    r = follow(redirects).where("NOT cycle").select(F.col("source").alias("_s"), F.col("target").alias("_r"))
     x = wanted.join(n, "title", "left").withColumn("_s", F.coalesce("_n", "title")).join(r, "_s", "left")
     x = x.withColumn("resolved", F.coalesce("_r", "_s")).select("title", "resolved")
     p = pages.withColumnRenamed("title", "resolved").withColumn("_p", F.lit(True))
-    return x.join(p, "resolved", "left").withColumn("missing", F.col("_p").isNull()).drop("_p")
+    out = x.join(p, "resolved", "left").withColumn("missing", F.col("_p").isNull()).drop("_p")
+    if strict:
+        lost = [t.title for t in out.where("missing").select("title").orderBy("title").limit(10).collect()]
+        if lost:
+            raise LookupError(f"no page for {', '.join(lost)}")
+    return out
 
 
 def discover(files: DataFrame, prefix: str, suffix: str) -> DataFrame:

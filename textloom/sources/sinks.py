@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.merge import upsert_latest
+from textloom.sources import store
 
 
 def export_bundles(bundles: DataFrame, uncleared: DataFrame, path: str) -> None:
-    """One JSON line a work in a folder of its slug; refused while any exported row lacks rights."""
+    """The members of each work's bundle as JSON lines in a folder of its slug, those that all works share in one of their own;
+    refused while any exported row lacks rights."""
     if uncleared.limit(1).count():
         raise PermissionError("rows without cleared rights are in the export")
     bundles.write.mode("overwrite").partitionBy("slug").json(path)
@@ -28,7 +31,9 @@ def kv_get(store: DataFrame, key: str | None = None, prefix: str | None = None)
 
 def remove_download(store: DataFrame, slug: str, chapter_keys: DataFrame) -> DataFrame:
     """Without the chapters of a work (keys by its contents) and without its own keys."""
-    own = F.col("key").isin(*[f"{kind}:{slug}" for kind in ("toc", "editions", "graph", "meta")]) | F.col("key").startswith(f"section:{slug}:") | F.col("key").startswith(f"verse:{slug}:")
+    own = F.col("key").isin(f"toc:{slug}", f"meta:{slug}")
+    for kind in ("edition", "section", "verse", "story", "mention", "cross_reference"):
+        own = own | F.col("key").startswith(f"{kind}:{slug}:")
     return store.join(chapter_keys.select("key"), "key", "left_anti").where(~own)
 
 
@@ -63,14 +68,19 @@ def write_markdown(verses: DataFrame, path: str) -> None:
 
 def resumable_load(rows: DataFrame, key: str, path: str, size: int = 400) -> int:
     """Append rows to the table at ``path`` in batches of about ``size``, each at most once, and return how many batches
-    were left to do. A batch is a range of hashes of ``key``, so it is the same one after a failure; the ones that are
-    wholly written are those whose folder is there, as a batch's folder appears when the job commits."""
+    were left to do. A batch is a range of hashes of ``key``; how many there are is kept beside the table by the first run, so
+    a row is in the same batch after a failure, also if the input has grown meanwhile. The batches that are wholly written
+    are those whose folder is there, as a batch's folder appears when the job commits."""
     spark = rows.sparkSession
-    batches = max(1, -(-rows.count() // size))
+    plan = f"{path.rstrip('/')}.batches"
+    if not store.exists(spark, plan):
+        made = f"{plan}-{uuid.uuid4().hex}"
+        spark.createDataFrame([(max(1, -(-rows.count() // size)),)], "batches long").coalesce(1).write.parquet(made)
+        if not store.publish(spark, made, plan):
+            store.delete(spark, made)
+    batches = spark.read.parquet(plan).first().batches
     placed = rows.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
-    table = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = table.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(table):
+    if store.exists(spark, path):
         done = spark.read.parquet(path).select("batch").distinct()
         placed = placed.join(done, "batch", "left_anti")
     left = placed.select("batch").distinct().count()

@@ -34,8 +34,15 @@ def counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") ->
     return gate(events).withWatermark("created_at", late).groupBy(F.window("created_at", window), "event").agg(F.count(F.lit(1)).alias("n"))
 
 
-def segments_at(positions: DataFrame, segments: DataFrame) -> DataFrame:
-    """Stream of playback positions (track_id, at_ms) with the verse of their half-open segment."""
-    s = segments.withColumnRenamed("track_id", "_track")
-    on = (F.col("track_id") == F.col("_track")) & (F.col("at_ms") >= F.col("start_ms")) & (F.col("at_ms") < F.col("end_ms"))
-    return positions.join(s, on, "left").drop("_track")
+def segments_at(positions: DataFrame, segments: DataFrame, path: str, checkpoint: str, width: int = 4096) -> StreamingQuery:
+    """Playback positions (track_id, at_ms) as a stream, each with the verse of its half-open segment (null without one), at ``path``.
+
+    Each micro-batch meets the segments by ``interval_lookup``: an equi-join on track and cell, so the cells of a hot
+    track go to different tasks. A batch writes its own folder and replaces it when it is run again after a failure.
+    """
+    from textloom.operators.progress import interval_lookup
+
+    def place(batch: DataFrame, number: int) -> None:
+        interval_lookup(batch, segments, "track_id", "at_ms", "start_ms", "end_ms", width).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return positions.writeStream.foreachBatch(place).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
