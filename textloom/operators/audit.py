@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import dedupe_key
-from textloom.operators.order import dense_violations, gaps, occurrence_suffix
+from textloom.operators.order import dense_violations, gaps, occurrence_suffix, repeated
 
 
 def inventory(expected: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def audit(verses: DataFrame, expected: DataFrame) -> dict[str, DataFrame]:
     """verses (book, chapter, ref, ordinal, printed, deva), expected (book, chapter) -> detail frames and a summary row."""
     blank = F.trim(F.coalesce("deva", F.lit(""))) == ""
     keyed = occurrence_suffix(verses, ["ref"], [F.col("book"), F.col("chapter"), F.col("ordinal")])
-    bodies = verses.where(~blank).groupBy(dedupe_key("deva").alias("body")).agg(F.array_sort(F.collect_list("ref")).alias("refs")).where("size(refs) > 1")
+    bodies, _ = repeated(verses.where(~blank).withColumn("body", dedupe_key("deva")), ["body"], "ref")
     out = {
         "missing_chapters": inventory(expected, verses, ["book", "chapter"]).where("missing"),
         "duplicate_refs": keyed.where("occurrence > 1").select("ref"),

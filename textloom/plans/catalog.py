@@ -591,7 +591,7 @@ def joined_names(t):
 
 @query("""WITH n AS (SELECT n_nationkey AS chapter, n_nationkey % 3 + 2 AS n FROM nation)
 SELECT 2 AS book, chapter, '2.' || chapter || '.1' AS ref, 1 AS ordinal, 'verse' AS kind, '-' AS speaker, 'राम' AS speaker_surface, 'क ख ग ॥ १ ॥' AS deva, 'ka kha ga || 1 ||' AS iast, -1 AS printed, '-' AS numbering_note FROM n
-UNION ALL SELECT 2, chapter, '2.' || chapter || '.' || n, 2, 'verse', '-', 'राम', 'घ ङ ॥ ' || translate(CAST(n AS VARCHAR), '234', '२३४') || ' ॥', 'gha ṅa || ' || n || ' ||', CASE WHEN n = 2 THEN -1 ELSE n END, CASE n WHEN 2 THEN '-' WHEN 3 THEN 'numbering skips 2' ELSE 'numbering skips 2, 3' END FROM n""")
+UNION ALL SELECT 2, chapter, '2.' || chapter || '.' || n, 2, 'verse', '-', 'राम', 'घ ङ ॥ ' || translate(CAST(n AS VARCHAR), '234', '२३४') || ' ॥', 'gha ṅa || ' || n || ' ||', CASE WHEN n = 2 THEN -1 ELSE n END, CASE n WHEN 2 THEN '-' WHEN 3 THEN 'no verse bears 2' ELSE 'no verse bears 2, 3' END FROM n""")
 def numbered_split(t):
     from textloom.operators.parse import parse_chapters
 
@@ -600,4 +600,4 @@ def numbered_split(t):
     return x.where("error IS NULL").drop("error").na.fill("-", ["speaker", "numbering_note"]).na.fill(-1, ["printed"])
 
 
-from textloom.plans import reader  # noqa: E402, F401 - registers its queries
+from textloom.plans import files, reader, small  # noqa: E402, F401 - they register their queries

@@ -31,17 +31,17 @@ def _json(spark: SparkSession, schema: str, path: str, glob: str) -> DataFrame:
     return reader.json(path).withColumn("file", F.input_file_name())
 
 
-def read_chapters(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, CHAPTER, path, "verses.json")
+def read_chapters(spark: SparkSession, path: str, glob: str = "verses.json") -> DataFrame:
+    return _json(spark, CHAPTER, path, glob)
 
 
-def read_works(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, WORK, path, "work.json")
+def read_works(spark: SparkSession, path: str, glob: str = "work.json") -> DataFrame:
+    return _json(spark, WORK, path, glob)
 
 
-def read_graphs(spark: SparkSession, path: str) -> DataFrame:
+def read_graphs(spark: SparkSession, path: str, glob: str = "graph.json") -> DataFrame:
     """Optional files: none gives an empty table."""
-    return _json(spark, GRAPH, path, "graph.json")
+    return _json(spark, GRAPH, path, glob)
 
 
 def read_wikitext(spark: SparkSession, path: str, name: str = r"(\d+)_(\d+)[^/]*\.wiki$") -> DataFrame:

@@ -9,10 +9,10 @@ _MOVE = "array<struct<`from`: string, `to`: string>>"
 _PAGE = "struct<title: string, missing: string, pageid: bigint, revid: bigint, revisions: array<struct<revid: bigint, slots: map<string, map<string, string>>, content: string, `*`: string>>>"
 
 
-def read_saved_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_saved_pages(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Rows (kind, source, target, title, pageid, revid, wikitext): pages, and the normalisations and
     redirects that lead to them. Pages come as a list or as an object by id; missing ones are left out."""
-    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
     none = lambda *names: [F.lit(None).cast("long" if n.endswith("id") else "string").alias(n) for n in names]
 
     def moves(kind: str, key: str) -> DataFrame:
