@@ -148,6 +148,21 @@ def entity_hits(lib: Visible, query: str, least: int = 3) -> DataFrame:
     return lib.mentions.join(hit, ["kind", "id"], "left_semi").select("verse_id").distinct()
 
 
+@gated
+def search_entities(lib: Visible, query: str, limit: int = 20) -> DataFrame:
+    """kind, id, slug, name, matched, language_code: entities one of whose names holds the folded query, told by their own name, and
+    those by a localised name that holds the folded or the raw query, told by that name in its language. Distinct, under a
+    total order; an empty query finds nothing."""
+    raw, folded = query.strip(), T.folded(query)
+    e = lib.entities.select("kind", "id", "slug", "name", "more")
+    other = F.exists(F.coalesce("more", F.array().cast("array<string>")), lambda x: T.fold(x).contains(folded))
+    own = e.where(T.fold("name").contains(folded) | other).select("kind", "id", "slug", "name", F.col("name").alias("matched"), F.lit("sa").alias("language_code"))
+    local = lib.entity_names.where(T.fold("name").contains(folded) | F.col("name").contains(raw)).select("kind", "id", F.col("name").alias("matched"), "language_code")
+    local = local.join(e.drop("more"), ["kind", "id"], "left").select(*own.columns)
+    found = own.unionByName(local).distinct().where(F.lit(bool(raw)))
+    return found.orderBy("kind", "slug", "id", "matched", "language_code").limit(max(1, min(limit, 100)))
+
+
 def _ranked(lib: Visible, query: str, work: str | None, language: str | None, editions: DataFrame) -> DataFrame:
     """All hits of a query in ``editions`` (edition_id, ...), with their rank; bodies are fetched when the best are known."""
     raw = query.strip()

@@ -27,6 +27,19 @@ def merge_maps(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
 
 
+def merge_json(old: Column, new: Column) -> Column:
+    """Shallow merge of two JSON objects: members of ``new`` replace those of ``old``, values of any type are kept as they are;
+    null and what is no object count as empty. Members come in the order of their names."""
+    kind, none = "map<string, variant>", F.map_from_entries(F.array().cast("array<struct<key: string, value: variant>>"))
+    members = lambda c: F.coalesce(F.from_json(c, kind), none)
+    a, b = members(old), members(new)
+    rest = F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k))
+    joined = F.map_concat(rest, b)
+    name = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1)  # noqa: E731 - quoted as JSON quotes it
+    member = lambda k: F.concat(name(k), F.lit(":"), F.to_json(F.element_at(joined, k)))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(joined)), member), ","), F.lit("}"))
+
+
 def merge_prefer(old: DataFrame, new: DataFrame, key: list[str], fields: list[str], override: tuple[str, ...] = (), keep_old: bool = True) -> DataFrame:
     """Full outer merge: an old value, where there is one, wins field by field; ``override`` fields
     follow the old row even if null. Old rows without a new one stay only with ``keep_old``."""

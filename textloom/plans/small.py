@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
 from textloom.functions import text as T
-from textloom.operators import audit, documents, gates, merge, order, progress, search
+from textloom.operators import audit, documents, gates, library, merge, order, progress, search
 from textloom.plans.catalog import NOW, query, sql_fold
 from textloom.plans.reader import LIBRARY, visible
 
@@ -127,6 +127,20 @@ def offline_hits(t):
     return search.offline_search(verses, mentions, names, " ring ", 100).select("position", F.col("rank").cast("double").alias("rank"))
 
 
+@query(f"""WITH {LIBRARY}, n AS (SELECT 'person' AS kind, id, slug, name, [name, more] AS names FROM people UNION ALL SELECT 'topic', id, slug, name, [name] FROM topics UNION ALL SELECT 'story', n_nationkey, 's' || n_nationkey, n_name, [n_name] FROM nation WHERE n_nationkey % 6 <> 5),
+l AS (SELECT c_custkey AS id, 'Spring ' || c_mktsegment AS name FROM customer WHERE c_custkey < 10)
+SELECT kind, id, slug, name, name AS matched, 'sa' AS language_code FROM n WHERE len(list_filter(names, lambda x: contains({sql_fold("x")}, 'rng'))) > 0 UNION SELECT 'person', l.id, people.slug, people.name, l.name, 'de' FROM l LEFT JOIN people ON people.id = l.id WHERE contains({sql_fold("l.name")}, 'rng') OR contains(l.name, 'ring')
+ORDER BY kind, slug NULLS FIRST, id, matched, language_code LIMIT 100""")
+def entity_names_found(t):
+    return library.search_entities(visible(t), " ring ", 100)
+
+
+@query("""SELECT event_id, '{' || CASE WHEN event_id % 2 = 0 THEN '"a":{"n":[' || event_id || ',null]},' ELSE '' END || '"k":' || CASE WHEN event_id % 3 = 0 THEN '"new"' ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END || ',"z":true}' AS merged FROM events""")
+def json_merge_typed(t):
+    new = F.concat(F.lit('{"z":true'), F.when(F.col("event_id") % 3 == 0, ',"k":"new"').otherwise(""), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(',"a":{"n":['), "event_id", F.lit(",null]}"))).otherwise(""), F.lit("}"))
+    return t("events").select("event_id", merge.merge_json(F.col("props"), new).alias("merged"))
+
+
 # ---- editors
 
 
@@ -203,7 +217,8 @@ def text_helpers(t):
     )
 
 
-@query(f"SELECT c_custkey, '{{\"c_acctbal\":null,\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}}' AS image, TIMESTAMP '{NOW}' AS updated_at FROM customer WHERE c_custkey % 2 = 0")
+@query(f"SELECT c_custkey, '{{\"c_acctbal\":null,\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}}' AS image, '{NOW}' AS updated_at FROM customer WHERE c_custkey % 2 = 0")
 def touched_rows(t):
     x = t("customer").where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(None).cast("double"))
-    return merge.touch(x.select("c_custkey", documents.as_json("c_acctbal", "c_custkey", "c_name").alias("image")), F.lit(NOW).cast("timestamp"))
+    x = merge.touch(x.select("c_custkey", documents.as_json("c_acctbal", "c_custkey", "c_name").alias("image")), F.lit(NOW).cast("timestamp"))
+    return x.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
