@@ -242,8 +242,9 @@ def _once(x: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes | None]]:
     windows (first and last starts) of its other places. Periodic texts repeat one region very often."""
     _, first, of, n = np.unique(np.stack([x[5], x[6]], 1), axis=0, return_index=True, return_inverse=True, return_counts=True) if _repeats(x[5]) else _all(x[5])
     more: list[bytes | None] = [None] * len(first)
+    order, end = np.argsort(of.ravel(), kind="stable"), np.cumsum(n)
     for k in np.flatnonzero(n > 1).tolist():
-        i = np.flatnonzero(of == k)
+        i = order[end[k] - n[k] : end[k]]
         i = i[i != first[k]]
         more[k] = np.stack([x[2][i], x[3][i], x[4][i]], 1).astype("<i4").tobytes()
     return [*(c[first] for c in x), n], more
