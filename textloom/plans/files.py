@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import gates, order
 from textloom.operators import library as L
-from textloom.plans.catalog import query
+from textloom.plans.base import query
 from textloom.plans.reader import LIBRARY, TODAY, visible
 from textloom.sources import corpus, pages, sinks, store
 from textloom.sources.snapshots import Snapshots, load_tables

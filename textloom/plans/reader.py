@@ -16,7 +16,7 @@ from textloom.operators import gates, merge, order
 from textloom.operators import library as L
 from textloom.operators.index import index_of
 from textloom.operators.vectors import nearest, vectors_of
-from textloom.plans.catalog import query, sql_fold
+from textloom.plans.base import query, sql_fold
 from textloom.sources import sql, tables
 
 TODAY = "2024-01-15"

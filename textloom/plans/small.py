@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import scalars as S
 from textloom.functions import text as T
 from textloom.operators import audit, documents, gates, library, merge, order, progress, search
-from textloom.plans.catalog import NOW, query, sql_fold
+from textloom.plans.base import NOW, query, sql_fold
 from textloom.plans.reader import LIBRARY, visible
 
 # ---- documents
