@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.operators import gates, order
 from textloom.operators import library as L
 from textloom.plans.base import query
@@ -132,6 +133,17 @@ def saved_pages(t, folder):
     return found.select("title", F.when(~F.col("missing"), F.col("resolved")).alias("resolved"), "wikitext", "missing")
 
 
+@query("""SELECT conv_id AS chapter, turn AS verse, md5(coalesce(min(text) FILTER (role = 'assistant'), min(text) FILTER (role = 'user'), min(text), '')) AS text, string_agg(DISTINCT role, ',' ORDER BY role) AS authors FROM conversations GROUP BY 1, 2""")
+@in_folder
+def translations_read(t, folder):
+    row = F.struct(F.col("conv_id").alias("chapter"), F.col("turn").alias("verse"), F.col("role").alias("author"), "text")
+    listed = t("conversations").groupBy(F.floor(F.col("conv_id") / 10).alias("file")).agg(F.to_json(F.collect_list(row)).alias("value"))  # ten conversations a file
+    listed.repartition("file").write.partitionBy("file").text(f"{folder}/translations")
+    x = corpus.read_translations(t("region").sparkSession, f"{folder}/translations")
+    authors = F.array_join(F.array_sort(F.map_keys("texts")), ",")
+    return x.select(F.col("chapter").cast("long").alias("chapter"), "verse", F.md5(F.coalesce(T.first_present("texts", ["assistant", "user"]), F.lit(""))).alias("text"), authors.alias("authors"))
+
+
 # ---- sinks
 
 
