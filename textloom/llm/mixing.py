@@ -121,13 +121,22 @@ def _plan(base: DataFrame, weights: tuple[int, ...], cap: int, scratch: Scratch)
 
 @with_scratch
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT, seed: str = "|mix", *, scratch: Scratch) -> DataFrame:
-    """docs (doc_id, text, source; other columns ignored) -> one row a source, for ``copies``."""
+    """docs (doc_id, text, source; other columns ignored) -> one row a source, for ``copies``.
+
+    Null and empty texts have no words and add nothing; a null source is a source, the last one. Repeated rows count each
+    time. An empty table gives no rows.
+    """
     base = docs.select("doc_id", "source", word_count().alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
     return _plan(scratch.keep(base), weights, cap, scratch)[0]
 
 
 def copies(docs: DataFrame, plan: DataFrame, seed: str = "|mix", few: bool | None = None) -> DataFrame:
-    """docs -> doc_id, source, size, source_size, target, copies and ``row``, all columns of docs."""
+    """docs -> doc_id, source, size, source_size, target, copies and ``row``, all columns of docs under their own names, so none of
+    them clashes. ``plan`` is that of the same docs.
+
+    Rows are kept one by one, null ids and repeated rows too; rows of one source with equal ids, texts and sizes are taken alike.
+    Documents without words get no copies. An empty table gives no rows.
+    """
     few = plan.count() <= FEW if few is None else few
     x = docs.select("doc_id", "source", word_count().alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return _decided(x, plan, few)
