@@ -33,7 +33,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every span found replaced by the mark of its kind; n_chars follows the text."""
+    """All documents, every span found replaced by the mark of its kind; n_chars follows the text. Null and empty texts hold no
+    spans; repeated rows and null ids are rows like others. An empty table gives an empty result."""
     found = pii.find_pii(docs, ["doc_id", "lang", "source", "n_chars"], redacted=True)
     n_chars = F.coalesce(F.char_length("redacted").cast("long"), F.col("n_chars"))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", n_chars.alias("n_chars"))
