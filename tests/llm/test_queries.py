@@ -241,6 +241,15 @@ def test_language_model_is_the_plain_suffix_tree(docs, rows, monkeypatch, hot):
     assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-6)
 
 
+def test_language_model_of_more_partitions_than_files(spark):
+    text = "concat_ws(' ', 'a' || id % 7, 'b' || id % 5, 'c' || id % 3) AS text"
+    many, one = (spark.range(0, 200, 1, n).selectExpr("id AS doc_id", text) for n in (50, 1))
+    assert lm.Scratch(spark, many).files < 50
+    got, want = (sorted(tuple(r) for r in lm.score_texts(d).collect()) for d in (many, one))
+    assert [r[:5] for r in got] == [r[:5] for r in want] and len(got) == 200
+    assert [r[5:] for r in got] == [pytest.approx(r[5:], rel=1e-6) for r in want]
+
+
 def test_packing(docs, empty, rows):
     pieces = packing.tokenize_pieces(docs)
     placed = packing.pack(pieces).collect()

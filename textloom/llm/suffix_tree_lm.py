@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -254,10 +253,14 @@ def _ranges(u: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _symbols(docs: DataFrame, parts: int) -> DataFrame:
-    """One row a chunk, and one for each part of its words (``keys``, ``counts``; ``n`` symbols of training texts)."""
+    """One row a chunk, and one for each part of its words (``keys``, ``counts``; ``n`` symbols of training texts).
+
+    Chunks are numbered by the partition of ``docs`` that they come from. It is a column, as a task that
+    writes fewer files takes several partitions, and its own number is then the same for all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gid, size = TaskContext.get().partitionId() << 24, 0
+        gid, size = None, 0
         ids: list[int | None] = []
         texts: list[np.ndarray] = []
 
@@ -268,6 +271,8 @@ def _symbols(docs: DataFrame, parts: int) -> DataFrame:
             return _batch(rows + [(gid, None, None, None, p, pack_keys(u[s:e]), _zip(n[s:e]), int(n[s:e].sum())) for p, s, e in _ranges(u, parts)], CHUNKS)
 
         for b in batches:
+            if gid is None and b.num_rows:
+                gid = b.column(2)[0].as_py() << 24
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(doc)
                 texts.append(symbols(raw))
@@ -280,7 +285,7 @@ def _symbols(docs: DataFrame, parts: int) -> DataFrame:
         if ids:
             yield end()
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.withColumn("partition", F.spark_partition_id().cast("long")).mapInArrow(run, CHUNKS)
 
 
 def _chunks(rows: DataFrame, groups: int, replies: list[DataFrame]) -> DataFrame:
