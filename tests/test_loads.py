@@ -1,11 +1,13 @@
 """Loads that publish many tables at once, syncs that survive a restart, scans, redirects and kept counts."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import gates, merge, order, search
 from textloom.operators import library as L
 from textloom.plans import reader
+from textloom.plans.catalog import ORACLE_SQL, QUERIES
 from textloom.sources import corpus, sinks, sql, tables
 from textloom.sources.snapshots import Conflict, Snapshots, load_tables, pull, sync_pull
 
@@ -160,3 +162,22 @@ def test_pages_and_repeated_bodies(spark):
     assert sum(len(r.hits) for r in page) == 100 and all(r.hits[0].id in (298, 299) for r in page)
     groups, members = order.repeated(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "")], "id int, body string"), ["body"], "id")
     assert rows(groups) == [("a", 2, 1)] and rows(members) == [("a", 1), ("a", 2)]
+
+
+def test_all_hits_are_grouped(spark, tmp_path):
+    """More hits than a page holds, a group of most of them, ids in several ranges, and missing numbers and sources."""
+    rows_ = [(i, "en" if i % 3 else "de" if i % 2 else "fr", "big" if i % 10 else None, None if i % 50 == 0 else (i * 37) % 90) for i in range(1500)]
+    spark.createDataFrame(rows_, "doc_id long, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["hits_grouped"](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(ORACLE_SQL["hits_grouped"]).fetchall()
+    assert rows(got) == sorted(want, key=str)
+    assert sum(len(r.hits.split(",")) for r in got.collect()) == sum(r[1] != "de" for r in rows_)
+    hits = spark.createDataFrame([(i, 100 - i // 2) for i in range(300)], "id int, down int").withColumn("g", F.lit("a"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    try:
+        (r,) = search.grouped_hits(hits, ["g"], ["down", "id"], "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [int(x) for x in r.hits.split(",")] == sorted(range(300), key=lambda i: (100 - i // 2, i))

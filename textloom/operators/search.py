@@ -88,6 +88,16 @@ def grouped_page(hits: DataFrame, group: list[str], order: list[str], fields: li
     return nested(page, group, order, fields, "hits")
 
 
+def grouped_hits(hits: DataFrame, group: list[str], order: list[str], field: str, sep: str = ",", name: str = "hits") -> DataFrame:
+    """All hits in groups: group, ``name``: ``field`` of its hits in the order of ``order``, joined. Ranges of the order are joined
+    each by itself, so a group is never one list; only the texts of its ranges meet."""
+    ranged = hits.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    item = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.col(field).cast("string").alias("v"))
+    joined = lambda items: F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda x: x["v"]), sep)
+    parts = ranged.where(F.col(field).isNotNull()).groupBy(*group, "_range").agg(joined(item).alias("_text"))
+    return parts.groupBy(*group).agg(joined(F.struct(F.col("_range"), F.col("_text").alias("v"))).alias(name))
+
+
 def history_window(rows: DataFrame, session: str, newest: list[Column], fetched: int = 6, most: int = 6, clamp: int = 600, roles: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
     """The newest ``fetched`` rows of a session, then blanks and other roles dropped, the last ``most``
     kept, oldest first (turn), whitespace collapsed and clipped."""

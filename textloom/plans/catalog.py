@@ -502,14 +502,13 @@ def tag_filter(t):
     return t("documents").where(F.array_contains(T.parse_tags("text"), "the")).select("doc_id")
 
 
-@query("""WITH page AS (SELECT source, doc_id, lang, n_chars FROM documents WHERE lang <> 'de' ORDER BY n_chars DESC, doc_id LIMIT 100)
-SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY n_chars DESC, doc_id) AS hits, string_agg(DISTINCT lang, ' · ' ORDER BY lang) AS langs, min_by(doc_id, (-n_chars, doc_id)) AS first FROM page GROUP BY 1""")
+@query("""SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY n_chars DESC, doc_id) AS hits, string_agg(DISTINCT lang, ' · ' ORDER BY lang) AS langs, min_by(doc_id, (-n_chars, doc_id)) AS first FROM documents WHERE lang <> 'de' GROUP BY 1""")
 def hits_grouped(t):
-    hits = t("documents").where("lang <> 'de'").withColumn("_down", -F.col("n_chars"))
-    g = search.grouped_page(hits, ["source"], ["_down", "doc_id"], ["doc_id", "lang"], 100)
-    ids = F.array_join(F.transform("hits", lambda h: h["doc_id"].cast("string")), ",")
-    langs = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["lang"]))), " · ")
-    return g.select("source", ids.alias("hits"), langs.alias("langs"), F.col("hits")[0]["doc_id"].alias("first"))
+    hits = t("documents").where("lang <> 'de'").withColumns({"_unknown": F.col("n_chars").isNull(), "_down": -F.col("n_chars")})
+    best = F.when(F.col("doc_id").isNotNull(), F.struct("_unknown", "_down", "doc_id"))
+    about = hits.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), " · ").alias("langs"), F.min_by("doc_id", best).alias("first"))
+    ids = search.grouped_hits(hits, ["source"], ["_unknown", "_down", "doc_id"], "doc_id").withColumnRenamed("source", "_source")
+    return about.join(ids, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "hits", "langs", "first")
 
 
 @query("SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'es' THEN 1 WHEN 'fr' THEN 2 ELSE 9 END, doc_id) AS n FROM documents) WHERE n = 1")
