@@ -181,3 +181,16 @@ def test_all_hits_are_grouped(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [int(x) for x in r.hits.split(",")] == sorted(range(300), key=lambda i: (100 - i // 2, i))
+
+
+def test_repeated_bodies_name_all_their_documents(spark, tmp_path):
+    texts = ["", None, "  ", "a  b", "a b"]
+    rows_ = [(i * 7919 % 3001, texts[i % 5] if i % 2 else f"only {i}") for i in range(3000)]
+    spark.createDataFrame(rows_, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["dup_bodies"](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(ORACLE_SQL["dup_bodies"]).fetchall()
+    assert rows(got.select("body", "n", "first", "refs")) == sorted(want, key=str)
+    blank = sorted(i for i, x in rows_ if not (x or "").strip())
+    assert ",".join(map(str, blank)) in [r.refs for r in got.collect()]

@@ -12,6 +12,7 @@ from textloom.operators import documents as D
 from textloom.operators import gates, merge, order, progress, search
 from textloom.operators.index import index_of, term_topk
 from textloom.plans.base import NOW, ORACLE_SQL, QUERIES, query, sql_fold  # noqa: F401 - catalog is where callers look for them
+from textloom.sources import store
 
 # ---- text and search
 
@@ -526,9 +527,12 @@ def range_expand_first(t):
 _BODIES = r"SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS body FROM documents"
 
 
-@query(f"SELECT body, count(*) AS n, min(doc_id) AS first FROM ({_BODIES}) GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT body, count(*) AS n, min(doc_id) AS first, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS refs FROM ({_BODIES}) GROUP BY 1 HAVING count(*) > 1")
 def dup_bodies(t):
-    return order.repeated(t("documents").withColumn("body", F.md5(T.dedupe_key("text"))), ["body"], "doc_id")[0]
+    bodies = t("documents").select("doc_id", F.md5(T.dedupe_key("text")).alias("body"))
+    store.shared_folder(bodies.sparkSession)
+    groups, members = order.repeated(bodies.checkpoint(), ["body"], "doc_id")  # texts are read once
+    return groups.join(search.grouped_hits(members, ["body"], ["doc_id"], "doc_id", name="refs"), "body", "left")
 
 
 @query(f"SELECT body, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY body) AS n FROM ({_BODIES})) WHERE n > 1")
